@@ -30,11 +30,12 @@ def tokenize(text: Column) -> Column:
 
 
 def is_email(token: Column) -> Column:
-    return token.rlike(f"^{EMAIL}$")
+    return token.contains("@") & token.rlike(f"^{EMAIL}$")
 
 
 def is_link(token: Column) -> Column:
-    return token.rlike(f"^{LINK}$")
+    start = F.lower(F.substring(token, 1, 4))
+    return start.isin("http", "ftp:", "www.") & token.rlike(f"^{LINK}$")
 
 
 def is_number(token: Column) -> Column:

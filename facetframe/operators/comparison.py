@@ -48,6 +48,11 @@ OMNIBUS_EFFECTS = {"anova": "eta_squared", "kruskal_wallis": "epsilon_squared",
 _EXACT_WORK = 20_000_000  # cells of the exact U distribution; only ever reached with a group of <= 8 rows
 
 
+def _ratio(a: SparkColumn, b: SparkColumn) -> SparkColumn:
+    """a / b, NULL where b is 0."""
+    return F.try_divide(a, b)
+
+
 class Comparisons:
     """A list of (side A, side B) comparisons over the patterns of some groups.
 
@@ -114,8 +119,7 @@ def _merge(side: SparkColumn, center: SparkColumn) -> tuple[SparkColumn, SparkCo
     n = pick(F.col("n"))
     shift = pick(F.col("n") * (F.col("mean") - center))
     square = pick(F.col("m2") + F.col("n") * (F.col("mean") - center) * (F.col("mean") - center))
-    at = F.max(center)
-    return n, F.when(n > 0, at + shift / n), F.when(n > 0, square - shift * shift / n)
+    return n, F.max(center) + _ratio(shift, n), square - _ratio(shift * shift, n)
 
 
 def two_sample_moments(df: DataFrame, comparisons: Comparisons, value: SparkColumn) -> DataFrame:
@@ -138,9 +142,9 @@ def _t(df, schema, comparisons, column):
     """Student's t with pooled variance."""
     frame = two_sample_moments(df, comparisons, F.col(quoted(column.name)))
     dof = F.col("n1") + F.col("n2") - 2
-    pooled = (F.col("m21") + F.col("m22")) / dof
-    scale = F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))
-    t = F.when(scale > 0, (F.col("mean1") - F.col("mean2")) / scale)
+    pooled = _ratio(F.col("m21") + F.col("m22"), dof)
+    scale = F.sqrt(pooled * (_ratio(F.lit(1.0), F.col("n1")) + _ratio(F.lit(1.0), F.col("n2"))))
+    t = _ratio(F.col("mean1") - F.col("mean2"), scale)
     return frame.select("cid", "group1", "group2", "n1", "n2", t.alias("statistic"), dof.alias("dof"))
 
 
@@ -240,7 +244,7 @@ def chi_squared_of(cells: DataFrame, keys: list[str], rows: int, observed: list[
     yates = (F.col("width") == 2) & F.lit(rows == 2)
     parts = []
     for o in observed:
-        expected = (F.col(f"t_{o}") + add * F.col("width")) * column_total / F.col("grand")
+        expected = (F.col(f"t_{o}") + add * F.col("width")) * _ratio(column_total, F.col("grand"))
         gap = F.abs(F.col(o) + add - expected)
         gap = F.when(yates, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
         parts.append(F.when(expected > 0, gap * gap / expected))
@@ -254,11 +258,11 @@ def chi_squared_of(cells: DataFrame, keys: list[str], rows: int, observed: list[
     )
     dof = (F.col("width") - 1) * (rows - 1)
     n, r, k = F.col("grand"), F.col("width"), F.lit(float(rows))
-    phi2 = F.greatest(F.lit(0.0), F.col("statistic") / n - (k - 1) * (r - 1) / (n - 1))
-    k2 = k - (k - 1) * (k - 1) / (n - 1)
-    r2 = r - (r - 1) * (r - 1) / (n - 1)
+    phi2 = F.greatest(F.lit(0.0), _ratio(F.col("statistic"), n) - _ratio((k - 1) * (r - 1), n - 1))
+    k2 = k - _ratio((k - 1) * (k - 1), n - 1)
+    r2 = r - _ratio((r - 1) * (r - 1), n - 1)
     smaller = F.least(k2 - 1, r2 - 1)
-    v = F.when(smaller > 0, F.sqrt(phi2 / smaller))
+    v = F.when(smaller > 0, F.sqrt(_ratio(phi2, smaller)))
     return out.withColumns({"dof": dof, "cramer_v": v})
 
 
@@ -311,7 +315,7 @@ def effect_sizes(
         return _chi(df, schema, comparisons, column).select("cid", F.col("cramer_v").alias("effect_size"))
     if effect == "rank_biserial":
         ranks = two_sample_ranks(df, comparisons, column)
-        return ranks.select("cid", (2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("effect_size"))
+        return ranks.select("cid", (_ratio(2 * F.col("u"), F.col("n1") * F.col("n2")) - 1).alias("effect_size"))
     if effect == "median_difference":
         return _median_difference(df, comparisons, column)
     frame = two_sample_moments(df, comparisons, F.col(quoted(name)))
@@ -321,12 +325,12 @@ def effect_sizes(
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     if formula == "pooled":
-        spread = F.sqrt((F.col("m21") + F.col("m22")) / (n - 2))
+        spread = F.sqrt(_ratio(F.col("m21") + F.col("m22"), n - 2))
     else:
-        spread = F.sqrt(F.col("m21") + F.col("m22") / n)
-    d = F.when(spread > 0, difference / spread)
+        spread = F.sqrt(F.col("m21") + _ratio(F.col("m22"), n))
+    d = _ratio(difference, spread)
     if effect == "point_biserial":
-        d = d * F.sqrt(n1 * n2 / (n * (n - 1)))
+        d = d * F.sqrt(_ratio(n1 * n2, n * (n - 1)))
     return frame.select("cid", d.alias("effect_size"))
 
 
@@ -357,7 +361,7 @@ def _compare(df, schema, comparisons, name, test, effect, formula) -> DataFrame:
     if effect == "cramer_v" and test == "chi_squared":
         sized = stats.withColumn("effect_size", F.col("cramer_v"))
     elif effect == "rank_biserial" and test == "mann_whitney_u":
-        sized = stats.withColumn("effect_size", 2 * F.col("statistic") / (F.col("n1") * F.col("n2")) - 1)
+        sized = stats.withColumn("effect_size", _ratio(2 * F.col("statistic"), F.col("n1") * F.col("n2")) - 1)
     else:
         sized = stats.join(effect_sizes(df, schema, comparisons, name, effect, formula), "cid")
     return sized.select(
@@ -434,12 +438,12 @@ def omnibus_statistics(
             F.sum(F.col("n") * shift).alias("first"),
             F.sum(F.col("n") * shift * shift).alias("second"),
         )
-        between = F.col("second") - F.col("first") * F.col("first") / F.col("total")
+        between = F.col("second") - _ratio(F.col("first") * F.col("first"), F.col("total"))
         dof2 = F.col("total") - k
-        f = F.when(F.col("within") > 0, (between / (k - 1)) / (F.col("within") / dof2))
+        f = _ratio(between * dof2, F.col("within") * (k - 1))
         return sums.select(
             f.alias("statistic"), F.lit(float(k - 1)).alias("dof1"), dof2.alias("dof2"),
-            (between / (between + F.col("within"))).alias("effect_size"),
+            _ratio(between, between + F.col("within")).alias("effect_size"),
             F.col("total").cast("long").alias("sample_size"),
         )
 
@@ -449,13 +453,13 @@ def omnibus_statistics(
         cells = {f"g{i}": patterns.has(i) for i in range(k)}
         wide = rank_sums(rows, "value", cells, [], pooled=True)
         n = sum((F.col(f"n_{c}") for c in cells), F.lit(0.0))
-        squares = sum((F.col(f"r_{c}") * F.col(f"r_{c}") / F.col(f"n_{c}") for c in cells), F.lit(0.0))
-        raw = F.lit(12.0) / (n * (n + 1)) * squares - 3 * (n + 1)
-        correction = 1 - F.col("tie_all") / (n * n * n - n)
-        h = F.when(correction > 0, raw / correction)
+        squares = sum((_ratio(F.col(f"r_{c}") * F.col(f"r_{c}"), F.col(f"n_{c}")) for c in cells), F.lit(0.0))
+        raw = _ratio(F.lit(12.0), n * (n + 1)) * squares - 3 * (n + 1)
+        correction = 1 - _ratio(F.col("tie_all"), n * n * n - n)
+        h = _ratio(raw, correction)
         return wide.select(
             h.alias("statistic"), F.lit(float(k - 1)).alias("dof"),
-            (h / (n - 1)).alias("effect_size"), n.cast("long").alias("sample_size"),
+            _ratio(h, n - 1).alias("effect_size"), n.cast("long").alias("sample_size"),
         )
 
     table = pattern_counts(df.filter(is_valid(column)), patterns, value=F.col(quoted(name))).filter(kept)
@@ -510,10 +514,10 @@ def binary_contingency(df: DataFrame, schema: TableSchema, groups, name: str, p_
                                (c, (c + d) * (a + c) / n), (d, (c + d) * (b + d) / n)):
         gap = F.abs(observed - expected)
         gap = gap - F.least(F.lit(0.5), gap)
-        chi = chi + gap * gap / expected
+        chi = chi + _ratio(gap * gap, expected)
     cross1 = F.col("TT").cast("double") * F.col("FF")
     cross2 = F.col("TF").cast("double") * F.col("FT")
-    q = F.when(cross1 + cross2 > 0, (cross1 - cross2) / (cross1 + cross2))
+    q = _ratio(cross1 - cross2, cross1 + cross2)
     out = cells.withColumns({"statistic": chi, "yule_q": q, "sparse": smallest < 5})
     return out.withColumn("p_value", D.chi2_p(F.col("statistic"), F.lit(1.0))) if p_values else out
 
@@ -526,7 +530,7 @@ def normality(df: DataFrame, schema: TableSchema, groups, name: str, exclude_ove
         F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"),
         (F.kurtosis("value") + 3).alias("b2"),
     )
-    n, g1, b2 = F.col("n"), F.col("g1"), F.col("b2")
+    n, g1, b2 = F.when(F.col("n") >= 30, F.col("n")), F.col("g1"), F.col("b2")  # too few rows: NULL
     c = F.col
     # Each step is a projection of its own; written as one expression it would repeat its parts many times.
     steps = [
@@ -541,13 +545,13 @@ def normality(df: DataFrame, schema: TableSchema, groups, name: str, exclude_ove
         {"z1": F.log(c("r") + F.sqrt(c("r") * c("r") + 1)) / F.sqrt(0.5 * F.log("w2")),
          # Kurtosis, likewise.
          "z2": (1 - 2 / (9 * c("a")) - F.signum("d") * F.cbrt((1 - 2 / c("a")) / F.abs("d"))) / F.sqrt(2 / (9 * c("a")))},
-        {"statistic": F.when(n >= 30, c("z1") * c("z1") + c("z2") * c("z2"))},
+        {"statistic": c("z1") * c("z1") + c("z2") * c("z2")},
         {"p_value": F.exp(-c("statistic") / 2)},
     ]
     for step in steps:
         shape = shape.withColumns(step)
     return shape.select(
-        "group", n.cast("long").alias("n"), "statistic", "p_value", (c("p_value") > 0.05).alias("is_normal")
+        "group", c("n").cast("long").alias("n"), "statistic", "p_value", (c("p_value") > 0.05).alias("is_normal")
     )
 
 

@@ -8,11 +8,11 @@ import random
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import tokens as K
+from ..session import cut_lineage
 from .clustering import density_clusters
 from .topics import extract_topics, topic_counts
 from .vectors import merge_topics
@@ -34,7 +34,9 @@ def leading_words(topics: DataFrame, n: int = TOP) -> DataFrame:
 
 def topic_diversity(topics: DataFrame, n: int = TOP) -> DataFrame:
     """Distinct words over all words in the leading lists."""
-    return leading_words(topics, n).agg((F.count_distinct("word") / F.count("word")).alias("diversity"))
+    return leading_words(topics, n).agg(
+        F.try_divide(F.count_distinct("word"), F.count("word")).alias("diversity")
+    )
 
 
 def window_counts(documents: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -94,7 +96,7 @@ def coherence_cv(documents: DataFrame, topics: DataFrame, window: int = WINDOW,
     cosine between these vectors and their sum. ``documents`` has ``document``.
     """
     words = leading_words(topics, n)
-    counts = window_counts(documents, words, window)
+    counts = cut_lineage(window_counts(documents, words, window))  # small, and used three times below
     lengths = F.size(K.words(F.col("document")))
     total = documents.filter(F.col("document").isNotNull()).agg(
         F.sum(F.greatest(lengths - window + 1, F.lit(1))).cast("double").alias("t")
@@ -122,7 +124,7 @@ def coherence_cv(documents: DataFrame, topics: DataFrame, window: int = WINDOW,
         F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("ns"),
     )
     norm = F.col("nx") * F.col("ns")
-    cosine = F.when(norm > 0, F.col("dot") / norm).otherwise(F.lit(0.0))
+    cosine = F.coalesce(F.try_divide(F.col("dot"), norm), F.lit(0.0))
     return paired.groupBy("topic").agg(
         F.avg(cosine).alias("coherence"), F.stddev_pop(cosine).alias("std_dev"), F.count(F.lit(1)).alias("support")
     )

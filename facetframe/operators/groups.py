@@ -191,8 +191,7 @@ def cooccurrence(df: DataFrame, schema: TableSchema, groups) -> DataFrame:
         _total(a & b).alias("cooccurrence"),
     )
     n, x, y = (F.col(c).cast("double") for c in ("total", "frequency1", "frequency2"))
-    spread = F.sqrt(x * (n - x)) * F.sqrt(y * (n - y))
-    phi = F.when(spread > 0, (n * F.col("cooccurrence") - x * y) / spread)
+    phi = F.try_divide(n * F.col("cooccurrence") - x * y, F.sqrt(x * (n - x)) * F.sqrt(y * (n - y)))
     return counts.select("group1", "group2", "frequency1", "frequency2", "cooccurrence", phi.alias("correlation"))
 
 
@@ -228,11 +227,11 @@ def contingency_table(
     columns = counts.groupBy("value").agg(F.sum("observed").alias("column_total"))
     total = counts.agg(F.sum("observed").cast("double").alias("t")).scalar()
     joined = counts.join(rows, "gid").join(columns, "value").withColumn("total", total)
-    expected = F.col("row_total") * F.col("column_total") / F.col("total")
+    expected = F.try_divide(F.col("row_total") * F.col("column_total"), F.col("total"))
     joined = joined.withColumn("expected", expected).withColumn("residual", F.col("observed") - F.col("expected"))
     return joined.select(
         "group", "value", "observed", "expected", "residual",
-        F.when(F.col("expected") > 0, F.col("residual") / F.sqrt("expected")).alias("standardized_residual"),
+        F.try_divide("residual", F.sqrt("expected")).alias("standardized_residual"),
     )
 
 

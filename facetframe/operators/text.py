@@ -1,10 +1,10 @@
 """Text clean-up for topic words and for embeddings.
 
-The work is done on a *token table* (document id, position, token). Lookups of
-tokens (lemmas, phrases, vocabulary) are equi-joins against tables with one row
-per token; the token side is salted, because a frequent word may make up a large
-share of all tokens. While the lookup side is small by Spark's own measure, AQE
-turns the join into a broadcast and the salt costs nothing.
+The work is done on a *token table* (document id, position, token, next token).
+Lookups of tokens (lemmas, phrases, vocabulary) are equi-joins against tables
+with one row per token. A table that was counted and found small is broadcast, so
+the tokens are shuffled once, by document. A larger one is joined with salted
+keys, because a frequent word may make up a large share of all tokens.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from ..errors import EmptyDataError, ValidationError
 from ..filters import Filter, filter_table
 from ..functions import tokens as K
 from ..schema import INDEX, TableSchema, quoted
+from ..session import cut_lineage
 
 SALTS = 16
+BROADCAST_ROWS = 500_000  # of two short words each: well below 100 MB
 
 
 @dataclass(frozen=True)
@@ -54,15 +56,21 @@ class TextConfig:
         return sorted(words - {w.lower() for w in self.ignore_tokens})
 
 
-def lookup(tokens: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join a token table with a one-row-per-key table, spreading each key over salts."""
+def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
+    """Join a token table with a table that has one row per key.
+
+    ``rows`` is the counted size of ``table``; without it, or beyond the bound,
+    each key is spread over salts.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return tokens.join(F.broadcast(table), keys, how)
     salted = tokens.withColumn("__salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
-    """``id``, ``pos``, ``token`` of what remains of each text.
+    """``id``, ``pos``, ``token``, ``next`` of what remains of each text.
 
     E-mail addresses, links and numbers become EMAIL, URL and NUMBER (each
     optional) before anything is dropped; then stop words, punctuation and short
@@ -91,18 +99,18 @@ def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), le
 
     ref = F.col(quoted(name))
     kept = F.filter(F.transform(K.tokenize(ref), replace), keep)
-    tokens = df.filter(ref.isNotNull()).select(F.col(INDEX).alias("id"), F.posexplode(kept).alias("pos", "token"))
+    arrays = df.filter(ref.isNotNull()).select(F.col(INDEX).alias("id"), kept.alias("t"))
+    # The next token is paired up inside the document, before it is taken apart.
+    following = F.slice(F.col("t"), F.lit(2), F.greatest(F.size("t"), F.lit(1)))
+    zipped = F.posexplode(F.arrays_zip(F.col("t").alias("token"), following.alias("next")))
+    tokens = arrays.select("id", zipped.alias("pos", "z")).select("id", "pos", "z.token", "z.next")
     if lemmas is None:
         return tokens
     table = lemmas.groupBy("token").agg(F.min(F.lower("lemma")).alias("lemma"))
-    joined = lookup(tokens, table, "token").withColumn("token", F.coalesce("lemma", "token"))
-    joined = joined.select("id", "pos", "token")
-    return joined.filter(~F.col("token").isin(*stop)) if stop else joined
-
-
-def _with_next(tokens: DataFrame) -> DataFrame:
+    joined = lookup(tokens.drop("next"), table, ["token"]).withColumn("token", F.coalesce("lemma", "token"))
+    joined = joined.filter(~F.col("token").isin(*stop)) if stop else joined
     order = W.partitionBy("id").orderBy("pos")
-    return tokens.withColumn("next", F.lead("token").over(order))
+    return joined.select("id", "pos", "token", F.lead("token").over(order).alias("next"))
 
 
 def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0) -> DataFrame:
@@ -112,7 +120,7 @@ def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0) -> DataF
     the distinct words and pairs.
     """
     single = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pair = _with_next(tokens).filter("next IS NOT NULL").groupBy("token", "next").agg(
+    pair = tokens.filter("next IS NOT NULL").groupBy("token", "next").agg(
         F.count(F.lit(1)).cast("double").alias("n_pair")
     )
     vocabulary = single.agg(F.count(F.lit(1)).alias("v")).scalar()
@@ -127,7 +135,7 @@ def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0) -> DataF
     return scored.select("token", "next", score.alias("score")).filter(F.col("score") > threshold)
 
 
-def merge_phrases(tokens: DataFrame, found: DataFrame) -> DataFrame:
+def merge_phrases(tokens: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
     """Join phrase words with ``_``, left to right, each word used once.
 
     Where phrases overlap (a-b, b-c, c-d) the leftmost wins; along an unbroken run
@@ -135,10 +143,7 @@ def merge_phrases(tokens: DataFrame, found: DataFrame) -> DataFrame:
     """
     order = W.partitionBy("id").orderBy("pos")
     table = found.select("token", "next", F.lit(True).alias("is_phrase"))
-    pairs = _with_next(tokens)
-    salted = pairs.withColumn("__salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    flagged = salted.join(copies, ["token", "next", "__salt"], "left").withColumn(
+    flagged = lookup(tokens, table, ["token", "next"], "left", rows).withColumn(
         "is_phrase", F.coalesce("is_phrase", F.lit(False))
     )
     nth = F.row_number().over(order)
@@ -170,9 +175,9 @@ def vocabulary(tokens: DataFrame, documents: DataFrame, config: TextConfig) -> D
     return kept.select("token", "df")
 
 
-def prune_vocabulary(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+def prune_vocabulary(tokens: DataFrame, vocab: DataFrame, rows: int | None = None) -> DataFrame:
     """Drop tokens outside the vocabulary; it may be large, so this is a join."""
-    return lookup(tokens, vocab.select("token"), "token", "inner").select("id", "pos", "token")
+    return lookup(tokens, vocab.select("token"), ["token"], "inner", rows).select("id", "pos", "token")
 
 
 def to_documents(tokens: DataFrame, min_length: int) -> DataFrame:
@@ -184,11 +189,17 @@ def to_documents(tokens: DataFrame, min_length: int) -> DataFrame:
 
 
 def preprocess_heavy(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
-    """``id``, ``document`` for every text that survives clean-up, phrases and pruning."""
+    """``id``, ``document`` for every text that survives clean-up, phrases and pruning.
+
+    The stages are stored: each is read several times, and the sizes of the
+    phrase and word lists decide how they are looked up.
+    """
     documents = df.filter(F.col(quoted(name)).isNotNull())
-    tokens = clean_tokens(df, name, config, lemmas)
-    tokens = merge_phrases(tokens, phrases(tokens, config.min_df, config.phrase_threshold))
-    pruned = prune_vocabulary(tokens, vocabulary(tokens, documents, config))
+    tokens = cut_lineage(clean_tokens(df, name, config, lemmas))
+    found = cut_lineage(phrases(tokens, config.min_df, config.phrase_threshold))
+    merged = cut_lineage(merge_phrases(tokens, found, found.count()))
+    vocab = cut_lineage(vocabulary(merged, documents, config))
+    pruned = prune_vocabulary(merged, vocab, vocab.count())
     return to_documents(pruned, config.min_document_length)
 
 

@@ -116,7 +116,7 @@ def filtered_topics(
     idf = term_idf(counts)
     share = lambda frame: frame.join(
         frame.groupBy("class").agg(F.sum(F.abs("weight")).alias("norm")), "class"
-    ).select("class", "term", (F.col("weight") / F.col("norm")).alias("weight"))
+    ).select("class", "term", F.try_divide("weight", "norm").alias("weight"))
     whole = share(ctfidf(counts, idf)).filter(F.col("class") >= 0)
 
     local_rows = filter_table(valid, schema, flt)

@@ -12,11 +12,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import tokens as K
 from ..schema import quoted
+from ..session import cut_lineage
 
 # A centroid table this large (in numbers) still fits easily in every task.
 MAX_SHARED_NUMBERS = 4_000_000
@@ -36,14 +38,19 @@ def embed_lsa(documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df
     The weights are ln((1 + n) / (1 + df)), rows are scaled to unit length.
     """
     bag = documents.select("id", K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0)
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, maxDF=max_df, vocabSize=max_terms).fit(bag)
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_terms)
+    if max_df < 1.0:  # the setter reads 1.0 as "one document"
+        counter = counter.setMaxDF(max_df)
+    counter = counter.fit(bag)
     size = min(size, len(counter.vocabulary) - 1)
     if size < 1:
         raise ValidationError("too few terms for a decomposition")
     counted = counter.transform(bag)
     weighted = IDF(inputCol="tf", outputCol="w").fit(counted).transform(counted)
     unit = Normalizer(inputCol="w", outputCol="unit").transform(weighted).select(F.col("id").alias("index"), "unit")
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(unit.withColumnRenamed("unit", "vector"), "vector"))
+    # The decomposition multiplies by the matrix many times: store it first.
+    stored = cut_lineage(unit.withColumnRenamed("unit", "vector"))
+    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(stored, "vector"))
     svd = matrix.computeSVD(size, computeU=True)
     scale = svd.s.toArray()
     rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray() * scale]))
@@ -152,8 +159,6 @@ def merge_topics(assigned: DataFrame, max_topics: int) -> DataFrame:
 
 def renumber(assigned: DataFrame) -> DataFrame:
     """Topic ids by size, largest first; -1 stays. The size table has one row per topic."""
-    from pyspark.sql import Window as W
-
     sizes = assigned.filter("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
     order = W.partitionBy(F.lit(0)).orderBy(F.col("size").desc(), "topic")
     ranks = sizes.select("topic", (F.row_number().over(order) - 1).alias("__rank"))
