@@ -6,6 +6,8 @@ import textwrap
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import configure
 
@@ -27,3 +29,19 @@ def query(sql: str | None = None):
         return function
 
     return register
+
+
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Round every DOUBLE column, so that sums taken in another order compare equal."""
+    columns = []
+    for field in df.schema.fields:
+        ref = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DoubleType):
+            ref = (F.round(ref, other.get(field.name, digits)) + F.lit(0.0)).alias(field.name)
+        columns.append(ref)
+    return df.select(*columns)
+
+
+def r(expression: str, digits: int = 6) -> str:
+    """The same rounding in SQL."""
+    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0"
