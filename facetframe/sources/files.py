@@ -10,29 +10,47 @@ from pyspark.sql import types as T
 
 from ..schema import INDEX, quoted
 
-_CORRUPT = "__corrupt"
+# Texts that mean "missing" in a CSV cell.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+_OVERFLOW = "__overflow"
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True) -> DataFrame:
     """CSV with a header. Rows with too many fields are skipped; short rows are padded with NULL.
 
-    Spark reports both kinds of rows as corrupt, so the corrupt text is parsed
-    once more to count its fields and only the long ones are dropped.
+    The file is read with one column more than the header has; it is filled only
+    in rows that are too long. ``infer`` turns columns whose values all read as
+    whole numbers, numbers or truth values into those types, with one
+    aggregation over the file.
     """
-    options = {"header": True, "sep": delimiter, "encoding": "UTF-8", "multiLine": False, "escape": '"'}
-    typed = spark.read.options(**options, inferSchema=infer).csv(path).schema
-    width = len(typed.fields)
-    schema = T.StructType(typed.fields + [T.StructField(_CORRUPT, T.StringType())])
-    rows = spark.read.options(
-        **options, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True
-    ).csv(path, schema=schema)
-    # One column more than the header: it is filled only when the row is too long.
-    probe = ", ".join(f"f{i} STRING" for i in range(width + 1))
-    parsed = F.from_csv(
-        F.col(_CORRUPT), probe, {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'}
-    )
-    too_long = F.col(_CORRUPT).isNotNull() & parsed[f"f{width}"].isNotNull()
-    return rows.filter(~F.coalesce(too_long, F.lit(False))).drop(_CORRUPT)
+    options = {"sep": delimiter, "encoding": "UTF-8", "escape": '"'}
+    names = spark.read.options(**options, header=True).csv(path).columns
+    # A marker that no file holds keeps empty cells apart from absent ones.
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
+    rows = spark.read.options(**options, header=True, enforceSchema=True, nullValue="\u0001", emptyValue="").csv(path, schema=text)
+    rows = rows.filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
+    rows = rows.select(*[
+        F.when(~F.col(quoted(n)).isin(*MISSING), F.col(quoted(n))).alias(n) for n in names
+    ])
+    if not infer:
+        return rows
+    kinds = {"long": "bigint", "double": "double"}
+    measures = []
+    for i, n in enumerate(names):
+        ref = F.col(quoted(n))
+        measures.append(F.count(ref).alias(f"n{i}"))
+        measures += [F.count(ref.try_cast(t)).alias(f"{k}{i}") for k, t in kinds.items()]
+        measures.append(F.count_if(F.lower(ref).isin("true", "false")).alias(f"bool{i}"))
+    found = rows.agg(*measures).first()
+    typed = []
+    for i, n in enumerate(names):
+        ref, total = F.col(quoted(n)), found[f"n{i}"]
+        target = next((t for k, t in {**kinds, "bool": "boolean"}.items() if total and found[f"{k}{i}"] == total), None)
+        typed.append((ref.try_cast(target) if target else ref).alias(n))
+    return rows.select(*typed)
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
