@@ -98,7 +98,9 @@ def density_clusters(
 
     ``vectors`` holds ``id`` and a short ``vec`` (see ``reduce_dimensions``). The
     cell size is set so that the middle of a normal cloud would hold twice
-    ``min_samples`` documents per cell; ``resolution`` scales the cells.
+    ``min_samples`` documents per cell; ``resolution`` scales the cells. Copies
+    of a document share a place, and the size is taken from the distinct places,
+    so that a much-copied text does not thin out the other clusters.
     Clusters above ``max_topic_size`` (a share of all documents) are split with
     cells half as wide, up to six times; what stays too large becomes outliers.
     """
@@ -109,15 +111,16 @@ def density_clusters(
     dimensions = points.select(F.max(F.size("vec"))).first()[0]
     if dimensions is None:
         return points.select("id", F.lit(-1).alias("topic"))
-    spread = points.agg(
-        F.count(F.lit(1)).alias("n"),
+    places = points.groupBy("vec").agg(F.count(F.lit(1)).alias("copies"))
+    spread = places.agg(
+        F.count(F.lit(1)).alias("places"), F.sum("copies").alias("n"),
         *[F.coalesce(F.stddev_pop(F.col("vec")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(dimensions)],
     ).first()
     n = spread["n"]
     limit = None if max_topic_size is None else int(max_topic_size * n)
     if limit is not None and min_topic_size >= limit:
         raise ValidationError("min_topic_size is not below the maximal topic size")
-    unit = (2 * min_samples * (2 * math.pi) ** (dimensions / 2) / n) ** (1 / dimensions) / resolution
+    unit = (2 * min_samples * (2 * math.pi) ** (dimensions / 2) / spread["places"]) ** (1 / dimensions) / resolution
     side = [max(spread[f"s{i}"] * unit, 1e-12) for i in range(dimensions)]
 
     done, pending = [], points

@@ -55,7 +55,7 @@ def design_table(df: DataFrame, schema: TableSchema, groups, target, constrain:
         rows = df.withColumn("__levels", levels.expression()).filter(levels.size("__levels") > 0)
         first = [F.when(levels.has(i, "__levels"), F.lit(i)) for i in range(len(levels))]
         order = F.coalesce(*first)
-        level = F.element_at(F.array(*[F.lit(g.name) for g in levels.groups]), order + 1)
+        level = F.get(F.array(*[F.lit(g.name) for g in levels.groups]), order)
         # A row in several levels shows up under an impossible level and is refused later.
         order = F.when(levels.size("__levels") > 1, F.lit(-1)).otherwise(order)
     else:

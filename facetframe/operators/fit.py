@@ -81,9 +81,9 @@ def calendar_column(feature: str, instant: SparkColumn) -> SparkColumn:
     if feature == "date":
         return nearest_day(instant)
     if feature == "monthly":
-        return F.element_at(F.array(*[F.lit(m) for m in S.MONTHS]), F.month(instant))
+        return F.get(F.array(*[F.lit(m) for m in S.MONTHS]), F.month(instant) - 1)
     if feature == "day_of_week":
-        return F.element_at(F.array(*[F.lit(d) for d in S.DAYS_OF_WEEK]), F.dayofweek(instant))
+        return F.get(F.array(*[F.lit(d) for d in S.DAYS_OF_WEEK]), F.dayofweek(instant) - 1)
     return F.date_format(instant, "HH:00")
 
 
