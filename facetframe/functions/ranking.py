@@ -34,7 +34,7 @@ def with_bucket(df: DataFrame, source: DataFrame, value: str) -> DataFrame:
         F.array_distinct(F.percentile_approx(value, points, F.lit(SKETCH_ACCURACY))).alias("splits")
     ).scalar()
     return df.withColumn("__splits", splits).withColumn(
-        "bucket", F.size(F.filter("__splits", lambda s: s < F.col(value)))
+        "bucket", F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0))
     ).drop("__splits")
 
 

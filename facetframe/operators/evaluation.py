@@ -43,12 +43,22 @@ def window_counts(documents: DataFrame, words: DataFrame, window: int = WINDOW)
     """``w1``, ``w2``, ``n``: sliding windows that hold both words (or one, when equal).
 
     Only pairs of words that share a topic are counted. A text of at most
-    ``window`` words is one window, a longer one has a window at every start.
-    Each document is handled where it lies; the tasks return summed counts.
+    ``window`` words is one window, a longer one has a window at every start. The
+    row with NULL words holds the number of all windows. Each document is handled
+    where it lies; the tasks return summed counts.
     """
-    listed = words.select("topic", "word").limit(MAX_TOPIC_WORDS + 1).collect()
+    return _window_counts(documents, _listed(words), window)
+
+
+def _listed(words: DataFrame) -> list:
+    """The leading words on the driver, after a check that they are few."""
+    listed = words.limit(MAX_TOPIC_WORDS + 1).collect()
     if len(listed) > MAX_TOPIC_WORDS:
         raise ValidationError("too many topic words")
+    return listed
+
+
+def _window_counts(documents: DataFrame, listed: list, window: int) -> DataFrame:
     partners: dict[str, set[str]] = {}
     by_topic: dict[int, list[str]] = {}
     for row in listed:
@@ -58,11 +68,12 @@ def window_counts(documents: DataFrame, words: DataFrame, window: int = WINDOW)
             partners.setdefault(word, set()).update(w for w in group if w >= word)
 
     def count(batches):
-        totals: dict[tuple[str, str], int] = {}
+        totals: dict[tuple[str | None, str | None], int] = {}
         for batch in batches:
             for terms in batch["terms"]:
                 length = len(terms)
                 starts = max(length - window + 1, 1)
+                totals[None, None] = totals.get((None, None), 0) + starts
                 places: dict[str, list[int]] = {}
                 for at, term in enumerate(terms):
                     if term in partners:
@@ -95,12 +106,13 @@ def coherence_cv(documents: DataFrame, topics: DataFrame, window: int = WINDOW,
     information with all leading words of the topic. The coherence is the mean
     cosine between these vectors and their sum. ``documents`` has ``document``.
     """
-    words = leading_words(topics, n)
-    counts = cut_lineage(window_counts(documents, words, window))  # small, and used three times below
-    lengths = F.size(K.words(F.col("document")))
-    total = documents.filter(F.col("document").isNotNull()).agg(
-        F.sum(F.greatest(lengths - window + 1, F.lit(1))).cast("double").alias("t")
-    ).scalar()
+    listed = _listed(leading_words(topics, n))
+    spark = documents.sparkSession
+    words = spark.createDataFrame([tuple(w) for w in listed], "topic int, place int, word string")
+    # Small, and used several times below.
+    found = cut_lineage(_window_counts(documents, listed, window))
+    total = found.filter("w1 IS NULL").agg(F.max("n").cast("double").alias("t")).scalar()
+    counts = found.filter("w1 IS NOT NULL")
 
     first = words.select("topic", F.col("place").alias("p1"), F.col("word").alias("a"))
     second = words.select("topic", F.col("place").alias("p2"), F.col("word").alias("b"))

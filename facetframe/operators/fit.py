@@ -40,8 +40,11 @@ def java_pattern(fmt: str) -> str:
     return "".join(out)
 
 
-def fit_continuous(ref: SparkColumn) -> SparkColumn:
+def fit_continuous(ref: SparkColumn, whole: bool = False) -> SparkColumn:
+    """A double without NaN; ``whole`` numbers cannot be NaN and need no test."""
     number = ref.try_cast("double")
+    if whole:
+        return number
     return F.when(~F.isnan(number), number)
 
 
@@ -135,7 +138,7 @@ def _fit_column(df: DataFrame, column: Column) -> SparkColumn:
     ref = F.col(quoted(column.name))
     data_type = df.schema[column.name].dataType.typeName()
     if column.type == S.CONTINUOUS:
-        return fit_continuous(ref)
+        return fit_continuous(ref, data_type in ("byte", "short", "integer", "long"))
     if column.type == S.GEOSPATIAL:
         return fit_geospatial(ref, column.role)
     if column.type in (S.TEXTUAL, S.UNIQUE):
