@@ -12,12 +12,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..session import cut_lineage
-from .vectors import renumber
+from .vectors import numbered, renumber
 
 SALTS = 16
 MAX_ROUNDS = 60
@@ -146,7 +145,6 @@ def density_clusters(
         assigned = assigned.unionByName(part)
     # Number the clusters in a fixed order first, then by size.
     names = assigned.filter("cluster IS NOT NULL").select("cluster").distinct()
-    order = W.partitionBy(F.lit(0)).orderBy("cluster")
-    numbered = names.select("cluster", (F.row_number().over(order) - 1).alias("topic"))
-    with_ids = assigned.join(numbered, "cluster", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
+    ids = numbered(names, "cluster").select("cluster", F.col("number").alias("topic"))
+    with_ids = assigned.join(ids, "cluster", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
     return renumber(with_ids)

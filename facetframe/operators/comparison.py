@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -113,6 +114,11 @@ def moments(df: DataFrame, patterns: Patterns, value: SparkColumn) -> DataFrame:
     )
 
 
+def _grand_mean(table: DataFrame) -> SparkColumn:
+    """The mean over all patterns, as a scalar subquery."""
+    return table.agg(_ratio(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("center")).scalar()
+
+
 def _merge(side: SparkColumn, center: SparkColumn) -> tuple[SparkColumn, SparkColumn, SparkColumn]:
     """n, mean and m2 of the patterns on one side, taken around ``center`` for accuracy."""
     pick = lambda e: F.coalesce(F.sum(F.when(side, e)), F.lit(0.0))
@@ -125,8 +131,7 @@ def _merge(side: SparkColumn, center: SparkColumn) -> tuple[SparkColumn, SparkCo
 def two_sample_moments(df: DataFrame, comparisons: Comparisons, value: SparkColumn) -> DataFrame:
     """``cid``, names and ``n1 mean1 var1 n2 mean2 var2`` per comparison."""
     table = moments(df, comparisons.patterns, value)
-    center = F.sum(F.col("n") * F.col("mean")).over(W.partitionBy(F.lit(0))) / F.sum("n").over(W.partitionBy(F.lit(0)))
-    table = table.withColumn("center", center).select("*", comparisons.explode())
+    table = table.withColumn("center", _grand_mean(table)).select("*", comparisons.explode())
     a, b = comparisons.exploded_sides()
     n1, mean1, m21 = _merge(a, F.col("center"))
     n2, mean2, m22 = _merge(b, F.col("center"))
@@ -180,7 +185,7 @@ def exact_u_two_sided(u: float, n1: int, n2: int) -> float:
     n1, n2 = sorted((int(n1), int(n2)))
     top = n1 * n2
     # counts of subsets by rank sum: multiply by (1 - x^(n2+i)) / (1 - x^i) for i = 1..n1
-    counts = pd.Series(0.0, index=range(top + 1)).to_numpy()
+    counts = np.zeros(top + 1)
     counts[0] = 1.0
     for i in range(1, n1 + 1):
         shifted = counts.copy()
@@ -424,9 +429,7 @@ def omnibus_statistics(
 
     if test == "anova":
         table = moments(df, patterns, F.col(quoted(name))).filter(kept)
-        whole = W.partitionBy(F.lit(0))
-        center = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
-        table = table.withColumn("center", center).select("*", patterns.each_group())
+        table = table.withColumn("center", _grand_mean(table)).select("*", patterns.each_group())
         n, mean, m2 = _merge(patterns.has(F.col("gid")), F.col("center"))
         per_group = table.groupBy("gid").agg(
             n.alias("n"), mean.alias("mean"), m2.alias("m2"), F.max("center").alias("center")
@@ -522,6 +525,21 @@ def binary_contingency(df: DataFrame, schema: TableSchema, groups, name: str, p_
     return out.withColumn("p_value", D.chi2_p(F.col("statistic"), F.lit(1.0))) if p_values else out
 
 
+@F.pandas_udf(T.DoubleType())
+def _k_squared(n: pd.Series, g1: pd.Series, b2: pd.Series) -> pd.Series:
+    """D'Agostino and Pearson: squared normal variates of skewness and kurtosis. One row per group."""
+    y = g1 * ((n + 1) * (n + 3) / (6 * (n - 2))) ** 0.5
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = (2 * (beta - 1)) ** 0.5 - 1
+    z1 = np.arcsinh(y / (2 / (w2 - 1)) ** 0.5) / (0.5 * np.log(w2)) ** 0.5
+    x = (b2 - 3 * (n - 1) / (n + 1)) / (24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) ** 0.5
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * (6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) ** 0.5
+    a = 6 + 8 / root * (2 / root + (1 + 4 / root**2) ** 0.5)
+    d = 1 + x * (2 / (a - 4)) ** 0.5
+    z2 = (1 - 2 / (9 * a) - np.sign(d) * np.cbrt((1 - 2 / a) / d.abs())) / (2 / (9 * a)) ** 0.5
+    return z1**2 + z2**2
+
+
 def normality(df: DataFrame, schema: TableSchema, groups, name: str, exclude_overlapping: bool = False) -> DataFrame:
     """D'Agostino's K^2 per group. The p-value is exp(-K2/2), the chi-squared tail for two degrees."""
     schema.get(name, (S.CONTINUOUS,))
@@ -530,29 +548,12 @@ def normality(df: DataFrame, schema: TableSchema, groups, name: str, exclude_ove
         F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"),
         (F.kurtosis("value") + 3).alias("b2"),
     )
-    n, g1, b2 = F.when(F.col("n") >= 30, F.col("n")), F.col("g1"), F.col("b2")  # too few rows: NULL
-    c = F.col
-    # Each step is a projection of its own; written as one expression it would repeat its parts many times.
-    steps = [
-        # Skewness, transformed to a normal variate.
-        {"y": g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))),
-         "beta": 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)),
-         "x": (b2 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))),
-         "root": 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))},
-        {"w2": F.sqrt(2 * (c("beta") - 1)) - 1,
-         "a": 6 + 8 / c("root") * (2 / c("root") + F.sqrt(1 + 4 / (c("root") * c("root"))))},
-        {"r": c("y") / F.sqrt(2 / (c("w2") - 1)), "d": 1 + c("x") * F.sqrt(2 / (c("a") - 4))},
-        {"z1": F.log(c("r") + F.sqrt(c("r") * c("r") + 1)) / F.sqrt(0.5 * F.log("w2")),
-         # Kurtosis, likewise.
-         "z2": (1 - 2 / (9 * c("a")) - F.signum("d") * F.cbrt((1 - 2 / c("a")) / F.abs("d"))) / F.sqrt(2 / (9 * c("a")))},
-        {"statistic": c("z1") * c("z1") + c("z2") * c("z2")},
-        {"p_value": F.exp(-c("statistic") / 2)},
-    ]
-    for step in steps:
-        shape = shape.withColumns(step)
-    return shape.select(
-        "group", c("n").cast("long").alias("n"), "statistic", "p_value", (c("p_value") > 0.05).alias("is_normal")
+    k2 = _k_squared("n", "g1", "b2")
+    shape = shape.filter("n >= 30").withColumn("statistic", k2).unionByName(
+        shape.filter("n < 30").withColumn("statistic", F.lit(None).cast("double"))
     )
+    p = F.exp(-F.col("statistic") / 2)
+    return shape.select("group", F.col("n").cast("long").alias("n"), "statistic", p.alias("p_value"), (p > 0.05).alias("is_normal"))
 
 
 def normality_warnings(

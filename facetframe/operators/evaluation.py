@@ -70,12 +70,11 @@ def _window_counts(documents: DataFrame, listed: list, window: int) -> DataFrame
     def count(batches):
         totals: dict[tuple[str | None, str | None], int] = {}
         for batch in batches:
-            for terms in batch["terms"]:
-                length = len(terms)
+            for length, places_of, terms in zip(batch["length"], batch["places"], batch["terms"]):
                 starts = max(length - window + 1, 1)
                 totals[None, None] = totals.get((None, None), 0) + starts
                 places: dict[str, list[int]] = {}
-                for at, term in enumerate(terms):
+                for at, term in zip(places_of, terms):
                     if term in partners:
                         places.setdefault(term, []).append(at)
                 seen = {}
@@ -95,7 +94,14 @@ def _window_counts(documents: DataFrame, listed: list, window: int) -> DataFrame
         if totals:
             yield pd.DataFrame([(a, b, n) for (a, b), n in totals.items()], columns=["w1", "w2", "n"])
 
-    bags = documents.filter(F.col("document").isNotNull()).select(K.words(F.col("document")).alias("terms"))
+    # Only the places of topic words leave the JVM, next to the length of the text.
+    bags = documents.filter(F.col("document").isNotNull()).select(K.words(F.col("document")).alias("t"))
+    placed = F.transform("t", lambda t, i: F.struct(i.alias("at"), t.alias("term")))
+    if len(partners) <= 10_000:
+        placed = F.filter(placed, lambda x: x["term"].isin(*partners))
+    bags = bags.select(F.size("t").alias("length"), placed.alias("p")).select(
+        "length", F.col("p.at").alias("places"), F.col("p.term").alias("terms")
+    )
     return bags.mapInPandas(count, "w1 string, w2 string, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
 
 

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -130,7 +129,7 @@ def group_info(
     """Per group: ``empty_count``, ``valid_count``, ``overlap_count``, ``total_count`` (of the table)."""
     patterns = Patterns(groups, schema)
     table = pattern_counts(df, patterns, present=F.col(quoted(name)).isNotNull())
-    table = table.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0))))  # one row per pattern
+    table = table.withColumn("total", table.agg(F.sum("n").alias("t")).scalar())
     table = table.select("*", patterns.each_group())
     inside = patterns.has(F.col("gid"))
     present = F.col("present")

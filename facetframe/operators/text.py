@@ -2,7 +2,7 @@
 
 The work is done on a *token table* (document id, position, token, next token).
 Lookups of tokens (lemmas, phrases, vocabulary) are equi-joins against tables
-with one row per token. A table that was counted and found small is broadcast, so
+with one row per token. A table that was measured and found small is broadcast, so
 the tokens are shuffled once, by document. A larger one is joined with salted
 keys, because a frequent word may make up a large share of all tokens.
 """
@@ -24,7 +24,7 @@ from ..schema import INDEX, TableSchema, quoted
 from ..session import cut_lineage
 
 SALTS = 16
-BROADCAST_ROWS = 500_000  # of two short words each: well below 100 MB
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -56,13 +56,19 @@ class TextConfig:
         return sorted(words - {w.lower() for w in self.ignore_tokens})
 
 
-def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
+def measured_bytes(table: DataFrame, *columns: str) -> int:
+    """A generous estimate of the size of a word table in memory, from its count and its text lengths."""
+    text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    return table.agg(F.coalesce(F.sum(text + 64 * len(columns)), F.lit(0))).first()[0]
+
+
+def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], how: str = "left", size: int | None = None) -> DataFrame:
     """Join a token table with a table that has one row per key.
 
-    ``rows`` is the counted size of ``table``; without it, or beyond the bound,
-    each key is spread over salts.
+    ``size`` is the measured size of ``table`` in bytes; without it, or beyond
+    the bound, each key is spread over salts.
     """
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if size is not None and size <= BROADCAST_BYTES:
         return tokens.join(F.broadcast(table), keys, how)
     salted = tokens.withColumn("__salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -135,7 +141,7 @@ def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0) -> DataF
     return scored.select("token", "next", score.alias("score")).filter(F.col("score") > threshold)
 
 
-def merge_phrases(tokens: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
+def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None) -> DataFrame:
     """Join phrase words with ``_``, left to right, each word used once.
 
     Where phrases overlap (a-b, b-c, c-d) the leftmost wins; along an unbroken run
@@ -143,7 +149,7 @@ def merge_phrases(tokens: DataFrame, found: DataFrame, rows: int | None = None)
     """
     order = W.partitionBy("id").orderBy("pos")
     table = found.select("token", "next", F.lit(True).alias("is_phrase"))
-    flagged = lookup(tokens, table, ["token", "next"], "left", rows).withColumn(
+    flagged = lookup(tokens, table, ["token", "next"], "left", size).withColumn(
         "is_phrase", F.coalesce("is_phrase", F.lit(False))
     )
     nth = F.row_number().over(order)
@@ -175,9 +181,9 @@ def vocabulary(tokens: DataFrame, documents: DataFrame, config: TextConfig) -> D
     return kept.select("token", "df")
 
 
-def prune_vocabulary(tokens: DataFrame, vocab: DataFrame, rows: int | None = None) -> DataFrame:
+def prune_vocabulary(tokens: DataFrame, vocab: DataFrame, size: int | None = None) -> DataFrame:
     """Drop tokens outside the vocabulary; it may be large, so this is a join."""
-    return lookup(tokens, vocab.select("token"), ["token"], "inner", rows).select("id", "pos", "token")
+    return lookup(tokens, vocab.select("token"), ["token"], "inner", size).select("id", "pos", "token")
 
 
 def to_documents(tokens: DataFrame, min_length: int) -> DataFrame:
@@ -197,9 +203,9 @@ def preprocess_heavy(df: DataFrame, name: str, config: TextConfig = TextConfig()
     documents = df.filter(F.col(quoted(name)).isNotNull())
     tokens = cut_lineage(clean_tokens(df, name, config, lemmas))
     found = cut_lineage(phrases(tokens, config.min_df, config.phrase_threshold))
-    merged = cut_lineage(merge_phrases(tokens, found, found.count()))
+    merged = cut_lineage(merge_phrases(tokens, found, measured_bytes(found, "token", "next")))
     vocab = cut_lineage(vocabulary(merged, documents, config))
-    pruned = prune_vocabulary(merged, vocab, vocab.count())
+    pruned = prune_vocabulary(merged, vocab, measured_bytes(vocab, "token"))
     return to_documents(pruned, config.min_document_length)
 
 

@@ -12,16 +12,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import tokens as K
-from ..schema import quoted
+from ..schema import INDEX, quoted
 from ..session import cut_lineage
+from ..sources import with_row_index
 
 # A centroid table this large (in numbers) still fits easily in every task.
 MAX_SHARED_NUMBERS = 4_000_000
+MERGED_ON_DRIVER = 500  # topics
 
 
 def embed_column(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -121,14 +122,14 @@ def reduce_outliers(assigned: DataFrame) -> DataFrame:
 def merge_topics(assigned: DataFrame, max_topics: int) -> DataFrame:
     """Merge the two topics with the most similar mean vectors until ``max_topics`` remain.
 
-    The merge order is worked out on the topic means; beyond a few thousand
+    The merge order is worked out on the topic means; beyond a few hundred
     topics they are clustered with bisecting k-means instead. New ids follow
     topic size, the largest being 0.
     """
     shared = _centroid_matrix(assigned)
     if shared is not None and len(shared[0]) <= max_topics:
         return assigned.select("id", "topic")
-    if shared is not None and len(shared[0]) <= 2000:
+    if shared is not None and len(shared[0]) <= MERGED_ON_DRIVER:
         ids, means = shared
         counts = {r["topic"]: r["count"] for r in assigned.filter("topic >= 0").groupBy("topic").count().collect()}
         weight = np.array([counts[i] for i in ids], dtype=float)
@@ -157,12 +158,20 @@ def merge_topics(assigned: DataFrame, max_topics: int) -> DataFrame:
     return renumber(merged)
 
 
+def numbered(frame: DataFrame, *order) -> DataFrame:
+    """Add ``number``, 0..n-1 in the given order.
+
+    The frame is range-partitioned, stored, and numbered partition by partition,
+    so that no task holds all of it.
+    """
+    return with_row_index(cut_lineage(frame.orderBy(*order))).withColumnRenamed(INDEX, "number")
+
+
 def renumber(assigned: DataFrame) -> DataFrame:
-    """Topic ids by size, largest first; -1 stays. The size table has one row per topic."""
+    """Topic ids by size, largest first; -1 stays."""
     sizes = assigned.filter("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
-    order = W.partitionBy(F.lit(0)).orderBy(F.col("size").desc(), "topic")
-    ranks = sizes.select("topic", (F.row_number().over(order) - 1).alias("__rank"))
-    return assigned.join(ranks, "topic", "left").select("id", F.coalesce("__rank", F.lit(-1)).cast("int").alias("topic"))
+    ranks = numbered(sizes, F.col("size").desc(), "topic").select("topic", "number")
+    return assigned.join(ranks, "topic", "left").select("id", F.coalesce("number", F.lit(-1)).cast("int").alias("topic"))
 
 
 def topic_positions(assigned: DataFrame, topics: DataFrame) -> DataFrame:

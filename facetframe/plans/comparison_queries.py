@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import comparison as C
+from ..operators import design
 from ..operators import regression as R
 from . import tables as T
 from .profile_queries import LONG_SQL, MASKS_SQL
@@ -333,9 +334,16 @@ def linear_regression_fit(spark, folder):
     return rounded(fit, 3, r_squared=9)
 
 
-@query()
+@query("WITH t AS (SELECT CAST(m1 AS INT) AS a, CAST(m3 AS INT) AS b, price_known AS y FROM (" + MASKS_SQL + """) WHERE price_known IS NOT NULL),
+    s AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy,
+                 avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(y) AS sd FROM t),
+    c AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s)
+    SELECT 'Baseline' AS variable, """ + r("-(ma * ca + mb * cb) / sd", 7) + " AS value FROM c UNION ALL SELECT 'F orders', " + r("ca / sd", 7)
+       + " FROM c UNION ALL SELECT 'urgent', " + r("cb / sd", 7) + " FROM c")
 def linear_regression_overlapping(spark, folder):
-    return _flat(R.linear_regression(*T.orders(spark, folder), [OVERLAPPING[0], OVERLAPPING[2]], "price_known", "relative_to_baseline", standardized=True))
+    """Two overlapping groups on a standardised target: the normal equations solved by hand."""
+    model = R.linear_regression(*T.orders(spark, folder), [OVERLAPPING[0], OVERLAPPING[2]], "price_known", "relative_to_baseline", standardized=True)
+    return rounded(model.coefficients.select("variable", "value"), 7)
 
 
 @query("WITH t AS (SELECT * FROM (" + MASKS_SQL + """) WHERE price_known IS NOT NULL),
@@ -460,6 +468,27 @@ def score_linear(spark, folder):
     return rounded(R.score(df, schema, model).select(F.col("__index").alias("idx"), "prediction"), 3)
 
 
+@query(_ODDS + " SELECT o_orderkey AS idx, " + r("p", 5) + " AS prediction FROM orders JOIN g ON s = o_orderstatus")
+def score_logistic(spark, folder):
+    df, schema = T.orders(spark, folder)
+    model = R.logistic_regression(df, schema, BY_STATUS, "big", "relative_to_reference", "P")
+    return rounded(R.score(df, schema, model).select(F.col("__index").alias("idx"), "prediction"), 5)
+
+
+@query("WITH t AS (" + MASKS_SQL + """)
+    SELECT CAST(m1 AS INT) + 2 * CAST(m2 AS INT) + 4 * CAST(m3 AS INT)::BIGINT AS pattern, priority_known AS level, count(*)::DOUBLE AS n
+    FROM t WHERE priority_known IS NOT NULL AND k > 0 GROUP BY ALL""")
+def design_table(spark, folder):
+    """Rows per membership pattern and level, rows in no group left out."""
+    df, schema = T.orders(spark, folder)
+    return design.design_table(df, schema, OVERLAPPING, "priority_known", True, ("ordered-categorical",)).drop("position")
+
+
+@query()
+def normality_warnings(spark, folder):
+    return C.normality_warnings(*T.orders(spark, folder), BY_STATUS, "price_known", "t")
+
+
 @query(_LEVELS + """, p AS (SELECT s, c, n / sum(n) OVER (PARTITION BY s) AS p FROM n)
     SELECT o_orderkey AS idx, p.c AS level, """ + r("p", 5) + " AS p FROM orders JOIN p ON s = o_orderstatus")
 def score_multinomial(spark, folder):
