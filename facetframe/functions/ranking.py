@@ -10,6 +10,8 @@ inside a bucket, and the few bucket totals carry them across.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,18 +24,21 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def with_bucket(df: DataFrame, source: DataFrame, value: str) -> DataFrame:
-    """Add ``bucket``: how many split points lie below ``value``.
+def with_bucket(table: DataFrame, value: str, *counts: str) -> DataFrame:
+    """Add ``bucket`` to a value table: how many split points lie below ``value``.
 
-    The split points are approximate quantiles of ``source``, computed once by a
-    scalar subquery. How good they are affects balance only, never the result.
+    The split points are approximate quantiles of the distinct values, computed
+    once by a scalar subquery; how good they are affects balance only, never the
+    result. The subquery looks at all ``counts``, so that it needs the very
+    shuffle that the table itself needs, and Spark runs that once for both.
     """
-    n = bucket_count(df)
+    n = bucket_count(table)
     points = [i / n for i in range(1, n)]
-    splits = source.agg(
+    seen = reduce(lambda a, b: a | b, [F.col(c) >= 0 for c in counts])
+    splits = table.filter(seen).agg(
         F.array_distinct(F.percentile_approx(value, points, F.lit(SKETCH_ACCURACY))).alias("splits")
     ).scalar()
-    return df.withColumn("__splits", splits).withColumn(
+    return table.withColumn("__splits", splits).withColumn(
         "bucket", F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0))
     ).drop("__splits")
 
@@ -53,7 +58,7 @@ def rank_sums(rows: DataFrame, value: str, cells: dict[str, Column], pairs: list
     """
     names = list(cells)
     table = rows.groupBy(value).agg(*[F.count_if(c).cast("double").alias(n) for n, c in cells.items()])
-    table = with_bucket(table, rows, value)
+    table = with_bucket(table, value, *names)
     before = W.partitionBy("bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     below = {n: F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"below_{n}") for n in names}
     table = table.select("*", *below.values())
@@ -93,7 +98,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
     ignored; keys must not be NULL.
     """
     rows = rows.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    table = with_bucket(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), rows, "__v")
+    table = with_bucket(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), "__v", "__n")
 
     totals = table.groupBy(*keys, "bucket").agg(F.sum("__n").alias("held"))
     per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
