@@ -28,7 +28,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Labels flow along edges and then jump to the label of their label, so the
     number of rounds grows with the logarithm of a component's length. Each round
-    is written to the checkpoint folder.
+    is written to the shared folder.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.distinct())

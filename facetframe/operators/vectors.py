@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..functions import tokens as K
 from ..schema import INDEX, quoted
-from ..session import cut_lineage
+from ..session import cut_lineage, keep_in_order
 from ..sources import with_row_index
 
 # A centroid table this large (in numbers) still fits easily in every task.
@@ -164,7 +164,7 @@ def numbered(frame: DataFrame, *order) -> DataFrame:
     The frame is range-partitioned, stored, and numbered partition by partition,
     so that no task holds all of it.
     """
-    return with_row_index(cut_lineage(frame.orderBy(*order))).withColumnRenamed(INDEX, "number")
+    return with_row_index(keep_in_order(frame.orderBy(*order))).withColumnRenamed(INDEX, "number")
 
 
 def renumber(assigned: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..filters import affected_rows, filter_table, to_column
 from ..operators import fit as fitting
 from ..operators import infer, table
 from ..schema import CATEGORICAL, CONTINUOUS, INDEX, TEXTUAL, ORDERED, TEMPORAL, Column, TableSchema
+from ..session import stage_folder
 from ..sources import preview, prepare_source, read_csv, read_workspace, to_records, with_row_index, write_workspace
 from . import tables as T
 from .registry import query, r, rounded
@@ -18,12 +18,11 @@ from .tables import AND, DOCUMENTS_SQL, EQ, GT, IN, NOT, OR, ORDERS_SQL, TOPIC_D
 
 
 def _scratch(spark) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared folder."""
+    return f"{stage_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+@query("SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def csv_scan(spark, folder):
     path = _scratch(spark)
     part = T.load(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")

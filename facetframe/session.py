@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,35 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
+
+    It comes from ``spark.checkpoint.dir``; a temporary one is used only when the
+    session names none (single-machine tests).
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="stages-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only
-    when the session names none (single-machine tests).
+    The result has a flat plan, survives lost executors, and carries its true
+    size, by which Spark chooses join strategies.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
+    path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_in_order(df: DataFrame) -> DataFrame:
+    """Checkpoint a sorted frame; unlike files, the partitions keep their order."""
+    stage_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(stage_folder(df.sparkSession))
     return df.checkpoint(eager=True)
