@@ -6,7 +6,18 @@ import textwrap
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, url_filters
+from . import (
+    decontamination,
+    html_extraction,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+    url_filters,
+)
 from .common import prepare, table
 
 
@@ -34,6 +45,11 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract_pages(table(prepare(spark), folder, "pages"))
 
@@ -52,14 +68,19 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file(spark))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(prepare(spark), folder, "documents"))
 
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_url_filters, op2_secret_scan, op3_quality_rules, op5_html_extraction, op6_simhash, op7_quality_classifier,
-        op8_best_fit_packing, op10_sharding,
+        op1_url_filters, op2_secret_scan, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_simhash,
+        op7_quality_classifier, op8_best_fit_packing, op9_toxicity, op10_sharding,
     )
 }
 ORACLES = {"op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip()}
