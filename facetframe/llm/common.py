@@ -28,6 +28,19 @@ def extended(df: DataFrame, columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(columns).fields])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def arrow_map(df: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for frames with any column names; ``function`` works by position."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

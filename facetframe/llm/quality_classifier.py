@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import fold, totals, utf8, whole_text
+from .common import arrow_map, fold, totals, utf8, whole_text
 
 COSINES = 256
 RIDGE = 1e-3
@@ -220,12 +220,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents whose score is at least ``cut``, with all their columns."""
-    model = fit(cut_lineage(statistics_table(docs)), labels)
+    model, names = fit(cut_lineage(statistics_table(docs)), labels), docs.columns
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 keep = model.score(text_statistics(batch.column(batch.num_columns - 1))) >= cut
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(keep))
 
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), whole_text().alias("_whole")).mapInArrow(choose, docs.schema)
+    return arrow_map(docs.select(*(F.col(f"`{c}`") for c in docs.columns), whole_text()), choose, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import compile_patterns, parse, reverse
-from .common import whole_text
+from .common import arrow_map, whole_text
 
 
 class Rule(NamedTuple):
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     All rows and columns are kept.
     """
     compiled = compile_rules(rules)
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(compiled)
@@ -207,9 +207,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 texts[row] = b"".join([*out, data[before:]]).decode("utf-8", "surrogatepass")
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    cleaned = docs.mapInArrow(clean, docs.schema)
+    cleaned = arrow_map(docs, clean, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

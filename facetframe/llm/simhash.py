@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import extended, whole_text
+from .common import arrow_map, extended, fresh, whole_text
 from .graph import components
 
 WORDS = 3
@@ -50,24 +50,25 @@ def text_fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """Fingerprints of whole texts: doc_id (or, with ``keep``, all columns) and ``_print``, a signed long.
+def fingerprints(docs: DataFrame, keep: bool = False, name: str = "_print") -> DataFrame:
+    """Fingerprints of whole texts: doc_id (or, with ``keep``, all columns) and ``name``, a signed long.
 
     A-Z are lower-cased, words split at ASCII white space, three-word shingles joined by
     one space (fewer words: the whole sequence) and hashed by XXH64. A bit is set if more
     than half of the hashes set it. Null and empty texts: zero.
     """
     kept = docs if keep else docs.select("doc_id")
+    names = [*kept.columns, name]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([text_fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*batch.schema.names[:-1], "_print"]
+                [*batch.columns[:-1], pa.array(prints.view(np.int64))], names=names
             )
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept.columns), whole_text().alias("_text"))
-    return rows.mapInArrow(measure, extended(kept, "_print long"))
+    return arrow_map(rows, measure, extended(kept, f"`{name}` long"))
 
 
 def _filed(prints: DataFrame) -> DataFrame:
@@ -202,16 +203,15 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     Null ids come last. All columns are kept as they are.
     """
-    rows = fingerprints(docs, keep=True).withColumn("_row", F.monotonically_increasing_id())
-    rows = cut_lineage(rows)
-    # Null ids sort last: a struct orders by its first field first.
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    small = rows.select("_print", who.alias("_who"))
-    distinct = cut_lineage(small.groupBy("_print").agg(F.min("_who").alias("_least")))
+    print_, row = fresh(docs, "_print"), fresh(docs, "_row")
+    rows = cut_lineage(fingerprints(docs, True, print_).withColumn(row, F.monotonically_increasing_id()))
+    # A struct orders by its first field first: null ids come last.
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    distinct = cut_lineage(rows.select(F.col(print_).alias("_print"), who.alias("_who")).groupBy("_print").agg(F.min("_who").alias("_least")))
     linked = components(links(distinct.select("_print"), most))
     first = (
         distinct.join(linked, distinct["_print"] == linked["node"], "left")
         .groupBy(F.coalesce("root", distinct["_print"]).alias("_name")).agg(F.min("_least").alias("_first"))
-        .select(F.col("_first.row").alias("_row"))
+        .select(F.col("_first.row").alias(row))
     )
-    return rows.join(cut_lineage(first), "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(cut_lineage(first), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
