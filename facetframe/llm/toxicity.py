@@ -166,7 +166,7 @@ def restorer(model: np.ndarray) -> Callable[[str], set[str]]:
             bare = re.sub(r"[#*$%&|<>!?.,;:]{2,}$|[.,;:?\"')\]}]+$", "", token).lstrip("\"'([{<#&%.,;:?-")
             if bare and _MIXED.search(bare):
                 letters = sum(c.isalpha() for c in bare)
-                if 2 * letters >= len(bare) and letters >= 2:
+                if letters >= 2 and 3 * letters >= len(bare):
                     out.add(restored(bare))
         for found in _APART.finditer(lowered):
             joined = "".join(c for c in found[0] if c.isalpha())
