@@ -19,8 +19,6 @@ from ..session import cut_lineage
 from .vectors import numbered, renumber
 
 SALTS = 16
-MAX_ROUNDS = 60
-REFINEMENTS = 6
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,7 +31,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends when no label changes: labels only fall
         heard = (
             both.join(labels, both["b"] == labels["node"])
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
@@ -50,7 +48,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError("the components did not settle")
 
 
 def _neighbours(cell: str, dimensions: int, forward_only: bool):
@@ -65,7 +62,7 @@ def _neighbours(cell: str, dimensions: int, forward_only: bool):
 
 def _one_level(points: DataFrame, side: list[float], min_samples: int, dimensions: int) -> tuple[DataFrame, DataFrame]:
     """``id vec label`` for one cell size (NULL label: outlier), and ``label size``."""
-    cell = F.array(*[F.floor(F.col("vec")[i] / F.lit(side[i])).cast("int") for i in range(dimensions)])
+    cell = F.array(*[F.floor(F.col("vec")[i] / F.lit(side[i]))for i in range(dimensions)])
     placed = points.withColumn("cell", cell)
     cells = cut_lineage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
     dense = cells.filter(F.col("n") >= min_samples)
@@ -101,7 +98,8 @@ def density_clusters(
     of a document share a place, and the size is taken from the distinct places,
     so that a much-copied text does not thin out the other clusters.
     Clusters above ``max_topic_size`` (a share of all documents) are split with
-    cells half as wide, up to six times; what stays too large becomes outliers.
+    cells half as wide, again and again. Only a cluster that is one place (to the
+    precision of its numbers) and still too large becomes outliers.
     """
     if min_topic_size < 2:
         raise ValidationError("min_topic_size must be at least 2")
@@ -122,23 +120,36 @@ def density_clusters(
     unit = (2 * min_samples * (2 * math.pi) ** (dimensions / 2) / spread["places"]) ** (1 / dimensions) / resolution
     side = [max(spread[f"s{i}"] * unit, 1e-12) for i in range(dimensions)]
 
-    done, pending = [], points
-    for level in range(REFINEMENTS if limit is not None else 1):
+    done, pending, level = [], points, 0
+    while True:
         labelled, sizes = _one_level(pending, side, min_samples, dimensions)
         fits = F.col("size") >= min_topic_size
         if limit is not None:
             fits = fits & (F.col("size") <= limit)
+        # Outliers have no label and stay out of the join.
         verdict = sizes.select("label", fits.alias("fits"), (F.col("size") >= min_topic_size).alias("large"))
-        judged = cut_lineage(labelled.join(verdict, "label", "left"))
+        known = labelled.filter("label IS NOT NULL").join(verdict, "label")
+        judged = cut_lineage(known.unionByName(labelled.filter("label IS NULL"), allowMissingColumns=True))
         name = F.concat(F.lit(f"{level}:"), F.to_json("label"))
         done.append(judged.filter("fits").select("id", name.alias("cluster")))
         done.append(judged.filter("label IS NULL OR NOT large").select("id", F.lit(None).cast("string").alias("cluster")))
-        pending = judged.filter("large AND NOT fits").select("id", "vec")
-        if limit is None or pending.isEmpty():
+        if limit is None:
             break
-        side = [s / 2 for s in side]
-    else:
-        done.append(pending.select("id", F.lit(None).cast("string").alias("cluster")))
+        pending = judged.filter("large AND NOT fits")
+        # Clusters of one place cannot be split.
+        span = pending.groupBy("label").agg(*[
+            (F.max(F.col("vec")[i]) - F.min(F.col("vec")[i]) <= F.greatest(F.lit(1e-300), F.max(F.abs(F.col("vec")[i])) * 2.0**-50)).alias(f"p{i}")
+            for i in range(dimensions)
+        ])
+        one_place = F.lit(True)
+        for i in range(dimensions):
+            one_place = one_place & F.col(f"p{i}")
+        stuck = cut_lineage(span.filter(one_place).select("label"))
+        done.append(pending.join(stuck, "label", "left_semi").select("id", F.lit(None).cast("string").alias("cluster")))
+        pending = cut_lineage(pending.join(stuck, "label", "left_anti").select("id", "vec"))
+        if pending.isEmpty():
+            break
+        side, level = [s / 2 for s in side], level + 1
 
     assigned = done[0]
     for part in done[1:]:
@@ -146,5 +157,6 @@ def density_clusters(
     # Number the clusters in a fixed order first, then by size.
     names = assigned.filter("cluster IS NOT NULL").select("cluster").distinct()
     ids = numbered(names, "cluster").select("cluster", F.col("number").alias("topic"))
-    with_ids = assigned.join(ids, "cluster", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
-    return renumber(with_ids)
+    named = assigned.filter("cluster IS NOT NULL").join(ids, "cluster").select("id", "topic")
+    loose = assigned.filter("cluster IS NULL").select("id", F.lit(-1).alias("topic"))
+    return renumber(named.unionByName(loose))

@@ -46,8 +46,6 @@ EFFECTS = {
 }
 OMNIBUS_EFFECTS = {"anova": "eta_squared", "kruskal_wallis": "epsilon_squared", "chi_squared": "cramer_v"}
 
-_EXACT_WORK = 20_000_000  # cells of the exact U distribution; only ever reached with a group of <= 8 rows
-
 
 def _ratio(a: SparkColumn, b: SparkColumn) -> SparkColumn:
     """a / b, NULL where b is 0."""
@@ -180,22 +178,43 @@ def two_sample_ranks(df: DataFrame, comparisons: Comparisons, column) -> DataFra
     return wide.select(F.inline(F.array(*structs)))
 
 
+def _partition_numerator(parts: int) -> list[int]:
+    """N(q) with N / (1 - q^L)^(parts + 1) = 1 / ((1 - q) (1 - q) (1 - q^2) .. (1 - q^parts)), L = lcm(1..parts)."""
+    period = math.lcm(*range(1, parts + 1))
+    series = [1]
+    for i in (1, *range(1, parts + 1)):
+        # Times (1 - q^L) / (1 - q^i) = 1 + q^i + .. + q^(L - i), as running sums over windows of L.
+        wide = series + [0] * (period - i)
+        sums = list(wide)
+        for k in range(i, len(sums)):
+            sums[k] += sums[k - i]
+        series = [s - (sums[k - period] if k >= period else 0) for k, s in enumerate(sums)]
+    return series
+
+
 def exact_u_two_sided(u: float, n1: int, n2: int) -> float:
-    """Two-sided p of the exact distribution of U without ties."""
+    """Two-sided p of the exact distribution of U without ties, in exact integers.
+
+    The number of arrangements with U at most k is a coefficient sum of the Gaussian
+    binomial: its numerator has 2^n1 terms at most, and each needs the number of
+    partitions into parts of at most n1, a quasi-polynomial. The work depends on the
+    smaller group only.
+    """
     n1, n2 = sorted((int(n1), int(n2)))
     top = n1 * n2
-    # counts of subsets by rank sum: multiply by (1 - x^(n2+i)) / (1 - x^i) for i = 1..n1
-    counts = np.zeros(top + 1)
-    counts[0] = 1.0
+    numerator, period = _partition_numerator(n1), math.lcm(*range(1, n1 + 1))
+
+    def partitions(m: int) -> int:
+        """Partitions of 0..m into parts of at most n1."""
+        return sum(numerator[j] * math.comb((m - j) // period + n1, n1) for j in range(m % period, min(m, len(numerator) - 1) + 1, period))
+
+    terms = {0: 1}
     for i in range(1, n1 + 1):
-        shifted = counts.copy()
-        if n2 + i <= top:
-            shifted[n2 + i:] -= counts[: top + 1 - n2 - i]
-        for start in range(i):
-            shifted[start::i] = shifted[start::i].cumsum()
-        counts = shifted
-    above = counts[int(math.ceil(max(u, top - u))):].sum() / math.comb(n1 + n2, n1)
-    return min(1.0, 2.0 * above)
+        for exponent, sign in list(terms.items()):
+            terms[exponent + n2 + i] = terms.get(exponent + n2 + i, 0) - sign
+    least = math.floor(min(u, top - u))
+    below = sum(sign * partitions(least - exponent) for exponent, sign in terms.items() if exponent <= least)
+    return min(1.0, 2 * below / math.comb(n1 + n2, n1))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -205,7 +224,7 @@ def _u_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Seri
         if s is None or s != s or not a or not b:
             out.append(None)
             continue
-        if min(a, b) <= 8 and t == 0 and a * b <= _EXACT_WORK:
+        if min(a, b) <= 8 and t == 0:
             out.append(exact_u_two_sided(s, a, b))
             continue
         n = a + b
@@ -456,8 +475,10 @@ def omnibus_statistics(
         cells = {f"g{i}": patterns.has(i) for i in range(k)}
         wide = rank_sums(rows, "value", cells, [], pooled=True)
         n = sum((F.col(f"n_{c}") for c in cells), F.lit(0.0))
-        squares = sum((_ratio(F.col(f"r_{c}") * F.col(f"r_{c}"), F.col(f"n_{c}")) for c in cells), F.lit(0.0))
-        raw = _ratio(F.lit(12.0), n * (n + 1)) * squares - 3 * (n + 1)
+        # Mean ranks are compared with the middle rank: no large numbers to cancel.
+        gaps = [(F.col(f"n_{c}"), _ratio(F.col(f"r_{c}"), F.col(f"n_{c}")) - (n + 1) / 2) for c in cells]
+        squares = sum((F.coalesce(size * gap * gap, F.lit(0.0)) for size, gap in gaps), F.lit(0.0))
+        raw = _ratio(F.lit(12.0), n * (n + 1)) * squares
         correction = 1 - _ratio(F.col("tie_all"), n * n * n - n)
         h = _ratio(raw, correction)
         return wide.select(

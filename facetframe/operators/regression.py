@@ -302,7 +302,7 @@ def _likelihood_fit(value, null, parameters, model_dof, residual_dof, n, converg
         "model_dof": model_dof, "residual_dof": residual_dof,
         "pseudo_r_squared": 1 - value / null if null else float("nan"),
         "log_likelihood_ratio": ratio,
-        "likelihood_ratio": math.exp(min(ratio / 2, 700.0)),
+        "likelihood_ratio": math.exp(ratio / 2) if ratio < 1400 else float("nan"),
         "log_likelihood": value, "log_likelihood_null": null,
         "aic": -2 * value + 2 * parameters, "bic": -2 * value + math.log(n) * parameters,
     }

@@ -20,9 +20,8 @@ from ..schema import INDEX, quoted
 from ..session import cut_lineage, keep_in_order
 from ..sources import with_row_index
 
-# A centroid table this large (in numbers) still fits easily in every task.
+# Topic means are sent to tasks in blocks of at most this many numbers.
 MAX_SHARED_NUMBERS = 4_000_000
-MERGED_ON_DRIVER = 500  # topics
 
 
 def embed_column(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -32,14 +31,16 @@ def embed_column(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def embed_lsa(documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df: float = 1.0, max_terms: int = 262144) -> DataFrame:
+def embed_lsa(documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df: float = 1.0, max_terms: int | None = None) -> DataFrame:
     """TF-IDF and a truncated singular value decomposition: the rows of U times the singular values.
 
     ``documents`` has ``id`` and ``document``. ``max_df`` is a share of documents.
-    The weights are ln((1 + n) / (1 + df)), rows are scaled to unit length.
+    The weights are ln((1 + n) / (1 + df)), rows are scaled to unit length. All
+    terms within ``min_df`` and ``max_df`` count; ``max_terms`` keeps the most
+    frequent ones instead. The driver holds ``size`` numbers per term.
     """
     bag = documents.select("id", K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0)
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_terms)
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_terms or 2**31 - 1)
     if max_df < 1.0:  # the setter reads 1.0 as "one document"
         counter = counter.setMaxDF(max_df)
     counter = counter.fit(bag)
@@ -58,10 +59,20 @@ def embed_lsa(documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df
     return rows.toDF("id long, vec array<double>")
 
 
-def embed_word2vec(documents: DataFrame, size: int = 100, min_count: int = 5, seed: int = 42) -> DataFrame:
-    """Each document as the mean of its word vectors."""
+def embed_word2vec(
+    documents: DataFrame, size: int = 100, min_count: int = 5, seed: int = 42, partitions: int | None = None, rounds: int = 1
+) -> DataFrame:
+    """Each document as the mean of its word vectors.
+
+    Training runs in ``partitions`` tasks (default: as many as the session runs at
+    once) whose vectors are averaged after each of ``rounds`` rounds, so the numbers
+    depend on both.
+    """
     bag = documents.select("id", K.words(F.col("document")).alias("terms"))
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol="terms", outputCol="v").fit(bag)
+    partitions = partitions or documents.sparkSession.sparkContext.defaultParallelism
+    model = Word2Vec(
+        vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=rounds, inputCol="terms", outputCol="v"
+    ).fit(bag)
     return model.transform(bag).select("id", vector_to_array("v").alias("vec"))
 
 
@@ -80,82 +91,105 @@ def centroids(assigned: DataFrame) -> DataFrame:
     return long.groupBy("topic", "pos").agg(F.avg("x").alias("x"))
 
 
-def _centroid_matrix(assigned: DataFrame):
-    """Topic ids and their mean vectors on the driver, or None when there are too many numbers."""
-    rows = centroids(assigned).limit(MAX_SHARED_NUMBERS + 1).toPandas()
-    if len(rows) > MAX_SHARED_NUMBERS:
-        return None
+def _centroid_matrix(assigned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Topic ids and their mean vectors on the driver: a model, one vector per topic."""
+    rows = centroids(assigned).toPandas()
     wide = rows.pivot(index="topic", columns="pos", values="x").sort_index()
-    return wide.index.to_numpy(), wide.to_numpy()
+    return wide.index.to_numpy(), wide.to_numpy(dtype=float)
 
 
 def reduce_outliers(assigned: DataFrame) -> DataFrame:
     """Give each outlier (-1) the topic whose mean vector has the largest cosine with it.
 
     ``assigned`` has ``id``, ``topic``, ``vec``; the result has ``id``, ``topic``.
-    The means are shared with the tasks after their size is checked; if they are
-    too many, the outliers meet them in a join on the vector coordinate instead.
+    Ties go to the lowest topic id. Outliers without a vector stay outliers. Only
+    outliers with a vector reach Python; the means are sent in blocks of bounded
+    size, one pass over the outliers each.
     """
-    shared = _centroid_matrix(assigned)
-    if shared is not None:
-        ids, means = shared
-        if len(ids) == 0:
-            return assigned.select("id", "topic")
-        unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-300)
-
-        @F.pandas_udf("int")
-        def closest(vec: pd.Series) -> pd.Series:
-            return pd.Series(ids[(np.array(vec.tolist(), dtype=float) @ unit.T).argmax(axis=1)])
-
-        nearest = closest(F.col("vec").cast("array<double>"))
-        return assigned.select("id", F.when(F.col("topic") == -1, nearest).otherwise(F.col("topic")).alias("topic"))
-    mean = centroids(assigned)
-    norms = mean.groupBy("topic").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    loose = assigned.filter("topic = -1").select("id", F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "v"))
-    dots = loose.join(mean, "pos").groupBy("id", "topic").agg(F.sum(F.col("v") * F.col("x")).alias("dot"))
-    best = dots.join(norms, "topic").groupBy("id").agg(
-        F.max_by(F.col("topic"), F.struct(F.col("dot") / F.col("norm"), -F.col("topic"))).alias("__best")
+    ids, means = _centroid_matrix(assigned)
+    if len(ids) == 0:
+        return assigned.select("id", "topic")
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-300)
+    kind = assigned.schema["topic"].dataType.simpleString()
+    loose = (F.col("topic") == -1) & F.col("vec").isNotNull()
+    best = assigned.filter(loose).select(
+        "id", "topic", F.col("vec").cast("array<double>").alias("vec"), F.lit(float("-inf")).alias("cosine")
     )
-    return assigned.join(best, "id", "left").select("id", F.coalesce("__best", "topic").alias("topic"))
+    step = max(1, MAX_SHARED_NUMBERS // unit.shape[1])
+    for first in range(0, len(ids), step):
+        block, names = unit[first : first + step], ids[first : first + step]
+
+        def closer(batches, block=block, names=names):
+            for pdf in batches:
+                if len(pdf):
+                    cosines = np.array(pdf["vec"].tolist(), dtype=float) @ block.T
+                    place = cosines.argmax(axis=1)
+                    top = cosines[np.arange(len(pdf)), place]
+                    nearer = top > pdf["cosine"].to_numpy()
+                    pdf = pdf.assign(
+                        topic=np.where(nearer, names[place], pdf["topic"]), cosine=np.where(nearer, top, pdf["cosine"])
+                    )
+                yield pdf
+
+        best = best.mapInPandas(closer, best.schema)
+    rest = assigned.filter(~F.coalesce(loose, F.lit(False))).select("id", "topic")
+    return best.select("id", F.col("topic").cast(kind)).unionByName(rest)
 
 
 def merge_topics(assigned: DataFrame, max_topics: int) -> DataFrame:
     """Merge the two topics with the most similar mean vectors until ``max_topics`` remain.
 
-    The merge order is worked out on the topic means; beyond a few hundred
-    topics they are clustered with bisecting k-means instead. New ids follow
-    topic size, the largest being 0.
+    Means are weighted by size; among equals the lowest ids go first. The order is
+    worked out on the topic means, with the nearest partner of every topic kept up
+    to date. New ids follow topic size, the largest being 0.
     """
-    shared = _centroid_matrix(assigned)
-    if shared is not None and len(shared[0]) <= max_topics:
+    ids, means = _centroid_matrix(assigned)
+    if len(ids) <= max_topics:
         return assigned.select("id", "topic")
-    if shared is not None and len(shared[0]) <= MERGED_ON_DRIVER:
-        ids, means = shared
-        counts = {r["topic"]: r["count"] for r in assigned.filter("topic >= 0").groupBy("topic").count().collect()}
-        weight = np.array([counts[i] for i in ids], dtype=float)
-        owner = {int(i): int(i) for i in ids}
-        live = list(range(len(ids)))
-        while len(live) > max_topics:
-            unit = means[live] / np.maximum(np.linalg.norm(means[live], axis=1, keepdims=True), 1e-300)
-            similarity = unit @ unit.T
-            np.fill_diagonal(similarity, -np.inf)
-            a, b = sorted(np.unravel_index(similarity.argmax(), similarity.shape))
-            i, j = live[a], live[b]
-            means[i] = (means[i] * weight[i] + means[j] * weight[j]) / (weight[i] + weight[j])
-            weight[i] += weight[j]
-            owner = {k: (int(ids[i]) if v == int(ids[j]) else v) for k, v in owner.items()}
-            live.remove(j)
-        mapping = assigned.sparkSession.createDataFrame(list(owner.items()), "topic int, merged int")
-    else:
-        from pyspark.ml.clustering import BisectingKMeans
-
-        mean = centroids(assigned).groupBy("topic").agg(
-            array_to_vector(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])).alias("features")
-        )
-        model = BisectingKMeans(k=max_topics, seed=42, distanceMeasure="cosine").fit(mean)
-        mapping = model.transform(mean).select("topic", F.col("prediction").alias("merged"))
-    merged = assigned.join(mapping, "topic", "left").select("id", F.coalesce("merged", "topic").alias("topic"))
-    return renumber(merged)
+    counts = {r["topic"]: r["count"] for r in assigned.filter("topic >= 0").groupBy("topic").count().collect()}
+    owner = merge_order(means, np.array([counts[i] for i in ids], dtype=float), max_topics)
+    mapping = assigned.sparkSession.createDataFrame([(int(i), int(ids[k])) for i, k in zip(ids, owner)], "topic int, merged int")
+    # One row per topic, as large as the model on the driver; outliers stay out of the join.
+    merged = assigned.filter("topic >= 0").join(mapping, "topic").select("id", F.col("merged").alias("topic"))
+    return renumber(merged.unionByName(assigned.filter("topic < 0 OR topic IS NULL").select("id", F.col("topic").cast("int"))))
+
+
+def merge_order(means: np.ndarray, weight: np.ndarray, keep: int) -> np.ndarray:
+    """For each row the row it ends up in, when the most similar pair is merged until ``keep`` remain."""
+    means, weight = means.copy(), weight.copy()
+    n = len(means)
+    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
+    unit, alive, owner = norm(means), np.ones(n, bool), np.arange(n)
+    partner, closeness = np.zeros(n, int), np.full(n, -np.inf)
+
+    def look(i: int) -> None:
+        """The best partner of ``i`` among the later rows."""
+        partner[i], closeness[i] = i, -np.inf
+        if i + 1 < n:
+            similar = np.where(alive[i + 1 :], unit[i + 1 :] @ unit[i], -np.inf)
+            k = int(similar.argmax())
+            if similar[k] > -np.inf:
+                partner[i], closeness[i] = i + 1 + k, similar[k]
+
+    for i in range(n):
+        look(i)
+    for _ in range(n - max(keep, 1)):
+        i = int(closeness.argmax())
+        j = int(partner[i])
+        means[i] = (means[i] * weight[i] + means[j] * weight[j]) / (weight[i] + weight[j])
+        weight[i] += weight[j]
+        unit[i] = norm(means[i])
+        alive[j], closeness[j] = False, -np.inf
+        owner[owner == j] = i
+        similar = unit[:i] @ unit[i]
+        for k in range(i):
+            if alive[k] and partner[k] not in (i, j) and (similar[k], -i) > (closeness[k], -partner[k]):
+                partner[k], closeness[k] = i, similar[k]
+        look(i)
+        for k in np.flatnonzero(alive & ((partner == j) | (partner == i))).tolist():
+            if k != i:
+                look(k)
+    return owner
 
 
 def numbered(frame: DataFrame, *order) -> DataFrame:
@@ -171,7 +205,10 @@ def renumber(assigned: DataFrame) -> DataFrame:
     """Topic ids by size, largest first; -1 stays."""
     sizes = assigned.filter("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
     ranks = numbered(sizes, F.col("size").desc(), "topic").select("topic", "number")
-    return assigned.join(ranks, "topic", "left").select("id", F.coalesce("number", F.lit(-1)).cast("int").alias("topic"))
+    # One row per topic; outliers stay out of the join.
+    named = assigned.filter("topic >= 0").join(ranks, "topic").select("id", F.col("number").cast("int").alias("topic"))
+    loose = assigned.filter("topic < 0 OR topic IS NULL").select("id", F.lit(-1).alias("topic"))
+    return named.unionByName(loose)
 
 
 def topic_positions(assigned: DataFrame, topics: DataFrame) -> DataFrame:

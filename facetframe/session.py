@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ValidationError
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the run-time options the operators rely on.
@@ -28,28 +33,49 @@ def configure(spark: SparkSession) -> SparkSession:
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It comes from ``spark.checkpoint.dir``; a temporary one is used only when the
-    session names none (single-machine tests).
+    It comes from ``spark.checkpoint.dir``. Only a single-machine session may do
+    without: executors elsewhere would not see a folder made here.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValidationError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="stages-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has a flat plan, survives lost executors, and carries its true
-    size, by which Spark chooses join strategies.
+    size, by which Spark chooses join strategies. Tables written inside
+    ``stage_scope`` go when it ends.
     """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the stage tables written inside, at the end. Write or collect the result before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def keep_in_order(df: DataFrame) -> DataFrame:
     """Checkpoint a sorted frame; unlike files, the partitions keep their order."""
     stage_folder(df.sparkSession)

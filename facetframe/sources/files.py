@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import INDEX, quoted
+from ..session import cut_lineage
 
 # Texts that mean "missing" in a CSV cell.
 MISSING = (
@@ -18,15 +19,21 @@ MISSING = (
 _OVERFLOW = "__overflow"
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True, one_line_records: bool = False
+) -> DataFrame:
     """CSV with a header. Rows with too many fields are skipped; short rows are padded with NULL.
 
+    Quoted cells may hold line breaks, so a file is read by one task: write large
+    tables as Parquet after the read. ``one_line_records`` promises that no cell
+    has a line break and lets files be split.
+
     The file is read with one column more than the header has; it is filled only
     in rows that are too long. ``infer`` turns columns whose values all read as
     whole numbers, numbers or truth values into those types, with one
     aggregation over the file.
     """
-    options = {"sep": delimiter, "encoding": "UTF-8", "escape": '"'}
+    options = {"sep": delimiter, "encoding": "UTF-8", "escape": '"', "multiLine": not one_line_records}
     names = spark.read.options(**options, header=True).csv(path).columns
     # A marker that no file holds keeps empty cells apart from absent ones.
     text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
@@ -69,10 +76,13 @@ def with_row_index(df: DataFrame, key: str | None = None) -> DataFrame:
     With ``key`` (a unique integer column) the id is that column and costs
     nothing. Without one, rows are numbered 0..n-1 in file order: one narrow job
     counts the rows of each input partition, and each row gets its partition's
-    offset plus its place in the partition.
+    offset plus its place in the partition. A frame with a shuffle below it might
+    be laid out differently the second time, so it is stored first.
     """
     if key is not None:
         return df.withColumn(INDEX, F.col(quoted(key)).cast("long"))
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = cut_lineage(df)
     place = F.monotonically_increasing_id()
     numbered = df.withColumn("__place", place)
     partition = F.shiftrightunsigned(F.col("__place"), 33).cast("int")

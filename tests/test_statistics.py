@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -27,12 +28,40 @@ def test_tails_match_commons_math(spark):
     lib = spark._jvm.org.apache.commons.math3.distribution
     for dof in (1.0, 3.0, 30.0, 2000.0):
         for x in (0.01, 0.7, 2.5, 9.0):
-            assert D.t_two_sided(x, dof) == pytest.approx(2 * (1 - lib.TDistribution(dof).cumulativeProbability(x)), abs=1e-12)
+            # At 2000 degrees the library itself is off by 2e-12 (see the next test).
+            assert D.t_two_sided(x, dof) == pytest.approx(2 * (1 - lib.TDistribution(dof).cumulativeProbability(x)), abs=1e-11)
             assert D.chi2_upper(x, dof) == pytest.approx(1 - lib.ChiSquaredDistribution(dof).cumulativeProbability(x), abs=1e-10)
             assert D.f_upper(x, dof, 7.0) == pytest.approx(1 - lib.FDistribution(dof, 7.0).cumulativeProbability(x), abs=1e-10)
     assert D.normal_two_sided(D.Z975) == pytest.approx(0.05, abs=1e-12)
 
 
+def test_t_tail_from_whole_numbers():
+    n, x = 1000, 0.01
+    ratio = math.sqrt(math.pi) * float(Fraction(math.comb(2 * n, n) * n, 4**n))  # gamma(n + 1/2) / gamma(n)
+    series = x - (n + 0.5) / (2 * n) * x**3 / 3 + (n + 0.5) * (n + 1.5) / 2 / (2 * n) ** 2 * x**5 / 5
+    assert D.t_two_sided(x, 2.0 * n) == pytest.approx(1 - 2 * ratio / math.sqrt(2 * math.pi * n) * series, abs=1e-15)
+
+
+@pytest.mark.parametrize("power", range(6, 15))
+def test_tails_reach_their_limits(power):
+    dof = 10.0**power
+    # First-order corrections of the limits, from the series in 1 / dof.
+    t, phi = 2.0, math.exp(-2.0) / math.sqrt(2 * math.pi)
+    assert D.t_two_sided(t, dof) == pytest.approx(math.erfc(t / math.sqrt(2)) + 2 * phi * (t**3 + t) / (4 * dof), abs=1e-9)
+    assert D.f_upper(1.5, 2.0, dof) == pytest.approx(math.exp(-dof / 2 * math.log1p(3.0 / dof)), abs=1e-9)
+    # Chi-squared: the normal limit with its skewness and second-order terms.
+    z = 1.3
+    skew, excess = math.sqrt(8 / dof), 12 / dof
+    density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    edge = density * (skew / 6 * (z * z - 1) + excess / 24 * (z**3 - 3 * z) + skew**2 / 72 * (z**5 - 10 * z**3 + 15 * z))
+    assert D.chi2_upper(dof + z * math.sqrt(2 * dof), dof) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)) + edge, abs=1e-8 if power == 6 else 1e-9)
+
+
+def test_exact_u_of_two_rows_against_millions():
+    assert C.exact_u_two_sided(0, 2, 3_000_000) == pytest.approx(2 / math.comb(3_000_002, 2), rel=1e-12)
+    assert C.exact_u_two_sided(4e12, 8, 10**12) == 1.0
+
+
 def test_p_columns_handle_null(spark):
     df = spark.createDataFrame([(2.0, 5.0), (None, 5.0)], "x double, d double")
     out = [r[0] for r in df.select(D.chi2_p(F.col("x"), F.col("d"))).collect()]

@@ -130,3 +130,52 @@ def test_sweep_settings():
     assert evaluation.candidates((12, 10), None, 5) == [(10, None), (11, None), (12, None)]
     drawn = evaluation.candidates((2, 60), (2, 20), 6)
     assert len(set(drawn)) == 6 and drawn == evaluation.candidates((2, 60), (2, 20), 6)
+
+
+def test_a_dense_spot_is_split_more_than_six_times(spark):
+    rng = np.random.default_rng(3)
+    near = rng.normal(0, 1e-5, (120, 2))
+    points = np.vstack([rng.normal(50, 20, (120, 2)), near + [3, 3], near + [3 + 4e-4, 3]])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>")
+    out = clustering.density_clusters(df, 10, 3, max_topic_size=0.4)
+    topics_of = {r["id"]: r["topic"] for r in out.collect()}
+    assert len(topics_of) == 360
+    spots = {topics_of[i] for i in range(120, 360)} - {-1}
+    assert spots and sum(topics_of[i] >= 0 for i in range(120, 360)) > 200
+
+
+def test_only_one_place_above_the_limit_becomes_outliers(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(60)] + [(100 + i, [50.0 + i % 3 * 1e-3, 9.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    out = {r["id"]: r["topic"] for r in clustering.density_clusters(df, 5, 2, max_topic_size=0.5).collect()}
+    assert len(out) == 100 and {out[i] for i in range(60)} == {-1} and -1 not in {out[100 + i] for i in range(40)}
+
+
+def test_outliers_without_a_vector_stay(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, [0.0, 1.0]), (3, -1, None), (4, -1, [0.1, 0.9]), (5, -1, [1.0, 1.0])], "id long, topic int, vec array<double>")
+    assert {r["id"]: r["topic"] for r in vectors.reduce_outliers(df).collect()} == {1: 0, 2: 1, 3: -1, 4: 1, 5: 0}
+
+
+def test_merge_order_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for n in (2, 7, 40):
+        means, weight = rng.normal(size=(n, 4)), rng.integers(1, 9, n).astype(float)
+        groups = {i: [i] for i in range(n)}
+        m, w = means.copy(), weight.copy()
+        while len(groups) > 2:
+            live = sorted(groups)
+            unit = {i: m[i] / np.linalg.norm(m[i]) for i in live}
+            i, j = max(itertools.combinations(live, 2), key=lambda p: (unit[p[0]] @ unit[p[1]], -p[0], -p[1]))
+            m[i] = (m[i] * w[i] + m[j] * w[j]) / (w[i] + w[j])
+            w[i] += w[j]
+            groups[i] += groups.pop(j)
+        expected = {k: i for i, members in groups.items() for k in members}
+        assert dict(enumerate(vectors.merge_order(means, weight, 2).tolist())) == expected
+
+
+def test_more_than_five_hundred_topics_merge_by_the_same_rule(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i, (rng.normal(0, 1e-3, 3) + (np.eye(3)[i % 3])).tolist()) for i in range(501)]
+    df = spark.createDataFrame(rows, "id long, topic int, vec array<double>")
+    out = {r["id"]: r["topic"] for r in vectors.merge_topics(df, 3).collect()}
+    assert all(out[i] == out[i % 3] for i in range(501)) and len(set(out.values())) == 3
