@@ -1,16 +1,18 @@
 """Text clean-up for topic words and for embeddings.
 
-The work is done on a *token table* (document id, position, token, next token).
-Lookups of tokens (lemmas, phrases, vocabulary) are equi-joins against tables
-with one row per token. A table that was measured and found small is broadcast, so
-the tokens are shuffled once, by document. A larger one is joined with salted
-keys, because a frequent word may make up a large share of all tokens.
+A document is one row with an array of tokens. Words, pairs and document
+frequencies are counted by exploding the arrays, which combines counts before the
+shuffle. Phrase and word lists that were measured and found small go to the tasks,
+which merge and prune the arrays in place: no token is shuffled. A larger list
+meets a *token table* (document id, position, token, next token) in an equi-join
+with salted keys, because a frequent word may make up a large share of all tokens.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -75,13 +77,12 @@ def lookup(tokens: DataFrame, table: DataFrame, keys: list[str], how: str = "lef
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
-    """``id``, ``pos``, ``token``, ``next`` of what remains of each text.
+def clean_arrays(df: DataFrame, name: str, config: TextConfig = TextConfig()) -> DataFrame:
+    """``id`` and ``t``, the tokens that remain of each text.
 
     E-mail addresses, links and numbers become EMAIL, URL and NUMBER (each
     optional) before anything is dropped; then stop words, punctuation and short
-    tokens go and the rest is lower-cased. ``lemmas`` is an optional table
-    (``token``, ``lemma``).
+    tokens go and the rest is lower-cased.
     """
     stop = config.stop_list()
     ignore = [t.lower() for t in config.ignore_tokens]
@@ -105,13 +106,23 @@ def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), le
 
     ref = F.col(quoted(name))
     kept = F.filter(F.transform(K.tokenize(ref), replace), keep)
-    arrays = df.filter(ref.isNotNull()).select(F.col(INDEX).alias("id"), kept.alias("t"))
+    return df.filter(ref.isNotNull()).select(F.col(INDEX).alias("id"), kept.alias("t"))
+
+
+def tokens_of(arrays: DataFrame) -> DataFrame:
+    """``id``, ``pos``, ``token``, ``next``: the token table of some arrays."""
     # The next token is paired up inside the document, before it is taken apart.
     following = F.slice(F.col("t"), F.lit(2), F.greatest(F.size("t"), F.lit(1)))
     zipped = F.posexplode(F.arrays_zip(F.col("t").alias("token"), following.alias("next")))
-    tokens = arrays.select("id", zipped.alias("pos", "z")).select("id", "pos", "z.token", "z.next")
+    return arrays.select("id", zipped.alias("pos", "z")).select("id", "pos", "z.token", "z.next")
+
+
+def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
+    """The token table of ``clean_arrays``. ``lemmas`` is an optional table (``token``, ``lemma``)."""
+    tokens = tokens_of(clean_arrays(df, name, config))
     if lemmas is None:
         return tokens
+    stop = config.stop_list()
     table = lemmas.groupBy("token").agg(F.min(F.lower("lemma")).alias("lemma"))
     joined = lookup(tokens.drop("next"), table, ["token"]).withColumn("token", F.coalesce("lemma", "token"))
     joined = joined.filter(~F.col("token").isin(*stop)) if stop else joined
@@ -165,12 +176,63 @@ def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None)
     )
 
 
+def merge_in_place(arrays: DataFrame, found: DataFrame) -> DataFrame:
+    """``merge_phrases`` on arrays. ``found`` must have been measured: it goes to every task."""
+    following: dict[str, set[str]] = {}
+    for row in found.select("token", "next").collect():
+        following.setdefault(row["token"], set()).add(row["next"])
+    shared = arrays.sparkSession.sparkContext.broadcast(following)
+
+    def merge(batches):
+        pairs = shared.value
+        for batch in batches:
+            merged = []
+            for tokens in batch.column(1).to_pylist():
+                out, at, last = [], 0, len(tokens) - 1
+                while at <= last:
+                    token = tokens[at]
+                    if at < last and token in pairs and tokens[at + 1] in pairs[token]:
+                        out.append(f"{token}_{tokens[at + 1]}")
+                        at += 2
+                    else:
+                        out.append(token)
+                        at += 1
+                merged.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.list_(pa.string()))], names=["id", "t"])
+
+    return arrays.select("id", "t").mapInArrow(merge, arrays.select("id", "t").schema)
+
+
+def prune_in_place(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Arrays without the tokens outside a vocabulary that was measured: it goes to every task."""
+    shared = arrays.sparkSession.sparkContext.broadcast({row["token"] for row in vocab.select("token").collect()})
+
+    def prune(batches):
+        known = shared.value
+        for batch in batches:
+            kept = [[t for t in tokens if t in known] for tokens in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.string()))], names=["id", "t"])
+
+    return arrays.select("id", "t").mapInArrow(prune, arrays.select("id", "t").schema)
+
+
+def to_arrays(tokens: DataFrame) -> DataFrame:
+    """``id`` and ``t`` of a token table, in order of position."""
+    joined = tokens.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    return joined.select("id", F.transform("t", lambda x: x["token"]).alias("t"))
+
+
 def vocabulary(tokens: DataFrame, documents: DataFrame, config: TextConfig) -> DataFrame:
     """Tokens worth keeping, with their document frequency: ``token``, ``df``.
 
     ``documents`` is the frame whose rows count as documents, empty ones included.
     """
-    seen = tokens.select("id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return known_tokens(tokens.select("id", "token").distinct(), documents, config)
+
+
+def known_tokens(pairs: DataFrame, documents: DataFrame, config: TextConfig) -> DataFrame:
+    """``vocabulary`` from one row per document and distinct token."""
+    seen = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
     protected = F.col("token").isin(*config.ignore_tokens) if config.ignore_tokens else F.lit(False)
     kept = seen.withColumn("total", total).filter(
@@ -188,10 +250,11 @@ def prune_vocabulary(tokens: DataFrame, vocab: DataFrame, size: int | None = Non
 
 def to_documents(tokens: DataFrame, min_length: int) -> DataFrame:
     """``id``, ``document``: tokens joined by spaces, documents that are too short left out."""
-    joined = tokens.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    return joined.filter(F.size("t") >= min_length).select(
-        "id", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("document")
-    )
+    return joined_arrays(to_arrays(tokens), min_length)
+
+
+def joined_arrays(arrays: DataFrame, min_length: int) -> DataFrame:
+    return arrays.filter(F.size("t") >= min_length).select("id", F.array_join("t", " ").alias("document"))
 
 
 def preprocess_heavy(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
@@ -201,12 +264,19 @@ def preprocess_heavy(df: DataFrame, name: str, config: TextConfig = TextConfig()
     phrase and word lists decide how they are looked up.
     """
     documents = df.filter(F.col(quoted(name)).isNotNull())
-    tokens = cut_lineage(clean_tokens(df, name, config, lemmas))
-    found = cut_lineage(phrases(tokens, config.min_df, config.phrase_threshold))
-    merged = cut_lineage(merge_phrases(tokens, found, measured_bytes(found, "token", "next")))
-    vocab = cut_lineage(vocabulary(merged, documents, config))
-    pruned = prune_vocabulary(merged, vocab, measured_bytes(vocab, "token"))
-    return to_documents(pruned, config.min_document_length)
+    arrays = clean_arrays(df, name, config) if lemmas is None else to_arrays(clean_tokens(df, name, config, lemmas))
+    arrays = cut_lineage(arrays)
+    found = cut_lineage(phrases(tokens_of(arrays), config.min_df, config.phrase_threshold))
+    if measured_bytes(found, "token", "next") <= BROADCAST_BYTES:
+        merged = cut_lineage(merge_in_place(arrays, found))
+    else:
+        merged = cut_lineage(to_arrays(merge_phrases(tokens_of(arrays), found)))
+    vocab = cut_lineage(known_tokens(merged.select(F.explode(F.array_distinct("t")).alias("token")), documents, config))
+    if measured_bytes(vocab, "token") <= BROADCAST_BYTES:
+        pruned = prune_in_place(merged, vocab)
+    else:
+        pruned = to_arrays(prune_vocabulary(tokens_of(merged), vocab))
+    return joined_arrays(pruned, config.min_document_length)
 
 
 def preprocess_light(df: DataFrame, name: str, config: TextConfig = TextConfig()) -> DataFrame:

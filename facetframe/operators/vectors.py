@@ -228,7 +228,7 @@ def document_positions(documents: DataFrame, n: int = 5000, seed: int = 5000) ->
     The choice does not depend on how the table is partitioned. It is a top-k,
     so each task keeps n rows.
     """
-    ticket = F.xxhash64("id", F.lit(seed))
+    ticket = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
     return documents.orderBy(ticket, "id").limit(n)
 
 

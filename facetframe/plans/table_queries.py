@@ -14,7 +14,7 @@ from ..session import stage_folder
 from ..sources import preview, prepare_source, read_csv, read_workspace, to_records, with_row_index, write_workspace
 from . import tables as T
 from .registry import query, r, rounded
-from .tables import AND, DOCUMENTS_SQL, EQ, GT, IN, NOT, OR, ORDERS_SQL, TOPIC_DOCUMENTS_SQL
+from .tables import AND, EQ, GAPS_SQL, GT, IN, NOT, OR, ORDERS_SQL, TOPIC_DOCUMENTS_SQL
 
 
 def _scratch(spark) -> str:
@@ -31,6 +31,15 @@ def csv_scan(spark, folder):
     return rows.withColumn("p_partkey", F.col("p_partkey").cast("long"))
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def csv_with_texts(spark, folder):
+    """Whole texts through CSV: line breaks, quotes and delimiters inside cells."""
+    path = _scratch(spark)
+    docs = T.load(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs.write.option("header", True).option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
+    return prepare_source(read_csv(spark, path, delimiter=";")).drop(INDEX)
+
+
 @query("SELECT idx, status, price, priority_known, CAST(year(date) AS INTEGER) AS y FROM (" + ORDERS_SQL + ")")
 def workspace_round_trip(spark, folder):
     df, schema = T.orders(spark, folder)
@@ -249,9 +258,9 @@ def filter_flags(spark, folder):
     ])
 
 
-@query("SELECT idx, lang FROM (" + DOCUMENTS_SQL + ") WHERE regexp_matches(text, '[Tt]he .*ing') AND NOT coalesce(regexp_matches(source, '1$'), FALSE)")
+@query("SELECT idx, lang FROM (" + GAPS_SQL + ") WHERE regexp_matches(text, '[Tt]he .*ing') AND NOT coalesce(regexp_matches(source, '1$'), FALSE)")
 def filter_has_text(spark, folder):
-    df, schema = T.documents(spark, folder)
+    df, schema = T.documents_with_gaps(spark, folder)
     found = {"type": "has_text", "target": "text", "value": "[Tt]he .*ing"}
     kept = filter_table(df, schema, AND(found, NOT({"type": "has_text", "target": "source", "value": "1$"})))
     return kept.select(F.col(INDEX).alias("idx"), "lang")

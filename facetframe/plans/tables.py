@@ -109,12 +109,12 @@ SUPPLIERS_SQL = """
 """
 
 
-def documents(spark: SparkSession, folder: str) -> tuple[DataFrame, TableSchema]:
-    """Every tenth text is empty; the quality label is missing for unlabelled documents."""
+def documents(spark: SparkSession, folder: str, text=None) -> tuple[DataFrame, TableSchema]:
+    """Whole texts; the quality label is missing for unlabelled documents."""
     raw = load(spark, folder, "documents", spread=True)
     labels = load(spark, folder, "labels").select("doc_id", F.col("quality"))
     raw = raw.join(labels, "doc_id", "left").select(
-        "doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("text"), "lang", "source",
+        "doc_id", (F.col("text") if text is None else text).alias("text"), "lang", "source",
         F.col("n_chars"), (F.col("quality") == 1).alias("good"),
     )
     return fit(
@@ -126,11 +126,18 @@ def documents(spark: SparkSession, folder: str) -> tuple[DataFrame, TableSchema]
     )
 
 
-DOCUMENTS_SQL = """
-    SELECT d.doc_id AS idx, nullif(CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE d.text END, '') AS text, d.lang, d.source,
+def documents_with_gaps(spark: SparkSession, folder: str) -> tuple[DataFrame, TableSchema]:
+    """The same with every tenth text empty, for the handling of missing texts."""
+    return documents(spark, folder, F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")))
+
+
+_DOCUMENTS = """
+    SELECT d.doc_id AS idx, nullif({text}, '') AS text, d.lang, d.source,
            CAST(d.n_chars AS DOUBLE) AS n_chars, l.quality = 1 AS good
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
+DOCUMENTS_SQL = _DOCUMENTS.format(text="d.text")
+GAPS_SQL = _DOCUMENTS.format(text="CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE d.text END")
 
 
 def topic_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, TableSchema]:
@@ -143,7 +150,7 @@ def topic_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, TableS
     )
     raw = load(spark, folder, "documents", spread=True).join(vectors, "doc_id", "left")
     raw = raw.select(
-        F.col("doc_id").alias(INDEX), "text", F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text (Preprocessed)"),
+        F.col("doc_id").alias(INDEX), "text", F.col("text").alias("text (Preprocessed)"),
         F.col("text (Topic)").cast("int").alias("text (Topic)"), "lang", "source",
     )
     schema = TableSchema.of(
@@ -155,7 +162,7 @@ def topic_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, TableS
 
 
 TOPIC_DOCUMENTS_SQL = """
-    SELECT d.doc_id AS idx, d.text, CASE WHEN d.doc_id % 10 <> 0 THEN d.text END AS preprocessed,
+    SELECT d.doc_id AS idx, d.text, d.text AS preprocessed,
            CASE WHEN e.label = 9 THEN -1 ELSE e.label END AS topic, d.lang, d.source
     FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
 """

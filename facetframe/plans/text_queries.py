@@ -11,7 +11,7 @@ from ..schema import INDEX
 from ..sources import with_row_index
 from . import tables as T
 from .registry import query, r, rounded
-from .tables import DOCUMENTS_SQL, EQ, IN, TOPIC_DOCUMENTS_SQL
+from .tables import DOCUMENTS_SQL, EQ, GAPS_SQL, IN, TOPIC_DOCUMENTS_SQL
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in X.TextConfig(default_stopwords=None, stopwords=("the", "of", "and", "to")).stop_list())
 _CONFIG = X.TextConfig(default_stopwords=None, stopwords=("the", "of", "and", "to"))
@@ -116,10 +116,14 @@ def preprocess_for_embedding(spark, folder):
     return X.preprocess_light(docs, "text")
 
 
-@query()
+@query("WITH gaps AS (" + GAPS_SQL + "), " + _tokens_sql("gaps", "idx", "text") + _MERGED
+       + _VOCABULARY.replace("FROM documents", "FROM gaps WHERE text IS NOT NULL") + """,
+    kept AS (SELECT m.* FROM mtok m JOIN voc v ON v.token = m.token),
+    done AS (SELECT id, string_agg(token, ' ' ORDER BY pos) AS document FROM kept GROUP BY 1 HAVING count(*) >= 5)
+    SELECT gaps.idx, done.document FROM gaps LEFT JOIN done ON done.id = gaps.idx""")
 def preprocessed_table(spark, folder):
     """The whole stage on the fitted table: empty and useless texts get NULL."""
-    df, schema = T.documents(spark, folder)
+    df, schema = T.documents_with_gaps(spark, folder)
     out = X.preprocess(df, schema, "text", _CONFIG)
     return out.select(F.col(INDEX).alias("idx"), F.col("`text (Preprocessed)`").alias("document"))
 

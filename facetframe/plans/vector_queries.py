@@ -51,7 +51,7 @@ def topic_positions(spark, folder):
     return rounded(vectors.topic_positions(T.topic_vectors(spark, folder), T.topic_table(spark, folder).unionByName(empty)), 5)
 
 
-@query()
+@query("SELECT id, topic FROM (" + _VECTORS + ") ORDER BY md5(id || ':5000'), id LIMIT 100")
 def document_sample(spark, folder):
     return vectors.document_positions(T.topic_vectors(spark, folder).select("id", "topic"), 100)
 
@@ -76,7 +76,13 @@ def density_clusters(spark, folder):
     return found.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("WITH v AS (" + _VECTORS + """),
+    p AS (SELECT * FROM v WHERE topic >= 0),
+    n AS (SELECT topic, count(*)::DOUBLE AS n FROM p GROUP BY 1),
+    d AS (SELECT a.id, a.topic AS own, b.topic, sum(list_distance(a.vec, b.vec) ** 2) AS s FROM p a, p b GROUP BY ALL),
+    m AS (SELECT id, own, n.n, d.topic, CASE WHEN own = d.topic THEN s / greatest(n.n - 1, 1) ELSE s / n.n END AS s FROM d JOIN n ON n.topic = d.topic),
+    q AS (SELECT id, max(s) FILTER (WHERE topic = own) AS a, min(s) FILTER (WHERE topic <> own) AS b, max(n) FILTER (WHERE topic = own) AS n FROM m GROUP BY 1)
+    SELECT """ + r("avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)") + " AS silhouette FROM q")
 def silhouette_of_topics(spark, folder):
     return rounded(vectors.silhouette(T.topic_vectors(spark, folder)))
 
@@ -144,7 +150,8 @@ def lsa_vectors(spark, folder):
 @query()
 def word2vec_vectors(spark, folder):
     docs = T.load(spark, folder, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
-    return vectors.embed_word2vec(docs, 20).select("id", F.size("vec").alias("size"))
+    made = vectors.embed_word2vec(docs, 20, partitions=4)
+    return rounded(made.select("id", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")), 4)
 
 
 @query()

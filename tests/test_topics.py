@@ -179,3 +179,15 @@ def test_more_than_five_hundred_topics_merge_by_the_same_rule(spark):
     df = spark.createDataFrame(rows, "id long, topic int, vec array<double>")
     out = {r["id"]: r["topic"] for r in vectors.merge_topics(df, 3).collect()}
     assert all(out[i] == out[i % 3] for i in range(501)) and len(set(out.values())) == 3
+
+
+def test_small_and_large_word_lists_give_the_same_documents(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"word{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, 30)) + " new york city hall" * int(rng.integers(0, 4)) for _ in range(120)] + [None, "a b"]
+    df = frame(spark, texts)
+    config = text.TextConfig(min_df=3, max_df=0.9, min_document_length=3)
+    small = {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
+    monkeypatch.setattr(text, "BROADCAST_BYTES", -1)
+    large = {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
+    assert small == large and any("_" in d for d in small.values())
