@@ -20,7 +20,6 @@ from .vectors import merge_topics
 WINDOW = 110
 TOP = 10
 _EPS = 1e-12
-MAX_TOPIC_WORDS = 1_000_000
 
 
 def leading_words(topics: DataFrame, n: int = TOP) -> DataFrame:
@@ -51,11 +50,8 @@ def window_counts(documents: DataFrame, words: DataFrame, window: int = WINDOW)
 
 
 def _listed(words: DataFrame) -> list:
-    """The leading words on the driver, after a check that they are few."""
-    listed = words.limit(MAX_TOPIC_WORDS + 1).collect()
-    if len(listed) > MAX_TOPIC_WORDS:
-        raise ValidationError("too many topic words")
-    return listed
+    """The leading words on the driver: a part of the model, a few words per topic."""
+    return words.collect()
 
 
 def _window_counts(documents: DataFrame, listed: list, window: int) -> DataFrame:

@@ -186,7 +186,7 @@ def test_small_and_large_word_lists_give_the_same_documents(spark, monkeypatch):
     words = [f"word{i}" for i in range(30)]
     texts = [" ".join(rng.choice(words, 30)) + " new york city hall" * int(rng.integers(0, 4)) for _ in range(120)] + [None, "a b"]
     df = frame(spark, texts)
-    config = text.TextConfig(min_df=3, max_df=0.9, min_document_length=3)
+    config = text.TextConfig(min_df=3, max_df=0.9, min_document_length=3, phrase_threshold=1.0)
     small = {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
     monkeypatch.setattr(text, "BROADCAST_BYTES", -1)
     large = {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
