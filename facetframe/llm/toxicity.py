@@ -235,15 +235,26 @@ def wilson_bound(hits: Column, trials: Column, z: float = DEVIATIONS) -> Column:
 
 
 def logistic(levels: np.ndarray, sizes: np.ndarray, positives: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a weakly penalised logistic fit on counted levels (Newton's method)."""
-    b = np.array([-2.0, 0.5])
+    """Intercept and slope of a weakly penalised logistic fit on counted levels.
+
+    Newton's method with halved steps: the objective rises with every step, also where
+    the classes are apart and an unpenalised fit would not end.
+    """
     x = np.column_stack([np.ones(len(levels)), levels])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        gradient = x.T @ (positives - sizes * p) - 1e-2 * b
-        hessian = (x * (sizes * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        b = b + np.clip(step, -2, 2)
+
+    def objective(b: np.ndarray) -> float:
+        z = x @ b
+        return float(positives @ z - sizes @ np.logaddexp(0, z) - 0.05 * b @ b)
+
+    b = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        gradient = x.T @ (positives - sizes * p) - 0.1 * b
+        hessian = (x * (sizes * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        step, before = np.linalg.solve(hessian, gradient), objective(b)
+        while objective(b + step) < before and np.abs(step).max() > 1e-12:
+            step = step / 2
+        b = b + step
         if np.abs(step).max() < 1e-9:
             break
     return float(b[0]), max(0.0, float(b[1]))

@@ -109,3 +109,11 @@ def test_disguised_insults_are_found(spark):
     assert not any(by[i]["predicted"] for i, _ in clean)
     assert not any(r["predicted"] for r in t.score_toxicity(docs, table.limit(0)).collect())
     assert t.score_toxicity(docs.limit(0), table).count() == 0
+
+
+def test_logistic_fit_of_separate_classes():
+    levels = np.array([0, 1, 2, 4, 18, 20, 24], float)
+    intercept, slope = t.logistic(levels, np.array([9e4, 500, 300, 90, 30, 500, 9000]), np.array([0, 0, 0, 0, 30, 500, 9000.0]))
+    assert 4 < -intercept / slope < 18
+    intercept, slope = t.logistic(np.array([0.0, 1.0]), np.array([1000.0, 1000.0]), np.array([100.0, 700.0]))
+    assert intercept == pytest.approx(np.log(1 / 9), abs=0.01) and intercept + slope == pytest.approx(np.log(7 / 3), abs=0.01)
