@@ -20,7 +20,7 @@ BUCKETS = 16384
 #: Weight of the raw corpus in the target's smoothing, in n-grams.
 PRIOR = 20_000
 #: Documents whose mean log ratio is lower are rejected.
-THRESHOLD = -0.12
+THRESHOLD = -0.1
 #: At most about this many labelled documents form the trusted target; their ids are broadcast.
 TRUSTED = 200_000
 WINDOW = 5
