@@ -118,10 +118,18 @@ def resolve_category_order(df: DataFrame, name: str, order: tuple[str, ...] | No
     return tuple(sorted(present - set(declared)) + declared)
 
 
+def resolve_categories(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]:
+    """The sorted values of some plain categories, all in one pass; they become part of the schema."""
+    if not names:
+        return {}
+    found = df.agg(*[F.sort_array(F.collect_set(F.col(quoted(n)).cast("string"))).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    return {n: tuple(found[f"c{i}"]) for i, n in enumerate(names)}
+
+
 def category_dimension(df: DataFrame, schema: TableSchema, name: str) -> DataFrame:
     """The categories of a column over the whole table, one per row, with positions."""
     column = schema.get(name)
-    if column.categories:
+    if column.categories and column.type != S.CATEGORICAL:
         pairs = [F.struct(F.lit(c).alias("category"), F.lit(i).alias("position")) for i, c in enumerate(column.categories)]
         return df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
     return (
@@ -151,8 +159,9 @@ def _fit_column(df: DataFrame, column: Column) -> SparkColumn:
 def fit(df: DataFrame, schema: TableSchema) -> tuple[DataFrame, TableSchema]:
     """Project to the declared columns, type them, add the derived ones.
 
-    One select for everything, plus one count per column with a rare-value limit
-    and one distinct per ordered category whose order is not resolved yet.
+    One select for everything, plus one count per column with a rare-value limit,
+    one distinct per ordered category whose order is not resolved yet, and one pass
+    for the values of all plain categories that do not come with them.
     """
     declared = [c for c in schema.columns if not c.internal]
     missing = [c.name for c in declared if c.name not in df.columns]
@@ -184,6 +193,9 @@ def fit(df: DataFrame, schema: TableSchema) -> tuple[DataFrame, TableSchema]:
         if column.type == S.ORDERED and column.categories is None:
             order = resolve_category_order(out, column.name, column.category_order)
             full = full.resolved(column.name, order)
+    plain = [c.name for c in declared if c.type == S.CATEGORICAL and c.categories is None]
+    for name, values in resolve_categories(out, plain).items():
+        full = full.resolved(name, values)
     return project_schema(out, full), full
 
 

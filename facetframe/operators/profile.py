@@ -54,12 +54,14 @@ def frequency_distribution(
 
 
 def aggregate_values(
-    df: DataFrame, schema: TableSchema, name: str, grouped_by: str, method: str, flt: Filter | None = None
+    df: DataFrame, schema: TableSchema, name: str, grouped_by: str, method: str, flt: Filter | None = None,
+    topics: DataFrame | None = None,
 ) -> DataFrame:
     """One aggregate of a continuous column per category: ``category``, ``value``.
 
     Groups without a value are left out, except that the sum of nothing is 0 and
-    keeps the empty categories.
+    keeps the empty categories. Truth values read True and False; ``topics``
+    (``id``, ``label``) puts labels in the place of topic ids.
     """
     schema.get(name, (S.CONTINUOUS,))
     by = schema.get(grouped_by, S.CATEGORICAL_FAMILY)
@@ -74,15 +76,29 @@ def aggregate_values(
         out = category_dimension(df, schema, grouped_by).join(out, "category", "left").select(
             "category", F.coalesce("value", F.lit(0.0)).alias("value")
         )
-    return out.filter(F.col("value").isNotNull()).orderBy(by.sort_key(F.col("category")))
+    out = out.filter(F.col("value").isNotNull()).orderBy(by.sort_key(F.col("category")))
+    return _shown(out, schema, {"category": grouped_by}, topics)
+
+
+def _shown(out: DataFrame, schema: TableSchema, columns: dict[str, str], topics: DataFrame | None) -> DataFrame:
+    """Display values in the result columns (name -> source column) that hold topics or truth values."""
+    names = out.columns
+    for shown, source in columns.items():
+        kind = schema.get(source).type
+        if kind == S.BOOLEAN or (kind == S.TOPIC and topics is not None):
+            out = display_column(out.withColumnRenamed(shown, source), schema, source, topics).withColumnRenamed(source, shown)
+    return out.select(*names)
 
 
 def paired_values(
     df: DataFrame, schema: TableSchema, column1: str, column2: str, flt: Filter | None = None,
-    include_empty: bool = False,
+    include_empty: bool = False, topics: DataFrame | None = None,
 ) -> DataFrame:
     """Joint counts of two columns: ``y`` (first), ``x`` (second), ``frequency``.
 
+    Truth values read True and False; ``topics`` (``id``, ``label``) puts labels
+    in the place of topic ids.
+
     ``include_empty`` adds the combinations of declared categories that never
     occur; both columns must then have resolved categories.
     """
@@ -99,7 +115,8 @@ def paired_values(
         counts = grid.join(counts, ["y", "x"], "left").select(
             "y", "x", F.coalesce("frequency", F.lit(0)).alias("frequency")
         )
-    return counts.orderBy(schema.get(column1).sort_key(F.col("y")), schema.get(column2).sort_key(F.col("x")))
+    out = counts.orderBy(schema.get(column1).sort_key(F.col("y")), schema.get(column2).sort_key(F.col("x")))
+    return _shown(out, schema, {"y": column1, "x": column2}, topics)
 
 
 def column_counts(df: DataFrame, schema: TableSchema, name: str, flt: Filter | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups, profile
+from ..operators.fit import fit
+from ..schema import CATEGORICAL, INDEX, Column, TableSchema
 from . import tables as T
 from .registry import query, r, rounded
 from .tables import AND, BY_STATUS, DOCUMENTS_SQL, EQ, GT, IN, NOT, ORDERS_SQL, OVERLAPPING, SUPPLIERS_SQL, TOPIC_DOCUMENTS_SQL
@@ -77,6 +79,34 @@ def paired_values(spark, folder):
     return profile.paired_values(*T.orders(spark, folder), "status_known", "priority_known")
 
 
+@query("SELECT CASE WHEN big THEN 'True' ELSE 'False' END AS y, status_known AS x, count(*) AS frequency FROM (" + ORDERS_SQL + ") WHERE big IS NOT NULL AND status_known IS NOT NULL GROUP BY 1, 2")
+def paired_values_of_flags(spark, folder):
+    return profile.paired_values(*T.orders(spark, folder), "big", "status_known")
+
+
+@query("""
+    WITH l AS (SELECT id, 'Theme ' || (id % 3) || CASE WHEN id // 3 > 0 THEN ' (' || (id // 3 + 1) || ')' ELSE '' END AS label
+               FROM (SELECT DISTINCT label AS id FROM embeddings WHERE label <> 9))
+    SELECT l.label AS y, lang AS x, count(*) AS frequency FROM (""" + TOPIC_DOCUMENTS_SQL + """) t JOIN l ON l.id = t.topic GROUP BY 1, 2
+""")
+def paired_values_of_topics(spark, folder):
+    df, schema = T.topic_documents(spark, folder)
+    return profile.paired_values(df, schema, "text (Topic)", "lang", topics=T.topic_table(spark, folder))
+
+
+@query("""
+    WITH k AS (SELECT status_known AS s, lang_of AS l FROM (SELECT status_known, CASE WHEN price > 200000 THEN 'dear' ELSE 'cheap' END AS lang_of FROM (""" + ORDERS_SQL + """)))
+    SELECT a.s AS y, b.l AS x, count(k.s) AS frequency FROM (SELECT DISTINCT s FROM k WHERE s IS NOT NULL) a, (SELECT DISTINCT l FROM k) b
+    LEFT JOIN k ON k.s = a.s AND k.l = b.l GROUP BY 1, 2
+""")
+def paired_plain_categories_with_empty(spark, folder):
+    """Plain categories come with the fitted schema."""
+    df, _ = T.orders(spark, folder)
+    raw = df.select(INDEX, "status_known", F.when(F.col("price") > 200000, "dear").otherwise("cheap").alias("band"))
+    fitted, schema = fit(raw, TableSchema.of(Column("status_known", CATEGORICAL), Column("band", CATEGORICAL)))
+    return profile.paired_values(fitted, schema, "status_known", "band", include_empty=True)
+
+
 @query("""
     WITH c AS (SELECT DISTINCT o_orderpriority AS p FROM orders)
     SELECT a.p AS y, b.p AS x, count(t.idx) AS frequency FROM c a, c b

@@ -42,10 +42,10 @@ def orders(spark: SparkSession, folder: str) -> tuple[DataFrame, TableSchema]:
     return fit(
         with_row_index(raw, "o_orderkey"),
         TableSchema.of(
-            Column("status", CATEGORICAL), Column("price", CONTINUOUS),
+            Column("status", CATEGORICAL, categories=STATUSES), Column("price", CONTINUOUS),
             Column("date", TEMPORAL, temporal_features=("year",)),
             Column("priority", ORDERED, category_order=PRIORITIES, categories=PRIORITIES),
-            Column("price_known", CONTINUOUS), Column("status_known", CATEGORICAL), Column("big", BOOLEAN),
+            Column("price_known", CONTINUOUS), Column("status_known", CATEGORICAL, categories=("F", "O")), Column("big", BOOLEAN),
             Column("priority_known", ORDERED, category_order=PRIORITIES, categories=PRIORITIES),
         ),
     )
@@ -67,7 +67,8 @@ def lineitem(spark: SparkSession, folder: str) -> tuple[DataFrame, TableSchema]:
         load(spark, folder, "lineitem"),
         TableSchema.of(
             Column("l_quantity", CONTINUOUS), Column("l_extendedprice", CONTINUOUS), Column("l_discount", CONTINUOUS),
-            Column("l_returnflag", CATEGORICAL), Column("l_linestatus", CATEGORICAL), Column("l_shipdate", TEMPORAL),
+            Column("l_returnflag", CATEGORICAL, categories=("A", "N", "R")),
+            Column("l_linestatus", CATEGORICAL, categories=("F", "O")), Column("l_shipdate", TEMPORAL),
         ),
     )
 

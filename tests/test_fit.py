@@ -113,3 +113,16 @@ def test_strptime_patterns():
     assert java_pattern("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH"
     with pytest.raises(ValidationError):
         java_pattern("%Q")
+
+
+def test_plain_categories_are_part_of_the_schema(spark):
+    from facetframe.filters import filter_table
+    from facetframe.operators import profile
+
+    raw = spark.createDataFrame([(0, "x", 1.0, True), (1, "y", 2.0, False), (2, None, 4.0, None), (3, "x", 6.0, True)], "`__index` long, c string, v double, b boolean")
+    df, schema = fit(raw, TableSchema.of(Column("c", "categorical"), Column("v", "continuous"), Column("b", "boolean")))
+    assert schema.get("c").categories == ("x", "y")
+    with pytest.raises(ValidationError):
+        filter_table(df, schema, {"type": "equal_to", "target": "c", "value": "z"})
+    means = profile.aggregate_values(df, schema, "v", "b", "mean").collect()
+    assert [tuple(r) for r in means] == [("False", 2.0), ("True", 3.5)]
