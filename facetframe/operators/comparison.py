@@ -23,7 +23,7 @@ from ..errors import ValidationError
 from ..functions import distributions as D
 from ..functions.ranking import exact_quantiles, rank_sums
 from ..schema import TableSchema, quoted
-from .groups import Patterns, extract_groups, pattern_counts, value_counts
+from .groups import Patterns, pattern_counts, value_counts
 from .table import is_valid
 
 TESTS = {
@@ -561,18 +561,40 @@ def _k_squared(n: pd.Series, g1: pd.Series, b2: pd.Series) -> pd.Series:
     return z1**2 + z2**2
 
 
+def _shapes(df: DataFrame, patterns: Patterns, value: SparkColumn, exclude_overlapping: bool) -> DataFrame:
+    """``group``, ``n``, skewness ``g1`` and kurtosis ``b2`` per group, from central sums per pattern."""
+    rows = df.select(patterns.expression().alias("pattern"), value.cast("double").alias("v")).filter("v IS NOT NULL")
+    if exclude_overlapping:
+        rows = rows.filter(patterns.size() <= 1)
+    m2 = F.var_pop("v") * F.count("v")
+    table = rows.groupBy("pattern").agg(
+        F.count("v").cast("double").alias("n"), F.avg("v").alias("mean"), m2.alias("m2"),
+        (F.coalesce(F.skewness("v"), F.lit(0.0)) * F.sqrt(m2 * m2 * m2 / F.count("v"))).alias("m3"),
+        ((F.coalesce(F.kurtosis("v"), F.lit(-3.0)) + 3) * m2 * m2 / F.count("v")).alias("m4"),
+    )
+    table = table.withColumn("d", F.col("mean") - _grand_mean(table)).select("*", patterns.each_group())
+    n, d, m2, m3, m4 = (F.col(c) for c in ("n", "d", "m2", "m3", "m4"))
+    sums = table.filter(patterns.has(F.col("gid"))).groupBy("gid", "group").agg(
+        F.sum(n).alias("n"), F.sum(n * d).alias("s1"), F.sum(m2 + n * d * d).alias("s2"),
+        F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("s3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("s4"),
+    )
+    n, shift = F.col("n"), F.col("s1") / F.col("n")
+    second = F.col("s2") - n * shift * shift
+    third = F.col("s3") - 3 * shift * F.col("s2") + 2 * n * shift * shift * shift
+    fourth = F.col("s4") - 4 * shift * F.col("s3") + 6 * shift * shift * F.col("s2") - 3 * n * shift * shift * shift * shift
+    return sums.select(
+        "group", "n", (F.sqrt(n) * third / F.nullif(F.pow(second, F.lit(1.5)), F.lit(0.0))).alias("g1"),
+        (n * fourth / F.nullif(second * second, F.lit(0.0))).alias("b2"),
+    )
+
+
 def normality(df: DataFrame, schema: TableSchema, groups, name: str, exclude_overlapping: bool = False) -> DataFrame:
     """D'Agostino's K^2 per group. The p-value is exp(-K2/2), the chi-squared tail for two degrees."""
     schema.get(name, (S.CONTINUOUS,))
-    long = extract_groups(df, schema, groups, name, exclude_overlapping)
-    shape = long.groupBy("group").agg(
-        F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"),
-        (F.kurtosis("value") + 3).alias("b2"),
-    )
-    k2 = _k_squared("n", "g1", "b2")
-    shape = shape.filter("n >= 30").withColumn("statistic", k2).unionByName(
-        shape.filter("n < 30").withColumn("statistic", F.lit(None).cast("double"))
-    )
+    shape = _shapes(df, Patterns(groups, schema), F.col(quoted(name)), exclude_overlapping)
+    # Small groups are computed with the others and then left out: one pass over one row per group.
+    shape = shape.withColumn("statistic", F.when(F.col("n") >= 30, _k_squared("n", "g1", "b2")))
     p = F.exp(-F.col("statistic") / 2)
     return shape.select("group", F.col("n").cast("long").alias("n"), "statistic", p.alias("p_value"), (p > 0.05).alias("is_normal"))
 
