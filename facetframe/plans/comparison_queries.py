@@ -233,7 +233,7 @@ def anova_omnibus(spark, folder):
     return rounded(C.compare_omnibus(*T.orders(spark, folder), BY_STATUS, "price_known", "anova"))
 
 
-@query(_T + """,
+_BINARY = _T + """,
     g AS (SELECT unnest(['F orders', 'large', 'urgent']) AS g, unnest([1, 2, 3]) AS i),
     n AS (SELECT g.g, v.c AS value, count(*) FILTER (WHERE m AND hit) AS TT, count(*) FILTER (WHERE m AND NOT hit) AS TF,
                  count(*) FILTER (WHERE NOT m AND hit) AS FT, count(*) FILTER (WHERE NOT m AND NOT hit) AS FF
@@ -248,18 +248,30 @@ def anova_omnibus(spark, folder):
            """ + r("power(gap - least(0.5, gap), 2) * (s / ((p+q)*(p+u)) + s / ((p+q)*(q+w)) + s / ((u+w)*(p+u)) + s / ((u+w)*(q+w)))") + """ AS statistic,
            """ + r("(TT::DOUBLE * FF - TF::DOUBLE * FT) / nullif(TT::DOUBLE * FF + TF::DOUBLE * FT, 0)") + """ AS yule_q
     FROM c
-""")
+"""
+
+
+@query(_BINARY)
 def binary_contingency(spark, folder):
     return rounded(C.binary_contingency(*T.orders(spark, folder), OVERLAPPING, "priority_known", p_values=False))
 
 
-@query()
+def _erfc(x: str) -> str:
+    """The complementary error function as its power series; beyond 4.5 it is zero to six digits."""
+    return (f"CASE WHEN {x} > 4.5 THEN 0.0 ELSE 1 - 1.1283791670955126 * list_sum(list_transform(range(0, 90), "
+            f"lambda i: power(-1.0, i) * power({x}, 2 * i + 1) / ((2 * i + 1) * gamma(i + 1.0)))) END")
+
+
+# The statistic before it is rounded.
+_BINARY_EXACT = _BINARY.replace(", 6) + 0.0 AS statistic", ", 16) + 0.0 AS statistic")
+
+
+@query("SELECT * REPLACE (" + r("statistic") + " AS statistic), " + r(_erfc("sqrt(statistic / 2)")) + " AS p_value FROM (" + _BINARY_EXACT + ")")
 def binary_contingency_p(spark, folder):
     return rounded(C.binary_contingency(*T.orders(spark, folder), OVERLAPPING, "priority_known"))
 
 
-@query("""
-    WITH v AS (SELECT event_type AS g, CAST(value AS DOUBLE) AS v FROM events),
+_K_SQUARED = """
     c AS (SELECT g, v, avg(v) OVER (PARTITION BY g) AS a FROM v),
     m AS (SELECT g, count(*)::DOUBLE AS n, avg(power(v - a, 2)) AS m2, avg(power(v - a, 3)) AS m3, avg(power(v - a, 4)) AS m4 FROM c GROUP BY g),
     s AS (SELECT g, n, m3 / power(m2, 1.5) AS g1, m4 / power(m2, 2) AS b2 FROM m),
@@ -268,7 +280,10 @@ def binary_contingency_p(spark, folder):
                  6*(n*n-5*n+2) / ((n+7)*(n+9)) * sqrt(6*(n+3)*(n+5) / (n*(n-2)*(n-3))) AS sb FROM s),
     l AS (SELECT *, sqrt(2*(beta-1)) - 1 AS w2, 6 + 8/sb * (2/sb + sqrt(1 + 4/(sb*sb))) AS a FROM k),
     z AS (SELECT g, n, asinh(y / sqrt(2/(w2-1))) / sqrt(0.5 * ln(w2)) AS z1,
-                 (1 - 2/(9*a) - sign(1 + x*sqrt(2/(a-4))) * cbrt((1 - 2/a) / abs(1 + x*sqrt(2/(a-4))))) / sqrt(2/(9*a)) AS z2 FROM l)
+                 (1 - 2/(9*a) - sign(1 + x*sqrt(2/(a-4))) * cbrt((1 - 2/a) / abs(1 + x*sqrt(2/(a-4))))) / sqrt(2/(9*a)) AS z2 FROM l)"""
+
+
+@query("WITH v AS (SELECT event_type AS g, CAST(value AS DOUBLE) AS v FROM events)," + _K_SQUARED + """
     SELECT g AS "group", CAST(n AS BIGINT) AS n, """ + r("z1*z1 + z2*z2", 3) + " AS statistic, " + r("exp(-(z1*z1 + z2*z2) / 2)") + """ AS p_value,
            exp(-(z1*z1 + z2*z2) / 2) > 0.05 AS is_normal FROM z
 """)
@@ -491,7 +506,12 @@ def design_table(spark, folder):
     return design.design_table(df, schema, OVERLAPPING, "priority_known", True, ("ordered-categorical",)).drop("position")
 
 
-@query()
+@query("WITH v AS (SELECT status AS g, price_known AS v FROM (" + ORDERS_SQL + ") WHERE price_known IS NOT NULL)," + _K_SQUARED + """,
+    p AS (SELECT g, n, exp(-(z1*z1 + z2*z2) / 2) AS p FROM z)
+    SELECT g AS "group", CASE WHEN n < 30 THEN '"' || g || '" has too few rows (' || CAST(n AS BIGINT) || ') to expect a normal distribution'
+        ELSE '"' || g || '" is not normally distributed (' || printf('%.2f', 100 * (1 - p)) || '%)' END AS message
+    FROM p WHERE n < 30 OR p <= 0.05
+""")
 def normality_warnings(spark, folder):
     return C.normality_warnings(*T.orders(spark, folder), BY_STATUS, "price_known", "t")
 
