@@ -108,7 +108,7 @@ def topic_diversity(spark, folder):
     return rounded(evaluation.topic_diversity(_topics(T.topic_documents(spark, folder)[0])))
 
 
-@query("WITH " + _LEADING + """,
+_COHERENCE = _LEADING + """,
     doc AS (SELECT idx, """ + _words("preprocessed") + """ AS ws FROM td WHERE preprocessed IS NOT NULL AND topic IS NOT NULL),
     total AS (SELECT sum(greatest(len(ws) - 109, 1))::DOUBLE AS t FROM doc),
     tok AS (SELECT idx, len(ws) AS len, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM doc),
@@ -123,7 +123,10 @@ def topic_diversity(spark, folder):
              FROM lead a JOIN lead b USING (topic) JOIN one oa ON oa.word = a.word JOIN one ob ON ob.word = b.word
              LEFT JOIN two ON two.a = a.word AND two.b = b.word, total),
     whole AS (SELECT topic, b, sum(x) AS s FROM cell GROUP BY ALL),
-    sim AS (SELECT topic, a, sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) AS c FROM cell JOIN whole USING (topic, b) GROUP BY ALL)
+    sim AS (SELECT topic, a, sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) AS c FROM cell JOIN whole USING (topic, b) GROUP BY ALL)"""
+
+
+@query("WITH " + _COHERENCE + """
     SELECT topic, """ + r("avg(c)", 5) + " AS coherence, " + r("stddev_pop(c)", 5) + " AS std_dev, count(*) AS support FROM sim GROUP BY 1")
 def topic_coherence(spark, folder):
     """Sliding windows over the whole texts; the SQL expands every window."""
@@ -132,7 +135,12 @@ def topic_coherence(spark, folder):
     return rounded(evaluation.coherence_cv(docs, _topics(df)), 5)
 
 
-@query()
+@query("WITH " + _COHERENCE + """,
+    per AS (SELECT topic, avg(c) AS c FROM sim GROUP BY 1),
+    used AS (SELECT topic FROM td WHERE topic IS NOT NULL AND preprocessed IS NOT NULL)
+    SELECT """ + r("(SELECT avg(c) FROM per)", 5) + " AS coherence_v, " + r("(SELECT count(DISTINCT word)::DOUBLE / count(*) FROM lead)", 5)
+       + """ AS topic_diversity, (SELECT count(DISTINCT topic) FROM used WHERE topic >= 0) AS topics,
+           count(*) FILTER (WHERE topic = -1) AS outlier_count, count(*) FILTER (WHERE topic <> -1) AS valid_count, count(*) AS total_count FROM used""")
 def topic_evaluation(spark, folder):
     df, _ = T.topic_documents(spark, folder)
     usable = df.filter(F.col("`text (Topic)`").isNotNull() & F.col("`text (Preprocessed)`").isNotNull())
