@@ -214,4 +214,5 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
         .groupBy(F.coalesce("root", distinct["_print"]).alias("_name")).agg(F.min("_least").alias("_first"))
         .select(F.col("_first.row").alias(row))
     )
-    return rows.join(cut_lineage(first), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Most rows stay, so their ids are as many as the rows: texts are shuffled at every size, and not sorted for it.
+    return rows.join(cut_lineage(first).hint("shuffle_hash"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
