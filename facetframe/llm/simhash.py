@@ -193,7 +193,7 @@ def classes(rows: DataFrame, identity: str, most: int = MOST) -> DataFrame:
         "_print", "_least", F.coalesce("root", "_print").alias("_name")
     )
     named = cut_lineage(named)
-    least = named.groupBy("_name").agg(F.min("_least").alias("_root"))
+    least = cut_lineage(named.groupBy("_name").agg(F.min("_least").alias("_root")))
     roots = cut_lineage(named.join(least, "_name").select("_print", "_root"))
     return rows.join(roots, "_print", "left")
 
