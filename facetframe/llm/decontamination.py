@@ -70,10 +70,19 @@ def token_hasher():
     return tokens
 
 
-def _slots(windows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of each window in a filter of ``bits`` (a power of two)."""
+def _slots(windows: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each window in a filter of ``bits`` (a power of two)."""
     shift = np.uint64(64 - (bits.bit_length() - 1))
-    return (windows * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift, (windows * np.uint64(0x165667B19E3779F9)) >> shift
+    return [(windows * np.uint64(odd)) >> shift for odd in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x9FB21C651E98DF25)]
+
+
+def passes(table: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Places in ``windows`` of those that the filter lets through."""
+    left = np.arange(len(windows))
+    for k in range(3):
+        slots = _slots(windows[left], len(table) * 64)[k]
+        left = left[(table[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1]
+    return left
 
 
 def item_table(benchmark: DataFrame, shingle: int) -> DataFrame:
@@ -103,7 +112,7 @@ def item_table(benchmark: DataFrame, shingle: int) -> DataFrame:
 def window_filter(items: DataFrame) -> np.ndarray:
     """The bit array of all windows. It is put together from 64-bit words, of which there are at most MOST_BITS / 64."""
     count = items.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, 1 << max(10, int(16 * max(1, count) - 1).bit_length()))
+    bits = min(MOST_BITS, 1 << max(10, int(64 * max(1, count) - 1).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +136,6 @@ def shared_runs(docs: DataFrame, filter_words: np.ndarray, shingle: int) -> Data
         import hashlib
 
         tokens_of, table = token_hasher(), shared.value
-        bits = len(table) * 64
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lists = [tokens_of(t) for t in texts]
@@ -135,10 +143,7 @@ def shared_runs(docs: DataFrame, filter_words: np.ndarray, shingle: int) -> Data
             ends = np.cumsum(sizes)
             flat = np.fromiter((h for t in lists for h in t), np.uint64, int(ends[-1]) if len(ends) else 0)
             windows = window_hashes(flat, shingle)
-            first, second = _slots(windows, bits)
-            one, six = np.uint64(1), np.uint64(63)
-            hit = (table[first >> np.uint64(6)] >> (first & six)) & (table[second >> np.uint64(6)] >> (second & six)) & one
-            places = np.flatnonzero(hit)
+            places = passes(table, windows)
             owner = np.searchsorted(ends, places, side="right")
             inside = places + shingle <= ends[owner] if len(places) else np.zeros(0, bool)  # not across two texts
             places, owner = places[inside], owner[inside]
