@@ -57,7 +57,7 @@ def token_hasher():
 
     def tokens(text: str) -> list[int]:
         words = _WORD.findall(text.lower())
-        if len(known) > 1_000_000:
+        if len(known) > 100_000:
             known.clear()
         out = []
         for word in words:

@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         import tiktoken
         from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(tokenizer)
+        exact = None  # made when a text needs it
         with open(tokenizer, encoding="utf-8") as file:
             described = json.load(file)
         special = [x["content"] for x in described["added_tokens"]]
@@ -144,10 +144,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         }
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the vocabulary's
         fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        del described, ranks
         for batch in batches:
             ids, pieces, starts, lengths, sums = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if any(s in text for s in special):
+                    exact = exact or Tokenizer.from_file(tokenizer)
                     tokens = exact.encode(text, add_special_tokens=False).ids
                 else:
                     tokens = fast.encode_ordinary(text)

@@ -144,7 +144,7 @@ def restorer(model: np.ndarray) -> Callable[[str], set[str]]:
     def restored(token: str) -> str:
         word = known.get(token)
         if word is None:
-            if len(known) > 200_000:
+            if len(known) > 50_000:
                 known.clear()
             word = known[token] = decode(token)
         return word
