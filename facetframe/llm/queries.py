@@ -83,4 +83,4 @@ QUERIES = {
         op7_quality_classifier, op8_best_fit_packing, op9_toxicity, op10_sharding,
     )
 }
-ORACLES = {"op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip()}
+ORACLES = {"op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip(), "op2_secret_scan": secret_scan.oracle()}

@@ -214,3 +214,46 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
     return cleaned
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same in DuckDB: matches and the gaps between them give the places.
+
+    Rules with a least length and a repeated tail say it in the pattern, where that
+    means the same; ``assign`` is filtered afterwards, like here. Letters in either
+    case are written out, because case folding there goes beyond ASCII.
+    """
+
+    def either(pattern: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+
+    parts = []
+    for order, rule in enumerate(rules):
+        head, tail = rule.head, rule.tail
+        if rule.ignore_case:
+            names, rest = head[: head.index(")") + 1], head[head.index(")") + 1 :]
+            head = either(names) + rest
+        elif rule.least and tail.endswith("+"):
+            tail = f"{tail[:-1]}{{{rule.least},}}"
+        pattern = f"{head}({tail})" if tail else f"{head}()"
+        group = 2 if rule.ignore_case else 1
+        least = rule.least if rule.ignore_case else 0
+        quoted = pattern.replace("'", "''")
+        parts.append(
+            f"SELECT r, '{rule.kind}' AS kind, {order} AS ord, {least} AS least, regexp_extract_all(t, '{quoted}') AS hit,"
+            f" regexp_extract_all(t, '{quoted}', {group}) AS val, string_split_regex(t, '{quoted}') AS gap FROM d WHERE regexp_matches(t, '{quoted}')"
+        )
+    spans = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({parts}),
+i AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m),
+p AS (SELECT r, kind, ord, len(hit[i]) AS size, coalesce(list_sum(list_transform(gap[1:i], lambda x: len(x))), 0)
+        + coalesce(list_sum(list_transform(hit[1:i-1], lambda x: len(x))), 0) AS start FROM i WHERE len(val[i]) >= least),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+        count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base,
+        string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, ord) AS spans FROM p GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+    return spans.replace("{parts}", " UNION ALL ".join(parts)).strip()
