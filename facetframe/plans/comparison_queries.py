@@ -322,7 +322,9 @@ def normality(spark, folder):
     o AS (SELECT a.g, b.c, count(l.idx) AS o FROM (SELECT DISTINCT g FROM l) a,
                  (SELECT DISTINCT p AS c FROM (SELECT dayofyear(date) AS p FROM l)) b
           LEFT JOIN (SELECT *, dayofyear(date) AS p FROM l) l ON l.g = a.g AND l.p = b.c GROUP BY ALL)
-    SELECT count(*) FILTER (WHERE o < 5) AS sparse, count(*) AS cells, count(*) FILTER (WHERE o < 5) >= 0.2 * count(*) AS warn FROM o
+    SELECT count(*) FILTER (WHERE o < 5) AS sparse, count(*) AS cells, count(*) FILTER (WHERE o < 5) >= 0.2 * count(*) AS warn,
+           (SELECT coalesce(string_agg(g || ' - ' || c || ' (' || o || ')', ', ' ORDER BY CAST(c AS VARCHAR), g), '')
+            FROM (SELECT * FROM o WHERE o < 5 ORDER BY CAST(c AS VARCHAR), g LIMIT 5)) AS first FROM o
 """)
 def sparse_cells(spark, folder):
     """Day of year as the category: many thin cells."""
@@ -331,7 +333,7 @@ def sparse_cells(spark, folder):
     df, schema = T.orders(spark, folder)
     days = df.withColumn("day", F.date_format("date", "D"))
     wide = TableSchema((*schema.columns, Column("day", CATEGORICAL)))
-    return C.sparse_cells(days, wide, OVERLAPPING, "day").drop("first")
+    return C.sparse_cells(days, wide, OVERLAPPING, "day")
 
 
 # Regressions.
