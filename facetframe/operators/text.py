@@ -29,9 +29,17 @@ SALTS = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+# English articles, prepositions and conjunctions that join words to a phrase.
+CONNECTORS = ("a", "an", "the", "for", "of", "with", "without", "at", "from", "to", "in", "on", "by", "and", "or")
+
+
 @dataclass(frozen=True)
 class TextConfig:
-    """Preprocessing options. ``stopwords`` extends the default English list."""
+    """Preprocessing options. ``stopwords`` extends the default English list.
+
+    ``connectors`` are words that may stand inside a phrase (``point of sale``) but
+    neither begin nor end one; ``CONNECTORS`` has the usual English ones.
+    """
 
     ignore_tokens: tuple[str, ...] = ()
     stopwords: tuple[str, ...] = ()
@@ -45,6 +53,7 @@ class TextConfig:
     min_word_length: int = 3
     default_stopwords: str | None = "english"
     phrase_threshold: float = 10.0
+    connectors: tuple[str, ...] = ()
 
     def __post_init__(self):
         if min(self.min_df, self.min_document_length, self.min_word_length) <= 0:
@@ -117,6 +126,19 @@ def tokens_of(arrays: DataFrame) -> DataFrame:
     return arrays.select("id", zipped.alias("pos", "z")).select("id", "pos", "z.token", "z.next")
 
 
+def pairs_of(arrays: DataFrame, connectors: tuple[str, ...]) -> DataFrame:
+    """``tokens_of`` without the connectors; ``between`` joins those up to the next token with ``_``."""
+    words = F.filter(F.transform("t", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))), lambda w: ~w["token"].isin(*connectors))
+    return (
+        arrays.select("id", "t", words.alias("w"))
+        .select("id", F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(
+            a["pos"].alias("pos"), a["token"].alias("token"), b["token"].alias("next"),
+            F.array_join(F.slice("t", a["pos"] + 2, F.coalesce(b["pos"] - a["pos"] - 1, F.lit(0))), "_").alias("between"),
+        ))).alias("p"))
+        .select("id", "p.*")
+    )
+
+
 def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
     """The token table of ``clean_arrays``. ``lemmas`` is an optional table (``token``, ``lemma``)."""
     tokens = tokens_of(clean_arrays(df, name, config))
@@ -130,16 +152,17 @@ def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), le
     return joined.select("id", "pos", "token", F.lead("token").over(order).alias("next"))
 
 
-def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0) -> DataFrame:
+def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0, words: DataFrame | None = None) -> DataFrame:
     """Word pairs that occur together more than chance: ``token``, ``next``, ``score``.
 
     score = (count(ab) - min_count) * V / (count(a) * count(b)), where V counts
-    the distinct words and pairs.
+    the distinct words and pairs. Pairs with different words ``between`` are
+    different pairs. ``words`` (``token``) are the words to count, if they are not
+    those of the pairs.
     """
-    single = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pair = tokens.filter("next IS NOT NULL").groupBy("token", "next").agg(
-        F.count(F.lit(1)).cast("double").alias("n_pair")
-    )
+    key = ["token", "between", "next"] if "between" in tokens.columns else ["token", "next"]
+    single = (tokens if words is None else words).groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pair = tokens.filter("next IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("n_pair"))
     vocabulary = single.agg(F.count(F.lit(1)).alias("v")).scalar()
     pairs = pair.agg(F.count(F.lit(1)).alias("v")).scalar()
     scored = (
@@ -149,7 +172,7 @@ def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0) -> DataF
         .withColumn("v", vocabulary + pairs)
     )
     score = (F.col("n_pair") - min_count) * F.col("v") / (F.col("n_first") * F.col("n_second"))
-    return scored.select("token", "next", score.alias("score")).filter(F.col("score") > threshold)
+    return scored.select(*key, score.alias("score")).filter(F.col("score") > threshold)
 
 
 def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None) -> DataFrame:
@@ -176,31 +199,48 @@ def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None)
     )
 
 
-def merge_in_place(arrays: DataFrame, found: DataFrame) -> DataFrame:
-    """``merge_phrases`` on arrays. ``found`` must have been measured: it goes to every task."""
-    following: dict[str, set[str]] = {}
-    for row in found.select("token", "next").collect():
-        following.setdefault(row["token"], set()).add(row["next"])
-    shared = arrays.sparkSession.sparkContext.broadcast(following)
+def merge_in_place(arrays: DataFrame, found: DataFrame | None, connectors: tuple[str, ...] = ()) -> DataFrame:
+    """``merge_phrases`` on arrays, with connectors inside phrases.
+
+    ``found`` must have been measured: it goes to every task. Without it, ``arrays``
+    has the places ``hits`` where phrases begin.
+    """
+    known: dict[str, set[tuple[str, str]]] = {}
+    for row in found.collect() if found is not None else ():
+        known.setdefault(row["token"], set()).add((row["between"] if "between" in row else "", row["next"]))
+    shared, inside = arrays.sparkSession.sparkContext.broadcast(known), frozenset(connectors)
+    by_place = found is None
 
     def merge(batches):
-        pairs = shared.value
+        phrases_of = shared.value
         for batch in batches:
             merged = []
-            for tokens in batch.column(1).to_pylist():
-                out, at, last = [], 0, len(tokens) - 1
-                while at <= last:
-                    token = tokens[at]
-                    if at < last and token in pairs and tokens[at + 1] in pairs[token]:
-                        out.append(f"{token}_{tokens[at + 1]}")
-                        at += 2
+            hits = batch.column(2).to_pylist() if by_place else [None] * len(batch)
+            for tokens, places in zip(batch.column(1).to_pylist(), hits):
+                out, at, size, places = [], 0, len(tokens), set(places or ())
+                while at < size:
+                    token, end = tokens[at], at + 1
+                    if at in places if by_place else token in phrases_of and token not in inside:
+                        while end < size and tokens[end] in inside:
+                            end += 1
+                    if end < size and (at in places if by_place else ("_".join(tokens[at + 1 : end]), tokens[end]) in phrases_of.get(token, ())):
+                        out.append("_".join(tokens[at : end + 1]))
+                        at = end + 1
                     else:
                         out.append(token)
                         at += 1
                 merged.append(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.list_(pa.string()))], names=["id", "t"])
 
-    return arrays.select("id", "t").mapInArrow(merge, arrays.select("id", "t").schema)
+    used = arrays.select("id", "t", "hits") if by_place else arrays.select("id", "t")
+    return used.mapInArrow(merge, arrays.select("id", "t").schema)
+
+
+def merge_by_join(arrays: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``arrays`` with ``hits``, the places where phrases begin, for a list of phrases of any length."""
+    key = [c for c in ("token", "between", "next") if c in found.columns]
+    begun = lookup(pairs, found.select(*key), key, "inner").groupBy("id").agg(F.collect_list("pos").alias("hits"))
+    return arrays.join(begun, "id", "left")
 
 
 def prune_in_place(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -266,11 +306,13 @@ def preprocess_heavy(df: DataFrame, name: str, config: TextConfig = TextConfig()
     documents = df.filter(F.col(quoted(name)).isNotNull())
     arrays = clean_arrays(df, name, config) if lemmas is None else to_arrays(clean_tokens(df, name, config, lemmas))
     arrays = cut_lineage(arrays)
-    found = cut_lineage(phrases(tokens_of(arrays), config.min_df, config.phrase_threshold))
+    pairs = pairs_of(arrays, config.connectors) if config.connectors else tokens_of(arrays)
+    words = arrays.select(F.explode("t").alias("token"))
+    found = cut_lineage(phrases(pairs, config.min_df, config.phrase_threshold, words))
     if measured_bytes(found, "token", "next") <= BROADCAST_BYTES:
-        merged = cut_lineage(merge_in_place(arrays, found))
+        merged = cut_lineage(merge_in_place(arrays, found, config.connectors))
     else:
-        merged = cut_lineage(to_arrays(merge_phrases(tokens_of(arrays), found)))
+        merged = cut_lineage(merge_in_place(merge_by_join(arrays, pairs, found), None, config.connectors))
     vocab = cut_lineage(known_tokens(merged.select(F.explode(F.array_distinct("t")).alias("token")), documents, config))
     if measured_bytes(vocab, "token") <= BROADCAST_BYTES:
         pruned = prune_in_place(merged, vocab)

@@ -81,6 +81,27 @@ def merged_phrases(spark, folder):
     return merged.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CONNECTORS = ("for", "with", "from", "des", "von")
+
+
+@query("WITH " + _tokens_sql("documents", "doc_id", "text") + """,
+    cn AS (SELECT *, token IN ('for', 'with', 'from', 'des', 'von') AS c FROM tok),
+    st AS (SELECT id, pos, token, lead(token) OVER w AS nxt, lead(pos) OVER w AS npos FROM cn WHERE NOT c WINDOW w AS (PARTITION BY id ORDER BY pos)),
+    pr AS (SELECT st.id, st.pos, st.token, nxt, coalesce(string_agg(cn.token, '_' ORDER BY cn.pos), '') AS between
+           FROM st LEFT JOIN cn ON cn.id = st.id AND cn.pos > st.pos AND cn.pos < st.npos WHERE nxt IS NOT NULL GROUP BY ALL),
+    uni AS (SELECT token, count(*)::DOUBLE AS n FROM tok GROUP BY 1),
+    bi AS (SELECT token, between, nxt, count(*)::DOUBLE AS n FROM pr GROUP BY ALL),
+    ph AS (SELECT bi.*, (bi.n - 5) * ((SELECT count(*) FROM uni) + (SELECT count(*) FROM bi)) / (a.n * b.n) AS score
+           FROM bi JOIN uni a ON a.token = bi.token JOIN uni b ON b.token = bi.nxt)
+    SELECT token, between, nxt AS next, """ + r("score", 4) + " AS score FROM ph WHERE n > 5 AND score > 10")
+def phrases_with_connectors(spark, folder):
+    """Words that may stand inside a phrase, here of several languages."""
+    docs = with_row_index(T.load(spark, folder, "documents", spread=True), "doc_id")
+    arrays = X.clean_arrays(docs, "text", _CONFIG)
+    found = X.phrases(X.pairs_of(arrays, _CONNECTORS), 5, words=arrays.select(F.explode("t").alias("token")))
+    return rounded(found, 4)
+
+
 _VOCABULARY = """,
     dfs AS (SELECT token, count(DISTINCT id) AS df FROM mtok GROUP BY 1),
     voc AS (SELECT token, df FROM dfs WHERE df >= 5 AND df <= 0.5 * (SELECT count(*) FROM documents))"""

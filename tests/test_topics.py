@@ -191,3 +191,14 @@ def test_small_and_large_word_lists_give_the_same_documents(spark, monkeypatch):
     monkeypatch.setattr(text, "BROADCAST_BYTES", -1)
     large = {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
     assert small == large and any("_" in d for d in small.values())
+
+
+def test_connectors_stand_inside_phrases(spark, monkeypatch):
+    texts = ["point of sale terminal broke"] * 6 + ["of point of sale here"] * 3 + [f"word{i} of thing{i} sale" for i in range(30)] + ["the point of of sale", "sale of"]
+    df = frame(spark, texts)
+    config = text.TextConfig(default_stopwords=None, min_word_length=2, min_df=1, max_df=1.0, min_document_length=1, phrase_threshold=2.0, connectors=text.CONNECTORS)
+    small = {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
+    assert small[0] == "point_of_sale terminal_broke" and small[6] == "of point_of_sale here" and small[40] == "sale of"
+    assert small[39] == "the point of of sale"  # other words between make another pair
+    monkeypatch.setattr(text, "BROADCAST_BYTES", -1)
+    assert small == {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
