@@ -48,6 +48,8 @@ NOISE = frozenset(
 #: The same, unless another word of the name speaks for an article.
 WEAK_NOISE = frozenset("header head side search alert top bottom aside foot".split())
 ARTICLE = frozenset("article post entry content main story text body page".split())
+#: An article element with less than this share of the longest one's score is a teaser.
+TEASER = 0.3
 _HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true""", re.I)
 
 
@@ -156,14 +158,18 @@ def best_container(containers: list[Element]) -> Element:
 
 
 def extract(page: str, path: str | None) -> tuple[str, str]:
-    """The text below ``path`` (or else below the page's best container), and the path that was used."""
+    """The text below ``path`` (or else below the page's best container), and the path that was used.
+
+    All containers on the path count: an article may be cut into sections. Of several
+    ``article`` elements, each of which is a whole, short ones beside a long one are
+    teasers and do not count.
+    """
     containers, pieces = walk(page)
-    chosen = {id(e) for e in containers if path is not None and e.path == path}
-    text = _joined(pieces, chosen) if chosen else ""
-    if text:
-        return text, path or ""
-    best = best_container(containers)
-    return _joined(pieces, {id(best)}), best.path
+    best = best_container(containers)  # this also completes the scores
+    found = [e for e in containers if path is not None and e.path == path]
+    least = TEASER * max((e.score for e in found), default=0.0)
+    text = _joined(pieces, {id(e) for e in found if e.tag != "article" or e.score >= least}) if found else ""
+    return (text, path or "") if text else (_joined(pieces, {id(best)}), best.path)
 
 
 def _joined(pieces: list[tuple[Element, str]], chosen: set[int]) -> str:

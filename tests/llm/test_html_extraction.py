@@ -55,3 +55,11 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
         article = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))
         assert r["text"] == " ".join(html.unescape(article).split())
+
+
+def test_teasers_and_sections():
+    long = "word " * 60
+    page = f"<body><main><article><p>{long}</p></article><article><p>read more of this</p></article></main></body>"
+    assert h.extract(page, ">body>main>article")[0] == long.strip()
+    page = f"<body><div><section><p>{long}</p></section><section><p>the end</p></section></div></body>"
+    assert h.extract(page, ">body>div>section")[0] == long + "the end"
