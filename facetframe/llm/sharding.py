@@ -58,6 +58,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, heavy: int
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         words.cast("long").alias("tokens"), F.md5(text.cast("binary")).alias("_group"),
+        F.monotonically_increasing_id().alias("_row"),  # written with the rows, so it stays the same
     )
     rows = cut_lineage(rows)
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
@@ -82,7 +83,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, heavy: int
             F.when(share > 1 / (4 * shards), F.least(F.col("n"), F.ceil(share * 16 * shards))).otherwise(1).alias("_parts"),
         )
     )
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.col("_parts"))
+    part = F.pmod(F.xxhash64("_row"), F.col("_parts"))
     cell = F.pmod(F.xxhash64("_group"), F.lit(cells)).cast("string")
     # Its size is bounded: at most 3 * heavy rows of 50 bytes.
     rows = rows.join(F.broadcast(large), "_group", "left").withColumn(

@@ -59,3 +59,13 @@ def test_few_and_no_rows(spark):
 def test_dot_product_prefers_what_is_missing():
     got = s.place(np.array([[10.0, 0, 1], [9, 9, 1], [1, 10, 1]]), 2)
     assert got[0] != got[1] and len(got) == 3
+
+
+def test_a_heavy_group_without_ids_is_cut_too(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 400 + [(i, f"other {i}") for i in range(100)], "doc_id long, text string")
+    rows = sharded(docs)
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 8
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.2 * min(sizes.values())
