@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
@@ -43,10 +43,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = spread.join(jump, "label", "left").select(
             "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"
         )
-        moved = cut_lineage(moved)
-        changed = moved.filter(F.col("label") != F.col("old")).limit(1).count()
+        # The changes are counted while the round is written.
+        seen = Observation()
+        moved = cut_lineage(moved.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("changed")))
         labels = moved.select("node", "label")
-        if not changed:
+        if not seen.get["changed"]:
             return labels
 
 
