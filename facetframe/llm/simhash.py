@@ -113,23 +113,16 @@ def _forest(prints: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
     nodes = np.concatenate([homes, guests])
     if len(nodes) < 2 or not len(homes):
         return []
-    parent = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
+    label, out = np.arange(len(nodes)), []
     for i in range(len(homes)):
         near = np.flatnonzero(np.bitwise_count(nodes[i + 1 :] ^ nodes[i]) <= DISTANCE) + i + 1
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((int(nodes[i]), int(nodes[j])))
-    return links
+        # In a crowd nearly all are connected already; only new connections are followed up.
+        near = near[label[near] != label[i]]
+        if len(near):
+            others, first = np.unique(label[near], return_index=True)
+            out += [(int(nodes[i]), int(nodes[j])) for j in near[first].tolist()]
+            label[np.isin(label, others)] = label[i]
+    return out
 
 
 def links(prints: DataFrame, most: int = MOST) -> DataFrame:
