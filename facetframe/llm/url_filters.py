@@ -148,9 +148,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
         .mapInPandas(to_ranges, "rule string, verdict string, key string, path string, weight long, _range int")
     )
 
+    names = ["page_id", "host", "path", "rule", "verdict"]
+
     def match(urls: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+        if urls.empty:  # rules of a range that no url lies in
+            return pd.DataFrame({name: pd.Series(dtype=object) for name in names})
         found = sweep(urls, rules)
-        return found.assign(verdict=[v or default for v in found["verdict"]])[["page_id", "host", "path", "rule", "verdict"]]
+        return found.assign(verdict=[v or default for v in found["verdict"]])[names]
 
     return left.groupBy("_range").cogroup(right.groupBy("_range")).applyInPandas(
         match, f"page_id {kind}, host string, path string, rule string, verdict string"
