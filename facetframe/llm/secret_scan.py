@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automata import compile_patterns, parse, reverse
+from .automata import Table, compile_patterns, parse, reverse
 from .common import arrow_map, whole_text
 
 
@@ -81,8 +81,6 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
 
 def scanner(compiled: Compiled) -> Callable[[bytes], list[tuple[int, int, int]]]:
     """A function from UTF-8 bytes to (rule number, start, end) in bytes, by start and rule."""
-    from .automata import Table
-
     rules = compiled.rules
     classes = compiled.search[0]
     search = Table(*compiled.search).rows()[0]

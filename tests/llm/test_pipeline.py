@@ -64,3 +64,14 @@ def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
     assert decontamination.COVERAGE == 0.5 and simhash.DISTANCE == 3
+
+
+def test_task_functions_import_nothing_of_the_package():
+    """They travel by value, so that executors need no copy of it; an import inside one would fail there."""
+    import pathlib
+
+    import facetframe.llm
+
+    for file in pathlib.Path(facetframe.llm.__file__).parent.glob("*.py"):
+        for line in file.read_text().splitlines():
+            assert not re.match(r"\s+(from \.|(from|import) facetframe)", line), f"{file.name}: {line}"
