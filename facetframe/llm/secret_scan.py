@@ -44,9 +44,16 @@ BASE_RULES = (
     Rule("access", "AKIA", "[A-Z0-9]+", "AKIA[A-Z0-9]{16}", 16),
     Rule("hex", "", "[0-9a-f]+", "[0-9a-f]{24}", 24),
 )
+#: What may stand between the words of a key body: white space, also escaped, and signs of quoting.
+_BETWEEN = r"""[\x20\t\r\n\x5C"',>|#*]"""
+#: From the header to the END line whatever stands between; without one, header fields, base64 words and a short last one.
+_PEM_BODY = (
+    "((-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----"
+    f"|(({_BETWEEN}*[A-Z][A-Za-z]*-[A-Za-z]+:\\x20*[A-Za-z0-9,-]+)*({_BETWEEN}*[A-Za-z0-9+/=]{{16,}})+({_BETWEEN}+[A-Za-z0-9+/=]+)?)?)"
+)
 #: Fixed: published formats of private keys and service tokens.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "", "-----BEGIN "),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", _PEM_BODY, "-----BEGIN "),
     Rule("github", "gh[oprsu]_", "[A-Za-z0-9]{36,}", "gh[oprsu]_", 36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]{10,}", "xox[abprs]-", 10),
     Rule("jwt", "eyJ", r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),

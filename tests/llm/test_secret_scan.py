@@ -72,3 +72,22 @@ def test_redacted(spark):
     got = sorted(map(tuple, s.redact(docs).collect()), key=str)
     assert got == sorted([(1, "a [assign] b", 12), *rows[1:]], key=str)
     assert s.redact(docs).dtypes == docs.dtypes
+
+
+def test_whole_private_keys_go(spark):
+    r = random.Random(3)
+    lines = ["".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(12)] + ["Zk9+/abQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,7D2F00AA99"]
+    keys = [
+        "\n".join([begin, *lines, end]), "\r\n".join([begin, *fields, "", *lines, end]), " ".join([begin, *lines, end]), "\\n".join([begin, *lines, end]),
+        "\n".join(["", *(f"> {x}" for x in [begin, *lines, end])])[3:], "\n".join([begin, *lines]), "\n".join([begin, *fields, "", *lines]), begin + lines[0],
+        "\n".join([begin, "c2hvcnQ", "bGluZXM", end]), "\n".join([begin, *lines, end[:20]]),
+    ]
+    docs = spark.createDataFrame([(i, f"before {k}\n. after {k}") for i, k in enumerate(keys)], "doc_id long, text string")
+    for row in s.redact(docs).collect():
+        assert row["text"].startswith("before [pem]") and ". after [pem]" in row["text"], row
+        assert not any(part in row["text"] for x in [*lines, *fields, "c2hvcnQ", "bGluZXM"] for part in (x[:6], x[-6:])), row
+    assert spans(begin + " alone, in a sentence") == [f"pem:0:{len(begin)}"]
+    text = begin + "\n" + lines[0] + "\n. prose " + begin + "\n" + lines[1] + "\n" + end + " more"
+    assert [x for x in spans(text) if x.startswith("pem")] == [f"pem:0:{len(begin) + 65}", f"pem:{len(begin) + 74}:{len(text) - 5}"]
