@@ -10,6 +10,11 @@ only enough links to connect what it proves connected, never all pairs.
 A key with very many fingerprints is refined before any task gathers it: its entries
 are filed a second time under the 16-bit quarters of the *other* half, again with balls
 of radius one, which loses no pair.
+
+The pipeline's stage (``keep_one``) has a rule of its own, the Jaccard similarity of sets
+of five-word shingles. Fingerprints of texts that are 0.8 similar differ in up to a dozen
+bits, too many for such an index: its candidates share a band of MinHash values, and
+every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ from .graph import components
 WORDS = 3
 DISTANCE = 3
 SEED = 42
+#: The pipeline's stage: words of a shingle, and the least Jaccard similarity of near copies as a fraction.
+STAGE_WORDS, SIMILARITY = 5, (4, 5)
+#: Bands of MinHash and permutations in each: at a similarity of 0.8 a pair shares no band with probability 0.0002.
+BANDS, ROWS = 16, 4
 #: A half with more distinct fingerprints than this is refined.
 MOST = 20_000
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one.
@@ -191,20 +200,110 @@ def classes(rows: DataFrame, identity: str, most: int = MOST) -> DataFrame:
     return rows.join(roots, "_print", "left")
 
 
-def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
+def shingles(text: str, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; words as for fingerprints."""
+    import xxhash
+
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    total, digest, parts = max(1, len(tokens) - words + 1) if tokens else 0, xxhash.xxh64_intdigest, [np.zeros(0, np.uint64)]
+    for low in range(0, total, CHUNK):
+        high = min(total, low + CHUNK)
+        parts.append(np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(low, high)], np.uint64)))
+    return np.unique(np.concatenate(parts))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: the least hashes of ROWS permutations each. No shingles: no keys."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    r = np.random.default_rng(SEED)
+    flips, factors = (r.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[low : low + 4096, None] ^ flips) * factors).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * factors[0]
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, _text) have a Jaccard similarity of SIMILARITY or more."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            kept = []
+            for row, (a, one, other) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))):
+                if a != last:
+                    last, mine = a, shingles(one)
+                theirs = shingles(other)
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if SIMILARITY[1] * both >= SIMILARITY[0] * (len(mine) + len(theirs) - both):
+                    kept.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+    other = texts.select(F.col("node").alias("b"), F.col("_text").alias("_other"))
+    joined = pairs.join(other, "b").join(texts.withColumnRenamed("node", "a"), "a")
+    return cut_lineage(joined.select("a", "b", "_text", "_other").mapInArrow(verify, "a long, b long"))
+
+
+def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of ``distinct`` (node, _keys) that connect what similar candidates connect.
+
+    Candidates share a band. First all of a band meet the least one; then only candidates
+    that are still apart meet each other, so a crowd of near copies is not compared in pairs.
+    """
+    entries = cut_lineage(distinct.select("node", F.explode("_keys").alias("_key")))
+    groups = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("_key", "a")
+    shared = cut_lineage(entries.join(groups, "_key"))
+    texts = cut_lineage(texts.join(shared.select("node").distinct(), "node", "left_semi"))
+    star = cut_lineage(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    found = _similar(star, texts)
+    linked = components(found).withColumnRenamed("root", "_root")
+    placed = cut_lineage(shared.join(linked, "node", "left").select("_key", "node", F.coalesce("_root", "node").alias("_part")))
+    apart = placed.groupBy("_key").agg(F.min("_part").alias("low"), F.max("_part").alias("high")).where("low < high").select("_key")
+    rest = cut_lineage(placed.join(apart, "_key", "left_semi"))
+    pairs = (
+        rest.select("_key", F.col("node").alias("a"), F.col("_part").alias("_mine"))
+        .join(rest.select("_key", F.col("node").alias("b"), F.col("_part").alias("_theirs")), "_key")
+        .where("a < b AND _mine <> _theirs").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    )
+    return found.union(_similar(cut_lineage(pairs), texts))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays (one row, also of repeated ids).
 
-    Null ids come last. All columns are kept as they are.
+    Texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or
+    more. Null and empty texts are one component. Null ids come last. All columns are
+    kept as they are.
     """
-    print_, row = fresh(docs, "_print"), fresh(docs, "_row")
-    rows = cut_lineage(fingerprints(docs, True, print_).withColumn(row, F.monotonically_increasing_id()))
+    set_, keys, row = fresh(docs, "_set"), fresh(docs, "_keys"), fresh(docs, "_row")
+    names = [*docs.columns, set_, keys]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sets = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+            bands = pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets, bands], names=names)
+
+    source = docs.select(*(F.col(f"`{c}`") for c in docs.columns), whole_text().alias("_text"))
+    rows = arrow_map(source, measure, extended(docs, f"`{set_}` binary, `{keys}` array<bigint>"))
+    rows = cut_lineage(rows.withColumn(row, F.monotonically_increasing_id()))
     # A struct orders by its first field first: null ids come last.
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    distinct = cut_lineage(rows.select(F.col(print_).alias("_print"), who.alias("_who")).groupBy("_print").agg(F.min("_who").alias("_least")))
-    linked = components(links(distinct.select("_print"), most))
+    distinct = rows.groupBy(F.col(set_).alias("_set")).agg(F.min(F.struct(who.alias("who"), F.col(keys).alias("keys"))).alias("_least"))
+    distinct = cut_lineage(distinct.select(F.col("_least.who.row").alias("node"), F.col("_least.who").alias("_who"), F.col("_least.keys").alias("_keys")))
+    texts = rows.select(F.col(row).alias("node"), whole_text().alias("_text"))
+    linked = components(similar_links(distinct.select("node", "_keys"), texts)).withColumnRenamed("node", "_node")
     first = (
-        distinct.join(linked, distinct["_print"] == linked["node"], "left")
-        .groupBy(F.coalesce("root", distinct["_print"]).alias("_name")).agg(F.min("_least").alias("_first"))
+        distinct.join(linked, distinct["node"] == linked["_node"], "left")
+        .groupBy(F.coalesce("root", "node").alias("_name")).agg(F.min("_who").alias("_first"))
         .select(F.col("_first.row").alias(row))
     )
     # Most rows stay, so their ids are as many as the rows: texts are shuffled at every size, and not sorted for it.

@@ -86,3 +86,41 @@ def test_one_of_each_stays(spark):
     assert kept == [("3", 2), ("9", 4), ("None", 5)]
     assert s.keep_one(docs.limit(0)).count() == 0
     assert s.near_duplicates(docs.limit(0)).count() == 0
+
+
+def jaccard(one, other):
+    a, b = (set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in (one, other))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_keeps_one_of_similar_texts(spark):
+    """Texts that are 0.8 similar or more are near copies, however many bits of their fingerprints differ."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(3000)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 2, 4, 8):
+            words = list(base)
+            for i in range(edits):
+                words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    base = [f"c{i}" for i in range(300)]  # a crowd around one text
+    texts += [" ".join([*base[:i], "y", *base[i + 1 :]]) for i in range(0, 300, 2)]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                far += (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 3
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert far > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in s.keep_one(docs).collect()} == {root(i) for i in range(len(texts))}
