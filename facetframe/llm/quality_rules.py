@@ -21,8 +21,6 @@ BUCKETS = 16384
 PRIOR = 20_000
 #: Documents whose mean log ratio is lower are rejected.
 THRESHOLD = -0.1
-#: At most about this many labelled documents form the trusted target; their ids are broadcast.
-TRUSTED = 200_000
 WINDOW = 5
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -73,17 +71,15 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < WINDOW, F.lit(0).cast("long")).otherwise(bound(hashes, lambda h: bound(windows(h), count)))
 
 
-def trusted_documents(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids of documents labelled good: all of them, or about ``most`` chosen by a hash of the id."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    share = min(1.0, most / max(1, good.count()))
-    return good if share == 1 else good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row with ``weights``: the log ratio of target and raw corpus for every bucket."""
-    # At most about TRUSTED ids.
-    trusted = F.broadcast(trusted_documents(labels).select(F.col("doc_id").alias("_trusted")))
+    # Written, so that Spark chooses the join by the measured size.
+    trusted = cut_lineage(trusted_documents(labels).select(F.col("doc_id").alias("_trusted")))
     rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text")).join(trusted, F.col("_id") == F.col("_trusted"), "left")
     hashes = F.transform(split_words(F.col("_text")), lambda w: F.xxhash64(w))
     counts = (

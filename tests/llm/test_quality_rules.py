@@ -83,3 +83,8 @@ def test_no_python_in_the_plan(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     plan = q.judge_quality(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_good_label_is_trusted(spark):
+    labels = spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert q.trusted_documents(labels).count() == 250_000
