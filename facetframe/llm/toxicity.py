@@ -3,7 +3,8 @@
 A character language model (four letters) is counted over the words of all documents.
 Tokens that look disguised (signs or digits among letters, letters in runs of three or
 more, single letters set apart) become lattices: every sign may stand for itself, for
-the letters it imitates or for nothing, and repeats may collapse. Viterbi search takes
+the letters it imitates or for nothing, and repeats may collapse. Runs of short pieces
+become one lattice each, in which a gap is nothing or a word break. Viterbi search takes
 the path of least channel cost under the language model.
 
 The restored words and the beginnings of long words are hashed into buckets. Their log
@@ -46,12 +47,23 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "gq",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
+#: A gap inside a word, and one between words.
+GAP, BREAK = 0.1, 0.0
 LETTER = 2.6  # what the language model pays for a usual letter; given back, so that short and long paths compare
 SWAP, STRAY, REPEAT, VOWEL = 1.0, 2.2, 0.4, 2.0
 
 _TOKEN = re.compile(r"\S+")
 #: Single letters set apart by the same kind of gap, at least four of them.
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*/])[^\W\d_])(?:\1[^\W\d_]){2,}(?![^\W_])")
+_SIGN = r"(?:[^\W_]|[@$!|+(€£¡])"
+#: A piece of a word that is set apart, and runs of pieces with signs of one kind for gaps.
+_PIECE = re.compile(_SIGN + "{1,3}")
+_PIECES = {
+    gap: (re.compile(gap + _SIGN), re.compile(rf"(?<![^\W_@$]){_SIGN}{{1,3}}(?:{gap}+{_SIGN}{{1,3}}){{2,}}(?![^\W_])"))
+    for gap in (r"\.", "-", "_", r"\*", "/")
+}
+#: Pieces decoded at a time, and how many of them the next stretch sees again: words of so many pieces are found whole.
+STRETCH, AGAIN = 64, 24
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*.\-_~^]+[^\W\d_]|[@$0-9!|€£¡][^\W\d_]+|[^\W\d_]{2,}[0-9@$€£]")
 
@@ -104,7 +116,10 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def decoder(model: np.ndarray) -> Callable[[str], str]:
-    """A function that restores one disguised token (lower case)."""
+    """A function that restores one disguised token or, with blanks for gaps, a run of pieces (lower case).
+
+    A blank is nothing or a word break; words of the result are parted by one blank.
+    """
     logs = model.reshape(-1)
     table = {chr(i): int(v) for i, v in enumerate(folded_letters()) if v}
 
@@ -122,6 +137,10 @@ def decoder(model: np.ndarray) -> Callable[[str], str]:
                     into[key] = (cost, letters)
 
             for (context, last), (cost, letters) in states.items():
+                if char == " ":
+                    offer((context, ""), cost + GAP, letters)
+                    offer((0, ""), cost + BREAK - float(logs[context * 27]), letters + " ")
+                    continue
                 for letter, price in options:
                     code = table[letter]
                     offer(((context % 729) * 27 + code, letter), cost + price - LETTER - float(logs[context * 27 + code]), letters + letter)
@@ -136,6 +155,32 @@ def decoder(model: np.ndarray) -> Callable[[str], str]:
     return decode
 
 
+def runs(text: str) -> Iterator[list[str]]:
+    """Runs of three or more short pieces that stand apart by blanks (any number) or by signs of one kind."""
+    tokens = text.split()
+    end = 0
+    for i in [k for k, token in enumerate(tokens) if len(token) == 1]:
+        if i < end or not _PIECE.fullmatch(tokens[i]):
+            continue
+        low, high = i, i + 1
+        while low > end and len(tokens[low - 1]) <= 3 and _PIECE.fullmatch(tokens[low - 1]):
+            low -= 1
+        while high < len(tokens) and len(tokens[high]) <= 3 and _PIECE.fullmatch(tokens[high]):
+            high += 1
+        parts, end = tokens[low:high], high
+        # At the edges there may be quotes and stops.
+        if low and _PIECE.fullmatch(first := tokens[low - 1].lstrip("\"'([{")):
+            parts = [first, *parts]
+        if high < len(tokens) and _PIECE.fullmatch(last := tokens[high].rstrip("\"')]}.,;:?!")):
+            parts = [*parts, last]
+        if len(parts) > 2:
+            yield parts
+    for gap, (hint, pattern) in _PIECES.items():
+        if hint.search(text):
+            for found in pattern.finditer(text):
+                yield re.split(f"{gap}+", found[0])
+
+
 def restorer(model: np.ndarray) -> Callable[[str], set[str]]:
     """A function from a whole text to its restored words; disguised words are added to the plain ones."""
     decode = decoder(model)
@@ -168,6 +213,12 @@ def restorer(model: np.ndarray) -> Callable[[str], set[str]]:
                 letters = sum(c.isalpha() for c in bare)
                 if letters >= 2 and 3 * letters >= len(bare):
                     out.add(restored(bare))
+        for parts in runs(lowered):
+            for low in range(0, max(1, len(parts) - AGAIN), STRETCH - AGAIN):
+                run = " ".join(parts[low : low + STRETCH])
+                # Signs alone, and short words without a single letter among them, are no disguise.
+                if sum(c.isalpha() for c in run) >= 2 and len(run.replace(" ", "")) >= 4 and any(len(x) == 1 for x in run.split()):
+                    out.update(restored(run).split())
         for found in _APART.finditer(lowered):
             joined = "".join(c for c in found[0] if c.isalpha())
             out.add(joined)

@@ -117,3 +117,12 @@ def test_logistic_fit_of_separate_classes():
     assert 4 < -intercept / slope < 18
     intercept, slope = t.logistic(np.array([0.0, 1.0]), np.array([1000.0, 1000.0]), np.array([100.0, 700.0]))
     assert intercept == pytest.approx(np.log(1 / 9), abs=0.01) and intercept + slope == pytest.approx(np.log(7 / 3), abs=0.01)
+
+
+@pytest.mark.parametrize("written, meant", [
+    ("1 d 1 0 t", ["idiot"]), ("i d 1 o t", ["idiot"]), ("m 0 r 0 n", ["moron"]), ("l 0 s 3 r", ["loser"]), ("i  d  i  o  t", ["idiot"]),
+    ("i d i o t m o r o n", ["idiot", "moron"]), ("you i-d-1-0-t here", ["idiot"]), ("i d  io   t", ["idiot"]), ("m-0--r-0-n", ["moron"]),
+    ("l o s e r " * 60, ["loser"]), ("i di ot", ["idiot"]),
+])
+def test_spacing_is_decoded(model, written, meant):
+    assert set(meant) <= t.restorer(model)(written)
