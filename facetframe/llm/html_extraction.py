@@ -48,6 +48,13 @@ NOISE = frozenset(
 #: The same, unless another word of the name speaks for an article.
 WEAK_NOISE = frozenset("header head side search alert top bottom aside foot".split())
 ARTICLE = frozenset("article post entry content main story text body page".split())
+#: Words that make a name a layout flag ("has-sidebar", "comments-open"): it says what stands beside, not what this is.
+FLAGS_FIRST = frozenset("has no with without is show hide hidden".split())
+FLAGS_LAST = frozenset("open closed enabled disabled on off left right".split())
+#: Where no more than this share of the best dropped element's text is left, that element was the article.
+LEFT = 0.1
+#: Names of what readers wrote: never the article, as long as anything else is left.
+REPLIES = frozenset("comment comments reply replies disqus respond".split())
 #: An article element with less than this share of the longest one's score is a teaser.
 TEASER = 0.3
 _HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true""", re.I)
@@ -56,29 +63,51 @@ _HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$|/)|aria-hidd
 class Element:
     """An open element: its path, and the text found directly in it."""
 
-    __slots__ = ("tag", "path", "dropped", "container", "score", "parent", "linked", "article")
+    __slots__ = ("tag", "path", "dropped", "container", "score", "parent", "linked", "article", "lost")
 
     def __init__(self, tag: str, path: str, dropped: bool, container: bool, parent: Element | None, article: bool) -> None:
         self.tag, self.path, self.dropped, self.container = tag, path, dropped, container
         self.parent, self.score, self.linked, self.article = parent, 0.0, 0.0, article
+        self.lost: list | None = None
 
 
-def _names(attributes: str) -> tuple[list[str], set[str]]:
-    """Generalised classes, and the words of class, id and role."""
+def _names(attributes: str) -> tuple[list[str], set[str], bool]:
+    """Generalised classes, the words of class, id and role without layout flags, and whether a whole name says article."""
     classes: list[str] = []
     words: set[str] = set()
+    article = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
             value = value.strip("\"'").lower()
-            words.update(_WORDS.findall(value))
+            for token in value.split():
+                parts = _WORDS.findall(token)
+                if len(parts) > 1 and (parts[0] in FLAGS_FIRST or parts[-1] in FLAGS_LAST):
+                    continue
+                words.update(parts)
+                article = article or bool(parts) and ARTICLE.issuperset(parts)
             if name == "class":
                 classes = sorted({_DIGITS.sub("#", c) for c in value.split()})
-    return classes, words
+    return classes, words, article
 
 
 def walk(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
-    """The containers of a page and its pieces of text (with their container), in page order."""
+    """The containers of a page and its pieces of text (with their container), in page order.
+
+    If names of elements dropped nearly all text, the one with most of it is read after all.
+    """
+    containers, pieces, lost = _walk(page, -1)
+    most = max(lost, key=lambda n: n[1], default=None)
+    if most is not None and most[1] > 0:
+        left = sum(len(p.strip()) for e, p in pieces) - 1.5 * sum(e.linked for e in containers)
+        if left <= 0 or left < LEFT * most[1] and not most[2]:
+            containers, pieces, _ = _walk(page, most[0])
+    return containers, pieces
+
+
+def _walk(page: str, pardoned: int) -> tuple[list[Element], list[tuple[Element, str]], list[list]]:
+    """The same, with the element whose tag ends at ``pardoned`` kept, and what names dropped: (end of tag, text, replies)."""
+    lost: list[list] = []
     root = Element("", "", False, True, None, False)
     stack, containers, pieces = [root], [root], []
     at, link = 0, 0
@@ -91,6 +120,8 @@ def walk(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             top.score += n
             if link:
                 top.linked += n
+        elif raw and top.lost is not None:
+            top.lost[1] += (-0.5 if link else 1.0) * len(raw.strip())
 
     length = len(page)
     while at < length:
@@ -130,21 +161,31 @@ def walk(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if tag not in CONTAINERS and tag not in DROPPED and tag != "header" and not attributes:
             continue
         parent = stack[-1]
-        classes, words = _names(attributes) if attributes else ([], set())
+        classes, words, named = _names(attributes) if attributes else ([], set(), False)
         article = parent.article or tag in ("article", "main")
-        dropped = (
+        other = (
             parent.dropped or tag in DROPPED or (tag == "header" and not parent.article)
-            or (tag != "body" and (bool(words & NOISE) or bool(words & WEAK_NOISE) and not words & ARTICLE))
             or bool(attributes and _HIDDEN.search(attributes))
         )
+        noise = tag not in ("body", "article", "main") and at != pardoned and not named and (
+            bool(words & NOISE) or bool(words & WEAK_NOISE) and not words & ARTICLE
+        )
+        dropped, record = other or noise, None
+        if noise and not other:
+            record = [at, 0.0, bool(words & REPLIES)]
+            lost.append(record)
+        elif parent.lost is not None and tag not in DROPPED and not noise and not (attributes and _HIDDEN.search(attributes)):
+            record = parent.lost
         if tag in CONTAINERS:
             element = Element(tag, ">".join([parent.path, ".".join([tag, *classes])]), dropped, True, parent, article)
+            element.lost = record
             stack.append(element)
             if not dropped:
                 containers.append(element)
         elif dropped:
             stack.append(Element(tag, parent.path, True, False, parent, article))
-    return containers, pieces
+            stack[-1].lost = record
+    return containers, pieces, lost
 
 
 def best_container(containers: list[Element]) -> Element:

@@ -63,3 +63,13 @@ def test_teasers_and_sections():
     assert h.extract(page, ">body>main>article")[0] == long.strip()
     page = f"<body><div><section><p>{long}</p></section><section><p>the end</p></section></div></body>"
     assert h.extract(page, ">body>div>section")[0] == long + "the end"
+
+
+def test_layout_flags_drop_no_article():
+    text = ("the real article " * 20).strip()
+    for start in ("main class='content has-sidebar'", "div class='entry-content no-sidebar'", "article class='post comments-open'",
+                  "div id='page' class='with-banner'", "article class='sponsored'", "div class='post comments'", "div class='banner-box'"):
+        page = f"<body><{start}><p>{text}</p><div class='sidebar'>Other</div></{start.split()[0]}><div>left over</div></body>"
+        assert h.extract(page, None)[0] == text, start
+    page = f"<body><div class='story'>short</div><div class='comments'>{text}</div><div class='ad'>buy</div></body>"
+    assert h.extract(page, None)[0] == "short"
