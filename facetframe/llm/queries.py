@@ -7,6 +7,7 @@ import textwrap
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    alignment,
     decontamination,
     html_extraction,
     packing,
@@ -77,10 +78,25 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(prepare(spark), folder, "documents"))
 
 
+def piece_file(spark: SparkSession) -> str:
+    """The second tokenizer's file, from ``spark.facetframe.pieces`` or the installed public one."""
+    named = spark.conf.get("spark.facetframe.pieces", None)
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return alignment.align_documents(table(spark, folder, "documents"), tokenizer_file(spark), piece_file(spark))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_url_filters, op2_secret_scan, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_simhash,
-        op7_quality_classifier, op8_best_fit_packing, op9_toxicity, op10_sharding,
+        op7_quality_classifier, op8_best_fit_packing, op9_toxicity, op10_sharding, op11_cross_tokenizer_alignment,
     )
 }
 ORACLES = {"op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip(), "op2_secret_scan": secret_scan.oracle()}
