@@ -11,6 +11,7 @@ from . import (
     decontamination,
     html_extraction,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -93,10 +94,15 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFram
     return alignment.align_documents(table(spark, folder, "documents"), tokenizer_file(spark), piece_file(spark))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.collapse_runs(table(prepare(spark), folder, "documents"), plant=True)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_url_filters, op2_secret_scan, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_simhash,
         op7_quality_classifier, op8_best_fit_packing, op9_toxicity, op10_sharding, op11_cross_tokenizer_alignment,
+        op12_periodic_runs,
     )
 }
 ORACLES = {"op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip(), "op2_secret_scan": secret_scan.oracle()}
