@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     alignment,
     decontamination,
+    embedding_dedup,
     html_extraction,
     packing,
     periodic_runs,
@@ -98,11 +99,18 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.collapse_runs(table(prepare(spark), folder, "documents"), plant=True)
 
 
+def op13_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(prepare(spark), folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_url_filters, op2_secret_scan, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_simhash,
         op7_quality_classifier, op8_best_fit_packing, op9_toxicity, op10_sharding, op11_cross_tokenizer_alignment,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_embedding_dedup,
     )
 }
-ORACLES = {"op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip(), "op2_secret_scan": secret_scan.oracle()}
+ORACLES = {
+    "op1_url_filters": textwrap.dedent(url_filters.ORACLE).strip(), "op2_secret_scan": secret_scan.oracle(),
+    "op13_embedding_dedup": embedding_dedup.ORACLE.strip(),
+}
