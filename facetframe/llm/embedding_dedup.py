@@ -364,7 +364,7 @@ WITH RECURSIVE vectors AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 ), usable AS (
     SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM vectors
-    WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+    WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
     WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= {SIMILARITY}

@@ -7,13 +7,14 @@ from hypothesis import strategies as st
 
 def brute(vectors, least=e.SIMILARITY):
     """(links, component) of every vector by all pairs; ids are the places."""
-    near = []
-    for i, x in enumerate(vectors):
-        ok = x is not None and len(x) and None not in x and np.isfinite(x).all() and np.any(x)
-        near.append([] if not ok else [
-            j for j, y in enumerate(vectors) if j != i and y is not None and len(y) == len(x) and None not in y and np.isfinite(y).all()
-            and np.any(y) and np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)) >= least
-        ])
+    fit = [i for i, x in enumerate(vectors) if x is not None and len(x) and None not in x and np.isfinite(x).all() and np.any(x)]
+    near = [[] for _ in vectors]
+    for size in {len(vectors[i]) for i in fit}:
+        same = [i for i in fit if len(vectors[i]) == size]
+        x = np.array([vectors[i] for i in same])
+        for k, i in enumerate(same):
+            cosine = (x * x[k]).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (x[k] * x[k]).sum())
+            near[i] = [same[j] for j in np.flatnonzero(cosine >= least) if j != k]
     root = list(range(len(vectors)))
     for i in range(len(vectors)):
         stack = [i] if root[i] == i else []
