@@ -49,21 +49,26 @@ def stage_folder(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has a flat plan, survives lost executors, and carries its true
     size, by which Spark chooses join strategies. Tables written inside
-    ``stage_scope`` go when it ends.
+    ``stage_scope`` go when it ends; with ``outlive``, when the scope around it ends.
     """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if len(_scopes) > outlive:
+        _scopes[-1 - outlive].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def stage_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the stage tables written inside, at the end. Write or collect the result before that."""
@@ -72,8 +77,7 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            delete_table(spark, path)
 
 
 def keep_in_order(df: DataFrame) -> DataFrame:
