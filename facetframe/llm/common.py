@@ -56,6 +56,41 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
+#: Most 64-bit words of a filter of keys, 8 MB.
+FILTER_WORDS = 1 << 20
+
+
+def key_filter(keys: DataFrame, name: str, most: int = FILTER_WORDS):
+    """A test for columns of keys that is true for every key in ``keys[name]``, and for few others.
+
+    A bit array of some 16 bits a key, and of ``most`` words at the most, that tasks get
+    with the plan. It lets a join move only the rows that may have a partner: rows that
+    fail it have none, the others are joined exactly. Null keys fail it.
+    """
+    words = 1 << 10
+    n = keys.count()
+    while words < most and 4 * words < n:
+        words *= 4
+    bits = words * 64
+
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(bits))
+
+    filled = keys.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")
+    )
+    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word"))
+    row = every.join(filled, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("e"))
+    held = cut_lineage(row.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["bits"]).alias("bits"))).scalar()
+
+    def may_hold(key: Column) -> Column:
+        at = place(key.cast(keys.schema[name].dataType))
+        word = F.get(held, F.floor(at / 64).cast("int"))
+        return F.coalesce(key.isNotNull() & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0), F.lit(False))
+
+    return may_hold
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows (one more than rows), without copying the texts."""
     if pa.types.is_large_string(column.type):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import whole_text
+from .common import key_filter, whole_text
 
 #: Hash buckets; the model is one number a bucket at any size of the corpus.
 BUCKETS = 16384
@@ -78,15 +78,18 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row with ``weights``: the log ratio of target and raw corpus for every bucket."""
-    # Written, so that Spark chooses the join by the measured size.
     trusted = cut_lineage(trusted_documents(labels).select(F.col("doc_id").alias("_trusted")))
-    rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text")).join(trusted, F.col("_id") == F.col("_trusted"), "left")
-    hashes = F.transform(split_words(F.col("_text")), lambda w: F.xxhash64(w))
-    counts = (
-        rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(bound(hashes, lambda h: grams(h, buckets))).alias("b"))
-        .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-    )
-    counts = cut_lineage(counts)
+    rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text"))
+    # Only texts that may be trusted are moved to the labels, by one plan at every size.
+    may_be = key_filter(trusted, "_trusted")
+    good = rows.where(may_be(F.col("_id"))).join(trusted.hint("shuffle_hash"), F.col("_id") == F.col("_trusted"), "left_semi")
+
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        hashes = F.transform(split_words(F.col("_text")), lambda w: F.xxhash64(w))
+        found = texts.select(F.explode(bound(hashes, lambda h: grams(h, buckets))).alias("b"))
+        return found.groupBy("b").agg(F.count(F.lit(1)).alias(name))
+
+    counts = cut_lineage(counted(rows, "raw").join(counted(good, "target"), "b", "left"))
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
     raw = (F.coalesce("raw", F.lit(0)) + 1) / F.lit(float(sums["raw"] + buckets))
     target = (F.coalesce("target", F.lit(0)) + F.lit(float(prior)) * raw) / F.lit(float(sums["target"] + prior))
