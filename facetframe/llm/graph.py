@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_scope
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,14 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge are absent. Loops and repeated edges do not matter. No edges: no rows.
     """
-    current = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    size, before = current.count(), None
-    while size:
-        state = current.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if state == before:
-            break
-        before = state
-        current = cut_lineage(_small_star(cut_lineage(_large_star(current))))
+    with stage_scope(edges.sparkSession):
+        current = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        size, before = current.count(), None
+        while size:
+            state = current.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+            if state == before:
+                break
+            before = state
+            current = cut_lineage(_small_star(cut_lineage(_large_star(current))))
+        current = cut_lineage(current, outlive=True)
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

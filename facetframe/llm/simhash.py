@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import arrow_map, extended, fresh, whole_text
+from ..session import cut_lineage, stage_scope
+from .common import arrow_map, extended, fresh, key_filter, whole_text
 from .graph import components
 
 WORDS = 3
@@ -249,27 +249,61 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(joined.select("a", "b", "_text", "_other").mapInArrow(verify, "a long, b long"))
 
 
+def _rarest_first(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts (node, _part, _n) that may be similar: every similar pair, and few others.
+
+    All shingles have one order: those that occur in one part only come first, then the
+    others by how many texts hold them. Of n shingles the first n // 5 + 1 are looked at:
+    two texts that are 0.8 similar have their first common shingle among these on both
+    sides. Shingles of one part join nothing, so a crowd around one text costs its own
+    differences only.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = shingles(text).view(np.int64)
+                for low in range(0, len(mine), CHUNK):
+                    some = mine[low : low + CHUNK]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), v)) for v in (node, part, len(mine))] + [pa.array(some)], names=["node", "_part", "_n", "_shingle"]
+                    )
+
+    held = texts.join(parts, "node").select("node", "_part", "_text")
+    each = cut_lineage(held.mapInArrow(cut, "node long, _part long, _n long, _shingle long"))
+    known = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_texts"), F.min("_part").alias("_low"), F.max("_part").alias("_high"))
+    across = each.join(cut_lineage(known.where("_low < _high").select("_shingle", "_texts")), "_shingle")
+    listed = across.groupBy("node", "_part", "_n").agg(F.array_sort(F.collect_list(F.struct("_texts", "_shingle"))).alias("_s"))
+    room = F.floor(F.col("_n") / 5).cast("int") + 1 - (F.col("_n").cast("int") - F.size("_s"))
+    filed = cut_lineage(
+        listed.where(room > 0).select("node", "_part", "_n", F.explode(F.slice("_s", F.lit(1), room)).alias("_e")).select("node", "_part", "_n", "_e._shingle")
+    )
+    one, other = (filed.select(F.col("node").alias(x), F.col("_part").alias(f"{x}_part"), F.col("_n").alias(f"{x}_n"), "_shingle") for x in "ab")
+    meet = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & (SIMILARITY[1] * F.least("a_n", "b_n") >= SIMILARITY[0] * F.greatest("a_n", "b_n"))
+    return one.join(other, (one["_shingle"] == other["_shingle"]) & meet).select("a", "b").distinct()
+
+
 def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the nodes of ``distinct`` (node, _keys) that connect what similar candidates connect.
+    """Links (a, b) between the nodes of ``distinct`` (node, _keys, _n) that connect what similar candidates connect.
 
-    Candidates share a band. First all of a band meet the least one; then only candidates
-    that are still apart meet each other, so a crowd of near copies is not compared in pairs.
+    Candidates share a band. First all of a band meet the least one, if their numbers of
+    shingles allow the similarity; where members of a band are still in several parts, these
+    members meet by their rarest shingles. Only candidates' texts are moved.
     """
-    entries = cut_lineage(distinct.select("node", F.explode("_keys").alias("_key")))
-    groups = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("_key", "a")
-    shared = cut_lineage(entries.join(groups, "_key"))
-    texts = cut_lineage(texts.join(shared.select("node").distinct(), "node", "left_semi"))
-    star = cut_lineage(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    entries = cut_lineage(distinct.select("node", "_n", F.explode("_keys").alias("_key")))
+    least = F.min(F.struct("node", "_n")).alias("_least")
+    groups = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1")
+    shared = cut_lineage(entries.join(groups.select("_key", F.col("_least.node").alias("a"), F.col("_least._n").alias("a_n")), "_key"))
+    alike = SIMILARITY[1] * F.least("a_n", "_n") >= SIMILARITY[0] * F.greatest("a_n", "_n")
+    star = cut_lineage(shared.where((F.col("node") != F.col("a")) & alike).select("a", F.col("node").alias("b")).distinct())
+    may_hold = key_filter(shared.select("node").distinct(), "node")
+    texts = cut_lineage(texts.where(may_hold(F.col("node"))))
     found = _similar(star, texts)
     linked = components(found).withColumnRenamed("root", "_root")
     placed = cut_lineage(shared.join(linked, "node", "left").select("_key", "node", F.coalesce("_root", "node").alias("_part")))
     apart = placed.groupBy("_key").agg(F.min("_part").alias("low"), F.max("_part").alias("high")).where("low < high").select("_key")
-    rest = cut_lineage(placed.join(apart, "_key", "left_semi"))
-    pairs = (
-        rest.select("_key", F.col("node").alias("a"), F.col("_part").alias("_mine"))
-        .join(rest.select("_key", F.col("node").alias("b"), F.col("_part").alias("_theirs")), "_key")
-        .where("a < b AND _mine <> _theirs").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    )
+    rest = cut_lineage(placed.join(apart, "_key", "left_semi").select("node", "_part").distinct())
+    pairs = _rarest_first(texts, rest).join(star, ["a", "b"], "left_anti")
     return found.union(_similar(cut_lineage(pairs), texts))
 
 
@@ -280,8 +314,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     more. Null and empty texts are one component. Null ids come last. All columns are
     kept as they are.
     """
-    set_, keys, row = fresh(docs, "_set"), fresh(docs, "_keys"), fresh(docs, "_row")
-    names = [*docs.columns, set_, keys]
+    set_, keys, row, many = (fresh(docs, c) for c in ("_set", "_keys", "_row", "_n"))
+    names = [*docs.columns, set_, keys, many]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -290,21 +324,31 @@ def keep_one(docs: DataFrame) -> DataFrame:
             found = [shingles(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             sets = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
             bands = pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets, bands], names=names)
+            sizes = pa.array([len(h) for h in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets, bands, sizes], names=names)
 
     source = docs.select(*(F.col(f"`{c}`") for c in docs.columns), whole_text().alias("_text"))
-    rows = arrow_map(source, measure, extended(docs, f"`{set_}` binary, `{keys}` array<bigint>"))
+    rows = arrow_map(source, measure, extended(docs, f"`{set_}` binary, `{keys}` array<bigint>, `{many}` bigint"))
     rows = cut_lineage(rows.withColumn(row, F.monotonically_increasing_id()))
     # A struct orders by its first field first: null ids come last.
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    distinct = rows.groupBy(F.col(set_).alias("_set")).agg(F.min(F.struct(who.alias("who"), F.col(keys).alias("keys"))).alias("_least"))
-    distinct = cut_lineage(distinct.select(F.col("_least.who.row").alias("node"), F.col("_least.who").alias("_who"), F.col("_least.keys").alias("_keys")))
-    texts = rows.select(F.col(row).alias("node"), whole_text().alias("_text"))
-    linked = components(similar_links(distinct.select("node", "_keys"), texts)).withColumnRenamed("node", "_node")
-    first = (
-        distinct.join(linked, distinct["node"] == linked["_node"], "left")
-        .groupBy(F.coalesce("root", "node").alias("_name")).agg(F.min("_who").alias("_first"))
-        .select(F.col("_first.row").alias(row))
-    )
-    # Most rows stay, so their ids are as many as the rows: texts are shuffled at every size, and not sorted for it.
-    return rows.join(cut_lineage(first).hint("shuffle_hash"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    with stage_scope(docs.sparkSession):
+        mine = rows.select(F.col(set_).alias("_set"), F.col(row).alias("_row"), who.alias("who"), F.col(keys).alias("keys"), F.col(many).alias("n"))
+        distinct = mine.groupBy("_set").agg(F.min(F.struct("who", "keys", "n")).alias("_least"))
+        distinct = cut_lineage(distinct.select(
+            "_set", F.col("_least.who.row").alias("node"), F.col("_least.who").alias("_who"), F.col("_least.keys").alias("_keys"), F.col("_least.n").alias("_n")
+        ))
+        texts = rows.select(F.col(row).alias("node"), whole_text().alias("_text"))
+        linked = components(similar_links(distinct.select("node", "_keys", "_n"), texts)).withColumnRenamed("node", "_node")
+        named = cut_lineage(distinct.join(linked, distinct["node"] == linked["_node"], "left").select("node", "_who", F.coalesce("root", "node").alias("_name")))
+        first = cut_lineage(named.groupBy("_name").agg(F.min("_who").alias("_first")).select(F.col("_first.row").alias("node")))
+        # Rows that go: other rows of a set, and sets that are not the first of their component.
+        again = mine.select("_set", "_row").join(distinct.select("_set", "node"), "_set").where(F.col("_row") != F.col("node")).select("_row")
+        later = named.join(first, "node", "left_anti").select(F.col("node").alias("_row"))
+        gone = cut_lineage(again.union(later), outlive=True)
+    # Only rows that may have to go are moved; at every size by one plan.
+    may_go = key_filter(gone, "_row")
+    kept = rows.where(~may_go(F.col(row)))
+    lost = gone.select(F.col("_row").alias(row))
+    asked = rows.where(may_go(F.col(row))).join(lost.hint("shuffle_hash"), row, "left_anti")
+    return kept.unionByName(asked).select(*(F.col(f"`{c}`") for c in docs.columns))
