@@ -30,23 +30,92 @@ def sort_table(df: DataFrame, schema: TableSchema, name: str | None, ascending:
     return df.orderBy(*order)
 
 
+#: Rows up to which a page is a top-k of each task.
+NEAR = 10_000
+#: Rows of a sample of row positions, and ranges cut from it.
+SAMPLE, RANGES = 2048, 64
+
+
+def _before(order: list[tuple[SparkColumn, bool]], row) -> SparkColumn:
+    """Whether a row comes before ``row``, the values of the keys of ``order``."""
+    test = F.lit(False)
+    for (key, up), value in reversed(list(zip(order, row))):
+        test = (key < F.lit(value) if up else key > F.lit(value)) | ((key == F.lit(value)) & test)
+    return test
+
+
+def _row_at(rows: DataFrame, order: list[tuple[SparkColumn, bool]], place: int):
+    """The keys of the row at ``place`` of the sorted table; None beyond its end.
+
+    ``order`` are keys that are never NULL and together tell all rows apart, each with its
+    direction. Ranges are cut at rows drawn by hash; one narrow pass counts the rows of
+    each, and the range that holds the place is cut again, until it is small.
+    """
+    columns = [key.alias(f"k{i}") for i, (key, _) in enumerate(order)]
+    names = [F.col(f"k{i}") for i in range(len(order))]
+    named = [(name, up) for name, (_, up) in zip(names, order)]
+    sorting = [name.asc() if up else name.desc() for name, up in named]
+    keys = rows.select(*columns)
+    while place >= NEAR:
+        drawn = keys.orderBy(F.xxhash64(*names), *names).limit(SAMPLE).orderBy(*sorting).collect()
+        step = max(1, len(drawn) // RANGES)
+        bounds = drawn[step - 1 :: step] or [None]
+        if bounds == [None]:
+            return None
+        # How many bounds a row is not before: the same on every evaluation.
+        number = sum((F.when(_before(named, b), 0).otherwise(1) for b in bounds), F.lit(0))
+        sizes = sorted(map(tuple, keys.groupBy(number.alias("r")).agg(F.count(F.lit(1))).collect()))
+        for at, n in sizes:
+            if place < n:
+                break
+            place -= n
+        else:
+            return None
+        if at > 0:
+            keys = keys.filter(~_before(named, bounds[at - 1]))
+        if at < len(bounds):
+            keys = keys.filter(_before(named, bounds[at]))
+    return next(iter(keys.orderBy(*sorting).offset(place).limit(1).collect()), None)
+
+
 def paginate(
     df: DataFrame, schema: TableSchema, flt: Filter | None = None, sort: tuple[str, bool] | None = None,
     page: int = 0, limit: int | None = 15,
 ) -> DataFrame:
     """One page of the filtered, sorted table; ``limit=None`` is the whole of it.
 
-    Sort and slice together become a top-k per task, so a page near the start
-    never sorts the table.
+    Sort and slice together become a top-k per task, so a page near the start never
+    sorts the table. A page beyond ``NEAR`` rows is found by position: the rows of
+    ranges of the sort order are counted, and the range that holds its first row is cut
+    again until it is small; the page is then a top-k from that row on. Ties go by row id
+    in both ways.
     """
     rows = filter_table(df, schema, flt)
-    if sort is not None and sort[0] in rows.columns:
+    named = sort is not None and sort[0] in rows.columns
+    offset = page * (limit or 0)
+    if limit is not None and offset + limit > NEAR and INDEX in rows.columns:
+        order = [(F.col(INDEX), True)]
+        if named:
+            column = schema.get(sort[0])
+            key = column.sort_key()
+            missing = key.isNull()
+            # A NULL stands behind all values, whatever the direction; among NULLs the row id decides.
+            filler = rows.select(F.max(key)).first()[0]
+            if filler is not None:
+                order = [(missing, True), (F.coalesce(key, F.lit(filler)), sort[1] != (column.type == S.BOOLEAN)), *order]
+        sorting = [key.asc() if up else key.desc() for key, up in order]
+        # The first and the last row of the page are found by themselves; all between them is the page.
+        first = _row_at(rows, order, offset)
+        if first is None:
+            return rows.limit(0)
+        return rows.filter(~_before(order, first)).orderBy(*sorting).limit(limit)
+    if named:
         rows = sort_table(rows, schema, *sort)
     elif INDEX in rows.columns:
         rows = rows.orderBy(INDEX)
     if limit is None:
         return rows
-    return rows.offset(page * limit).limit(limit)
+    return rows.offset(offset).limit(limit)
 
 
 def page_meta(df: DataFrame, schema: TableSchema, flt: Filter | None = None, limit: int | None = 15) -> DataFrame:

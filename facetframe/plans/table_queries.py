@@ -10,7 +10,7 @@ from ..filters import affected_rows, filter_table, to_column
 from ..operators import fit as fitting
 from ..operators import infer, table
 from ..schema import CATEGORICAL, CONTINUOUS, INDEX, TEXTUAL, ORDERED, TEMPORAL, Column, TableSchema
-from ..session import stage_folder
+from ..session import cut_lineage, stage_folder
 from ..sources import preview, prepare_source, read_csv, read_workspace, to_records, with_row_index, write_workspace
 from . import tables as T
 from .registry import query, r, rounded
@@ -40,6 +40,22 @@ def csv_with_texts(spark, folder):
     return prepare_source(read_csv(spark, path, delimiter=";")).drop(INDEX)
 
 
+@query("SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
+def csv_in_ranges(spark, folder):
+    """The same through ranges of at most 64 kB, with the rows' places in the file."""
+    path = _scratch(spark)
+    docs = T.load(spark, folder, "documents").select("doc_id", "text", "lang")
+    rows = docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        made = read_csv(spark, path, delimiter=";", split_quoted=True, number="place")
+        return cut_lineage(made)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 @query("SELECT idx, status, price, priority_known, CAST(year(date) AS INTEGER) AS y FROM (" + ORDERS_SQL + ")")
 def workspace_round_trip(spark, folder):
     df, schema = T.orders(spark, folder)
@@ -300,6 +316,19 @@ def page_of_sorted_rows(spark, folder):
     return _positions(table.paginate(df, schema, EQ("status", "F"), ("price_known", False), page=3, limit=25), 75)
 
 
+@query("""
+    SELECT idx, ROW_NUMBER() OVER (ORDER BY l_returnflag DESC NULLS LAST, idx) - 1 + 20000 AS place FROM (
+        SELECT l_returnflag, l_orderkey * 10 + l_linenumber AS idx FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)
+        ORDER BY l_returnflag DESC NULLS LAST, idx LIMIT 40 OFFSET 20000) x
+""")
+def deep_page(spark, folder):
+    """A page far into a table that is sorted by three values only: one range of it is read and sorted."""
+    items = T.load(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    df = cut_lineage(items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(INDEX), "flag"))
+    schema = TableSchema.of(Column("flag", CATEGORICAL))
+    return _positions(table.paginate(df, schema, sort=("flag", False), page=500, limit=40), 20000)
+
+
 @query(_page_sql("priority_known ASC NULLS LAST", 2, 30))
 def sort_ordered_category(spark, folder):
     df, schema = T.orders(spark, folder)

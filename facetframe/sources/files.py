@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..schema import INDEX, quoted
 from ..session import cut_lineage
+from .csv_ranges import csv_records
 
 # Texts that mean "missing" in a CSV cell.
 MISSING = (
@@ -20,13 +21,17 @@ _OVERFLOW = "__overflow"
 
 
 def read_csv(
-    spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True, one_line_records: bool = False
+    spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True, one_line_records: bool = False,
+    split_quoted: bool = False, number: str | None = None,
 ) -> DataFrame:
     """CSV with a header. Rows with too many fields are skipped; short rows are padded with NULL.
 
-    Quoted cells may hold line breaks, so a file is read by one task: write large
-    tables as Parquet after the read. ``one_line_records`` promises that no cell
-    has a line break and lets files be split.
+    Quoted cells may hold line breaks, so by default a file is read by one task.
+    ``one_line_records`` promises that no cell has a line break and lets files be
+    split. ``split_quoted`` promises that quote characters stand around cells and
+    doubled inside them only, and splits files whose cells do hold line breaks (see
+    ``csv_ranges``); ``number`` then names a column with the place of a row in the
+    files, which ``prepare_source`` takes as ``key``.
 
     The file is read with one column more than the header has; it is filled only
     in rows that are too long. ``infer`` turns columns whose values all read as
@@ -37,9 +42,17 @@ def read_csv(
     names = spark.read.options(**options, header=True).csv(path).columns
     # A marker that no file holds keeps empty cells apart from absent ones.
     text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
-    rows = spark.read.options(**options, header=True, enforceSchema=True, nullValue="\u0001", emptyValue="").csv(path, schema=text)
+    reading = {**options, "enforceSchema": True, "nullValue": "\u0001", "emptyValue": ""}
+    kept = []
+    if split_quoted:
+        cells = F.from_csv("record", ", ".join(f"{quoted(f.name)} string" for f in text.fields), {k: str(v) for k, v in reading.items() if k != "enforceSchema"})
+        place = number or "__number"
+        rows = csv_records(spark, path).select(F.col("number").alias(place), cells.alias("__cells")).select(place, "__cells.*")
+        kept = [F.col(quoted(number))] if number else []
+    else:
+        rows = spark.read.options(**reading, header=True).csv(path, schema=text)
     rows = rows.filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    rows = rows.select(*[
+    rows = rows.select(*kept, *[
         F.when(~F.col(quoted(n)).isin(*MISSING), F.col(quoted(n))).alias(n) for n in names
     ])
     if not infer:
@@ -57,7 +70,7 @@ def read_csv(
         ref, total = F.col(quoted(n)), found[f"n{i}"]
         target = next((t for k, t in {**kinds, "bool": "boolean"}.items() if total and found[f"{k}{i}"] == total), None)
         typed.append((ref.try_cast(target) if target else ref).alias(n))
-    return rows.select(*typed)
+    return rows.select(*kept, *typed)
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:

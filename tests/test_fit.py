@@ -126,3 +126,23 @@ def test_plain_categories_are_part_of_the_schema(spark):
         filter_table(df, schema, {"type": "equal_to", "target": "c", "value": "z"})
     means = profile.aggregate_values(df, schema, "v", "b", "mean").collect()
     assert [tuple(r) for r in means] == [("False", 2.0), ("True", 3.5)]
+
+
+def test_pages_by_position(spark, monkeypatch):
+    """Pages beyond the near rows are the slices of the sorted table, with ties, NULLs and both directions."""
+    from facetframe.operators import table
+
+    monkeypatch.setattr(table, "NEAR", 30)
+    monkeypatch.setattr(table, "SAMPLE", 64)
+    monkeypatch.setattr(table, "RANGES", 8)
+    values = [None if i % 9 == 0 else 5.0 if i % 3 else float(i * 37 % 101) for i in range(700)]
+    flags = [None if i % 5 == 0 else i % 2 == 0 for i in range(700)]
+    rows = [(i, v, f) for i, (v, f) in enumerate(zip(values, flags))]
+    df = spark.createDataFrame(rows, f"{INDEX} long, v double, f boolean").repartition(5)
+    schema = TableSchema.of(Column("v", "continuous"), Column("f", "boolean"))
+    for sort in (None, ("v", True), ("v", False), ("f", True)):
+        whole = [r[INDEX] for r in table.paginate(df, schema, sort=sort, limit=None).collect()]
+        assert len(whole) == 700
+        for page, limit in ((6, 5), (3, 50), (13, 50), (139, 5), (14, 50), (500, 7)):
+            got = [r[INDEX] for r in table.paginate(df, schema, sort=sort, page=page, limit=limit).collect()]
+            assert got == whole[page * limit : (page + 1) * limit], (sort, page, limit)

@@ -43,6 +43,28 @@ def test_line_breaks_quotes_and_delimiters_in_cells(spark, tmp_path):
     assert dict(rows.dtypes)["id"] == "bigint"
 
 
+@pytest.mark.parametrize("size", [7, 40, 100_000])
+def test_quoted_cells_in_many_ranges(spark, tmp_path, size):
+    """Ranges of a few bytes give the rows of the one-task reader, in the order of the files."""
+    cells = ['"line one\nline two"', '"say ""yes""; or no"', '"""\n"""', "plain", '""', "", '"a\r\nb;"', '"\n\n"', '"é ""\n"""']
+    for k, end in enumerate(("\n", "\r\n", "\n")):
+        rows = [f"{i};{cells[(i * (k + 1)) % len(cells)]};{cells[(i + k) % len(cells)]}" for i in range(30)]
+        body = end.join(['"id";"first ""cell""";second', *rows[:20], "", *rows[20:]])
+        (tmp_path / f"part-{k}.csv").write_bytes((body + end * (k != 2)).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        split = read_csv(spark, str(tmp_path), delimiter=";", split_quoted=True, number="at").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = []
+    split = [[(v.replace("\r\n", "\n") if 30 <= r[0] < 60 and isinstance(v, str) else v) for v in r] for r in split]
+    for k in range(3):  # in a file of CRLF lines, the one-task reader also changes the line breaks inside cells
+        rows += [tuple(r) for r in read_csv(spark, str(tmp_path / f"part-{k}.csv"), delimiter=";").collect()]
+    assert sorted(r[0] for r in split) == list(range(90))
+    assert [tuple(r)[1:] for r in sorted(split, key=lambda r: r[0])] == rows
+
+
 def test_row_ids_of_a_shuffled_frame(spark):
     df = with_row_index(spark.range(1000).repartition(7))
     assert sorted(r["__index"] for r in df.collect()) == list(range(1000))
