@@ -277,16 +277,20 @@ def _rarest_first(texts: DataFrame, parts: DataFrame) -> DataFrame:
     across = each.join(cut_lineage(known.where("_low < _high").select("_shingle", "_texts")), "_shingle")
     listed = across.groupBy("node", "_part", "_n").agg(F.array_sort(F.collect_list(F.struct("_texts", "_shingle"))).alias("_s"))
     room = F.floor(F.col("_n") / 5).cast("int") + 1 - (F.col("_n").cast("int") - F.size("_s"))
-    cut_off = listed.where(room > 0).select("node", "_part", "_n", F.slice("_s", F.lit(1), room)["_shingle"].alias("_s"))
-    filed = cut_lineage(cut_off.select("node", "_part", "_n", "_s", F.posexplode("_s").alias("_at", "_shingle")).select(
-        "node", "_part", "_n", "_shingle",
+    cut_off = listed.where(room > 0).select(
+        "node", "_part", "_n", (F.col("_n") - F.size("_s")).alias("_own"), F.slice("_s", F.lit(1), room)["_shingle"].alias("_s")
+    )
+    filed = cut_lineage(cut_off.select("node", "_part", "_n", "_own", "_s", F.posexplode("_s").alias("_at", "_shingle")).select(
+        "node", "_part", "_n", "_shingle", (F.col("_n") - F.col("_own") - F.col("_at")).alias("_left"),
         F.slice("_s", F.greatest(F.col("_at") - (BEFORE - 1), F.lit(1)), F.least("_at", F.lit(BEFORE))).alias("_before"),
     ))
     one, other = (
-        filed.select(F.col("node").alias(x), F.col("_part").alias(f"{x}_part"), F.col("_n").alias(f"{x}_n"), F.col("_before").alias(f"{x}_before"), "_shingle")
+        filed.select(F.col("node").alias(x), F.col("_part").alias(f"{x}_part"), F.col("_n").alias(f"{x}_n"), F.col("_left").alias(f"{x}_left"), F.col("_before").alias(f"{x}_before"), "_shingle")
         for x in "ab"
     )
     meet = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & (SIMILARITY[1] * F.least("a_n", "b_n") >= SIMILARITY[0] * F.greatest("a_n", "b_n"))
+    # Where a pair meets first, nothing before is common: what is left must be enough for the similarity.
+    meet = meet & (sum(SIMILARITY) * F.least("a_left", "b_left") >= SIMILARITY[0] * (F.col("a_n") + F.col("b_n")))
     # Pairs that met just before, in the order of the shingles, need not meet again.
     meet = meet & ~F.arrays_overlap("a_before", "b_before")
     return one.join(other, (one["_shingle"] == other["_shingle"]) & meet).select("a", "b").distinct()
