@@ -5,7 +5,8 @@ are compiled into a single minimised automaton that reads each byte once. Where
 accepts, the rule's reversed trigger finds the leftmost start, not before the end of
 the rule's last match, and the rule's own automaton the longest end. Matches of one
 rule do not overlap; matches whose tail is too short are dropped but still use up
-their text.
+their text. A read without a match leaves its states at every eighth byte behind; a
+later read that comes to one of them ends there, so the time is linear in the text.
 """
 
 from __future__ import annotations
@@ -92,33 +93,49 @@ def scanner(compiled: Compiled) -> Callable[[bytes], list[tuple[int, int, int]]]
     classes = compiled.search[0]
     search = Table(*compiled.search).rows()[0]
     last = len(search) - 1
-    starts, whole, heads = ([(t[0], Table(*t).rows()[0]) for t in part] for part in (compiled.starts, compiled.whole, compiled.heads))
 
-    def longest(machine: tuple[bytes, list], data: bytes, start: int) -> int:
-        kinds, state = machine
+    def machine(table: tuple) -> tuple[bytes, list, list | None]:
+        """Byte classes, first state, and the state without a way out."""
+        rows = Table(*table).rows()
+        return table[0], rows[0], next((r for r in rows if not r[-1] and all(t is r for t in r[:-1])), None)
+
+    starts, whole, heads = ([machine(t) for t in part] for part in (compiled.starts, compiled.whole, compiled.heads))
+
+    def longest(machine: tuple, data: bytes, start: int, failed: set | None = None) -> int:
+        """``failed`` holds (place, state) from which no match came, as far as reads without a match went."""
+        kinds, state, dead = machine
         end = start if state[-1] else -1
+        passed = []
         for at in range(start, len(data)):
             state = state[kinds[data[at]]]
             if state[-1]:
                 end = at + 1
-            elif all(t is state for t in state[:-1]):
+            elif state is dead:
                 break
+            elif failed is not None and end < 0 and not at & 7:
+                mark = (at, id(state))
+                if mark in failed:
+                    break
+                passed.append(mark)
+        if failed is not None and end < 0:
+            failed.update(passed)
         return end
 
-    def leftmost(machine: tuple[bytes, list], data: bytes, end: int, least: int) -> int:
-        kinds, state = machine
+    def leftmost(machine: tuple, data: bytes, end: int, least: int) -> int:
+        kinds, state, dead = machine
         start = -1
         for at in range(end - 1, least - 1, -1):
             state = state[kinds[data[at]]]
             if state[-1]:
                 start = at
-            elif all(t is state for t in state[:-1]):
+            elif state is dead:
                 break
         return start
 
     def scan(data: bytes) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
         done = [0] * len(rules)
+        failed: list[set] = [set() for _ in rules]
         state, at = search, 0
         for kind in data.translate(classes):
             state = state[kind]
@@ -129,7 +146,7 @@ def scanner(compiled: Compiled) -> Callable[[bytes], list[tuple[int, int, int]]]
                     if not mask >> i & 1 or at <= done[i]:
                         continue
                     start = leftmost(starts[i], data, at, done[i])
-                    end = longest(whole[i], data, start) if start >= 0 else -1
+                    end = longest(whole[i], data, start, failed[i]) if start >= 0 else -1
                     if end < 0:
                         continue
                     done[i] = end

@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,29 @@ def test_whole_private_keys_go(spark):
     assert spans(begin + " alone, in a sentence") == [f"pem:0:{len(begin)}"]
     text = begin + "\n" + lines[0] + "\n. prose " + begin + "\n" + lines[1] + "\n" + end + " more"
     assert [x for x in spans(text) if x.startswith("pem")] == [f"pem:0:{len(begin) + 65}", f"pem:{len(begin) + 74}:{len(text) - 5}"]
+
+
+def test_time_is_linear_in_the_text():
+    def seconds(text):
+        begin = time.perf_counter()
+        found = spans(text)
+        return time.perf_counter() - begin, found
+
+    r = random.Random(8)
+    nested = base64.urlsafe_b64encode(('[' + ",".join('{"a":%d}' % r.random().__hash__() for _ in range(27_000)) + ']').encode()).decode()
+    nested += base64.urlsafe_b64encode(b'{"alg":"x"}').decode() * 20_000
+    token = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9
+    for text in ("eyJ" * 350_000, nested, "eyJaaaaaaaa." * 80_000, "-----BEGIN " * 90_000, "xoxb-" * 200_000, "ghp_" * 250_000, "token: " * 150_000):
+        spent, found = seconds(text + " " + token)
+        assert spent < 5, (text[:20], spent)
+        assert found[-1] == f"jwt:{len(text) + 1}:{len(text) + 1 + len(token)}"
+
+
+JWT = [x for x in s.RULES if x.kind == "jwt"][0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", ".", "abcdefgh", "a", " ", ".eyJ", "eyJabcdefgh."]), max_size=14).map("".join))
+def test_tokens_as_a_regular_expression(text):
+    expected = [f"jwt:{m.start()}:{m.end()}" for m in re.finditer(JWT.head + JWT.tail, text)]
+    assert [x for x in spans(text) if x.startswith("jwt")] == expected
