@@ -2,15 +2,16 @@
 
 First pass: every page scores its containers by the text they hold and names the best
 one's path of generalised tags and classes (digits in class names become ``#``). Spark
-counts these votes per host. Second pass: a page is extracted from the containers on
-its host's winning path; a page without that path uses its own best container.
+counts these votes per host; every path with a real share of them wins. Second pass: a
+page is extracted from the containers on the winning path that scores best on it. A page
+without such a path, or whose own best container holds far more, uses that container.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +54,10 @@ FLAGS_FIRST = frozenset("has no with without is show hide hidden".split())
 FLAGS_LAST = frozenset("open closed enabled disabled on off left right".split())
 #: Where no more than this share of the best dropped element's text is left, that element was the article.
 LEFT = 0.1
+#: A path wins with this share of its host's votes or more, so a host has ten of them at most.
+SHARE = 0.1
+#: A winning path is refused on a page where it scores less than this part of the page's best container.
+REFUSED = 0.4
 #: Names of what readers wrote: never the article, as long as anything else is left.
 REPLIES = frozenset("comment comments reply replies disqus respond".split())
 #: An article element with less than this share of the longest one's score is a teaser.
@@ -188,6 +193,10 @@ def _walk(page: str, pardoned: int) -> tuple[list[Element], list[tuple[Element,
     return containers, pieces, lost
 
 
+def _weight(element: Element) -> float:
+    return element.score * (2.0 if element.tag in ("article", "main") else 1.0)
+
+
 def best_container(containers: list[Element]) -> Element:
     """The container with most text: links count little, half of a child's score counts for its parent, articles twice."""
     for element in reversed(containers):  # children come after their parents
@@ -195,22 +204,29 @@ def best_container(containers: list[Element]) -> Element:
     for element in reversed(containers):
         if element.parent is not None:
             element.parent.score += 0.5 * element.score
-    return max(containers, key=lambda e: e.score * (2.0 if e.tag in ("article", "main") else 1.0))
+    return max(containers, key=_weight)
 
 
-def extract(page: str, path: str | None) -> tuple[str, str]:
-    """The text below ``path`` (or else below the page's best container), and the path that was used.
+def extract(page: str, paths: Iterable[str] = ()) -> tuple[str, str]:
+    """The text below the one of ``paths`` that scores best (or else below the page's best container), and the path that was used.
 
     All containers on the path count: an article may be cut into sections. Of several
     ``article`` elements, each of which is a whole, short ones beside a long one are
-    teasers and do not count.
+    teasers and do not count. Of equal scores the first path counts. A path that scores
+    far less than the page's best container is not used.
     """
     containers, pieces = walk(page)
     best = best_container(containers)  # this also completes the scores
-    found = [e for e in containers if path is not None and e.path == path]
-    least = TEASER * max((e.score for e in found), default=0.0)
-    text = _joined(pieces, {id(e) for e in found if e.tag != "article" or e.score >= least}) if found else ""
-    return (text, path or "") if text else (_joined(pieces, {id(best)}), best.path)
+    chosen, most = [], REFUSED * _weight(best)
+    for path in paths:
+        found = [e for e in containers if e.path == path]
+        least = TEASER * max((e.score for e in found), default=0.0)
+        found = [e for e in found if e.tag != "article" or e.score >= least]
+        score = sum(map(_weight, found))
+        if found and (score > most or not chosen and score == most):
+            chosen, most = found, score
+    text = _joined(pieces, {id(e) for e in chosen})
+    return (text, chosen[0].path) if text else (_joined(pieces, {id(best)}), best.path)
 
 
 def _joined(pieces: list[tuple[Element, str]], chosen: set[int]) -> str:
@@ -231,9 +247,10 @@ def _joined(pieces: list[tuple[Element, str]], chosen: set[int]) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars, path.
 
-    A null or empty html gives an empty text. Null urls vote as one host without a name.
-    Votes count pages; ties go to the alphabetically last path. Whole pages are read.
-    Repeated rows stay repeated and vote each; no pages give no rows.
+    A null or empty html gives an empty text. Pages whose url is null or has no host
+    neither vote nor follow a vote. Votes count pages; paths are tried by votes, then
+    alphabetically. Whole pages are read. Repeated rows stay repeated and vote each; no
+    pages give no rows.
     """
     source = F.coalesce(F.col("html"), F.lit(""))
 
@@ -242,16 +259,20 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             paths = [best_container(walk(p)[0]).path for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["_host", "path"])
 
-    votes = pages.select(url_host(F.col("url")).alias("_host"), source).mapInArrow(vote, "_host string, path string")
+    host = F.nullif(url_host(F.col("url")), F.lit(""))
+    voters = pages.select(host.alias("_host"), source).where("_host IS NOT NULL")
+    counts = cut_lineage(
+        voters.mapInArrow(vote, "_host string, path string").groupBy("_host", "path").agg(F.count(F.lit(1)).alias("n"))
+    )
+    # Only the ten paths or fewer that win are gathered per host.
     winners = cut_lineage(
-        votes.groupBy("_host", "path").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("_host").agg(F.max(F.struct("n", "path")).alias("best"))
-        .select("_host", F.col("best.path").alias("_path"))
+        counts.join(counts.groupBy("_host").agg(F.sum("n").alias("total")), "_host").where(F.col("n") >= SHARE * F.col("total"))
+        .groupBy("_host").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))["path"].alias("_paths"))
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(p, w) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = [extract(p, w or ()) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             texts = [t for t, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
@@ -260,8 +281,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             )
 
     joined = (
-        pages.select("page_id", "url", source.alias("_html"), url_host(F.col("url")).alias("_host"))
-        .join(winners, "_host", "left").select("page_id", "url", "_html", "_path")
+        pages.select("page_id", "url", source.alias("_html"), host.alias("_host"))
+        .join(winners, "_host", "left").select("page_id", "url", "_html", "_paths")
     )
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long, path string")

@@ -14,38 +14,53 @@ TEXT = "Title First paraé graph with text. Second one, with more text in it. Af
 
 def test_boilerplate_goes_and_the_article_stays():
     for name in ("post-7 content", "story", "x"):
-        text, path = h.extract(PAGE.format(name=name), None)
+        text, path = h.extract(PAGE.format(name=name))
         assert text == TEXT
     assert path == ">body>div.x"
 
 
 def test_odd_input():
-    assert h.extract("", None) == ("", "")
-    assert h.extract("plain &lt;text&gt; & more", None)[0] == "plain <text> & more"
-    assert h.extract("<p>a<p>b<b>c</b>", None)[0] == "a bc"
-    assert h.extract("<script>x", None)[0] == ""
-    assert h.extract("a < b and <c", None)[0] == "a < b and <c"
-    assert h.extract("<div hidden>x</div><div style='display: none'>y</div><div>z</div>", None)[0] == "z"
-    assert h.extract("<article><header><h1>T</h1></header>long text</article><header>site</header>", None)[0] == "T long text"
-    assert len(h.extract("<article>" + "word " * 200_000 + "</article>", None)[0]) == 5 * 200_000 - 1
-
-
-def test_hosts_agree_on_a_path(spark):
-    # The page's own best container would be the long list; the host's other pages outvote it.
-    odd = "<body><div class='main-1'><p>short text</p></div><div class='x'><p>" + "much longer text " * 30 + "</p></div></body>"
-    usual = "<body><div class='main-2'><p>" + "the real article " * 20 + "</p></div><div class='x'><p>little</p></div></body>"
-    rows = [(1, "http://h.org/1", odd), (2, "http://H.org/2", usual), (3, "http://h.org/3", usual), (4, "http://other.org", odd),
-            (5, None, "<p>x</p>"), (6, "http://h.org/", None), (6, "http://h.org/", ""), (None, "nothing", "<div>y</div>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' text", "1 _host", "2 path")
-    got = {(r["page_id"], r["url"]): r for r in h.extract_pages(pages).collect()}
-    assert got[1, "http://h.org/1"]["text"] == "short text"
-    assert got[4, "http://other.org"]["text"].startswith("much longer")
-    assert got[5, None]["text"] == "x" and got[6, "http://h.org/"]["text"] == "" and got[None, "nothing"]["text"] == "y"
-    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
-    assert h.extract_pages(pages).count() == len(rows)
+    assert h.extract("") == ("", "")
+    assert h.extract("plain &lt;text&gt; & more")[0] == "plain <text> & more"
+    assert h.extract("<p>a<p>b<b>c</b>")[0] == "a bc"
+    assert h.extract("<script>x")[0] == ""
+    assert h.extract("a < b and <c")[0] == "a < b and <c"
+    assert h.extract("<div hidden>x</div><div style='display: none'>y</div><div>z</div>")[0] == "z"
+    assert h.extract("<article><header><h1>T</h1></header>long text</article><header>site</header>")[0] == "T long text"
+    assert len(h.extract("<article>" + "word " * 200_000 + "</article>")[0]) == 5 * 200_000 - 1
+
+
+def test_hosts_agree_on_paths(spark):
+    # Three pages vote for a list that is somewhat longer than the article; the host's other pages outvote them.
+    article = "<div class='main-{k}'><p>" + "the real article " * 40 + "</p></div>"
+    usual = [(f"http://h.org/{k}", "<body>" + article.format(k=k) + "<div class='x'>little</div></body>") for k in range(40)]
+    odd = "<body>" + article.format(k=99) + "<div class='x'><p>" + "other things to read " * 45 + "</p></div></body>"
+    # A second template with a quarter of the pages, whose article stands elsewhere beside an intro on the first one's path.
+    second = "<body><div class='main-1'><p>short intro</p></div><section class='longread'><p>" + "much longer text " * 30 + "</p></section></body>"
+    rows = [*usual, ("http://H.org/odd", odd), *[(f"http://h.org/long/{k}", second) for k in range(12)], ("http://other.org", odd)]
+    rows += [(None, "<p>x</p>"), (None, second), ("no host", odd), ("http://h.org/", None), ("http://h.org/", ""), ("http://h.org/", "")]
+    pages = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "page_id long, url string, html string")
+    pages = pages.selectExpr("*", "'t' text", "1 _host", "2 path", "3 _paths")
+    got = [r for r in h.extract_pages(pages).orderBy("page_id").collect()]
+    assert [r["page_id"] for r in got] == list(range(len(rows)))
+    assert all(r["text"] == ("the real article " * 40).strip() for r in got[:41])
+    assert all(r["text"] == ("much longer text " * 30).strip() for r in got[41:53])
+    assert got[53]["text"].startswith("other things")
+    assert got[54]["text"] == "x" and got[55]["text"].startswith("much longer") and got[56]["text"].startswith("other things")
+    assert [r["text"] for r in got[57:]] == ["", "", ""]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert h.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_ties_and_refusals():
+    page = "<body><div class='a'>one two three</div><div class='b'>six five four</div></body>"
+    assert h.extract(page, [">body>div.b", ">body>div.a"]) == ("six five four", ">body>div.b")
+    assert h.extract(page, [">body>div.a", ">body>div.b"]) == ("one two three", ">body>div.a")
+    page = "<body><div class='a'>one</div><div class='b'>" + "six five four " * 9 + "</div></body>"
+    assert h.extract(page, [">body>div.a"])[1] == ">body>div.b"
+    assert h.extract("", [">body"]) == ("", "") and h.extract("x", [">body"]) == ("x", "")
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
@@ -60,9 +75,9 @@ def test_given_pages(spark):
 def test_teasers_and_sections():
     long = "word " * 60
     page = f"<body><main><article><p>{long}</p></article><article><p>read more of this</p></article></main></body>"
-    assert h.extract(page, ">body>main>article")[0] == long.strip()
+    assert h.extract(page, [">body>main>article"])[0] == long.strip()
     page = f"<body><div><section><p>{long}</p></section><section><p>the end</p></section></div></body>"
-    assert h.extract(page, ">body>div>section")[0] == long + "the end"
+    assert h.extract(page, [">body>div>section"])[0] == long + "the end"
 
 
 def test_layout_flags_drop_no_article():
@@ -70,6 +85,6 @@ def test_layout_flags_drop_no_article():
     for start in ("main class='content has-sidebar'", "div class='entry-content no-sidebar'", "article class='post comments-open'",
                   "div id='page' class='with-banner'", "article class='sponsored'", "div class='post comments'", "div class='banner-box'"):
         page = f"<body><{start}><p>{text}</p><div class='sidebar'>Other</div></{start.split()[0]}><div>left over</div></body>"
-        assert h.extract(page, None)[0] == text, start
+        assert h.extract(page)[0] == text, start
     page = f"<body><div class='story'>short</div><div class='comments'>{text}</div><div class='ad'>buy</div></body>"
-    assert h.extract(page, None)[0] == "short"
+    assert h.extract(page)[0] == "short"
