@@ -51,7 +51,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _neighbours(cell: str, dimensions: int, forward_only: bool):
+def neighbours(cell: str, dimensions: int, forward_only: bool):
     """The cells that share a face with a cell."""
     steps = (1,) if forward_only else (1, -1)
     moved = []
@@ -61,19 +61,35 @@ def _neighbours(cell: str, dimensions: int, forward_only: bool):
     return F.explode(F.array(*moved))
 
 
+def cell_sides(points: DataFrame, min_samples: int, resolution: float) -> tuple[list[float], int]:
+    """The side of a cell in each dimension, and the number of dimensions (0 without vectors).
+
+    The middle of a normal cloud holds twice ``min_samples`` distinct places per cell.
+    """
+    dimensions = points.select(F.max(F.size("vec"))).first()[0]
+    if not dimensions:
+        return [], 0
+    spread = points.select("vec").distinct().agg(
+        F.count(F.lit(1)).alias("places"),
+        *[F.coalesce(F.stddev_pop(F.col("vec")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(dimensions)],
+    ).first()
+    unit = (2 * min_samples * (2 * math.pi) ** (dimensions / 2) / spread["places"]) ** (1 / dimensions) / resolution
+    return [max(spread[f"s{i}"] * unit, 1e-12) for i in range(dimensions)], dimensions
+
+
 def _one_level(points: DataFrame, side: list[float], min_samples: int, dimensions: int) -> tuple[DataFrame, DataFrame]:
     """``id vec label`` for one cell size (NULL label: outlier), and ``label size``."""
     cell = F.array(*[F.floor(F.col("vec")[i] / F.lit(side[i]))for i in range(dimensions)])
     placed = points.withColumn("cell", cell)
     cells = cut_lineage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
     dense = cells.filter(F.col("n") >= min_samples)
-    steps = dense.select(F.col("cell").alias("a"), _neighbours("cell", dimensions, True).alias("b"))
+    steps = dense.select(F.col("cell").alias("a"), neighbours("cell", dimensions, True).alias("b"))
     edges = steps.join(dense.select(F.col("cell").alias("b")), "b", "left_semi")
     labels = connected_components(dense.select(F.col("cell").alias("node")), edges)
 
     core = labels.join(dense, labels["node"] == dense["cell"]).select("cell", "label", "n")
     thin = cells.filter(F.col("n") < min_samples)
-    around = thin.select("cell", _neighbours("cell", dimensions, False).alias("near"))
+    around = thin.select("cell", neighbours("cell", dimensions, False).alias("near"))
     border = (
         around.join(core.select(F.col("cell").alias("near"), "label", F.col("n").alias("weight")), "near")
         .groupBy("cell").agg(F.max_by("label", F.struct("weight", "label")).alias("label"))
@@ -106,20 +122,12 @@ def density_clusters(
         raise ValidationError("min_topic_size must be at least 2")
     min_samples = min(min_samples or min_topic_size, min_topic_size)
     points = vectors.filter(F.col("vec").isNotNull()).select("id", "vec")
-    dimensions = points.select(F.max(F.size("vec"))).first()[0]
-    if dimensions is None:
+    side, dimensions = cell_sides(points, min_samples, resolution)
+    if not dimensions:
         return points.select("id", F.lit(-1).alias("topic"))
-    places = points.groupBy("vec").agg(F.count(F.lit(1)).alias("copies"))
-    spread = places.agg(
-        F.count(F.lit(1)).alias("places"), F.sum("copies").alias("n"),
-        *[F.coalesce(F.stddev_pop(F.col("vec")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(dimensions)],
-    ).first()
-    n = spread["n"]
-    limit = None if max_topic_size is None else int(max_topic_size * n)
+    limit = None if max_topic_size is None else int(max_topic_size * points.count())
     if limit is not None and min_topic_size >= limit:
         raise ValidationError("min_topic_size is not below the maximal topic size")
-    unit = (2 * min_samples * (2 * math.pi) ** (dimensions / 2) / spread["places"]) ** (1 / dimensions) / resolution
-    side = [max(spread[f"s{i}"] * unit, 1e-12) for i in range(dimensions)]
 
     done, pending, level = [], points, 0
     while True:

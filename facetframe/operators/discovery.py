@@ -12,14 +12,20 @@ from ..errors import ValidationError
 from ..schema import INDEX, TableSchema, quoted
 from ..session import cut_lineage
 from .clustering import density_clusters
+from .hierarchy import density_hierarchy
 from .text import TextConfig, preprocess, preprocess_light
 from .topics import extract_topics
 from .vectors import embed_lsa, embed_word2vec, merge_topics, reduce_dimensions, reduce_outliers
 
+CLUSTERS = {"grid": density_clusters, "hierarchy": density_hierarchy}
+
 
 @dataclass(frozen=True)
 class TopicConfig:
-    """``embedding``: ``lsa``, ``word2vec`` or ``column`` (vectors given by the caller)."""
+    """``embedding``: ``lsa``, ``word2vec`` or ``column`` (vectors given by the caller).
+
+    ``clusters``: ``grid`` (one density for all topics) or ``hierarchy`` (topics of varying density).
+    """
 
     embedding: str = "lsa"
     min_topic_size: int = 15
@@ -31,6 +37,7 @@ class TopicConfig:
     vector_size: int = 100
     clustering_dimensions: int = 5
     text: TextConfig = field(default_factory=TextConfig)
+    clusters: str = "grid"
 
 
 @dataclass
@@ -66,7 +73,9 @@ def discover_topics(
         raise ValidationError(f'"{config.embedding}" is not an embedding method')
     vectors = cut_lineage(vectors)
     reduced = cut_lineage(reduce_dimensions(vectors, config.clustering_dimensions))
-    assigned = density_clusters(
+    if config.clusters not in CLUSTERS:
+        raise ValidationError(f'"{config.clusters}" is not a way of clustering')
+    assigned = CLUSTERS[config.clusters](
         reduced, config.min_topic_size, config.topic_confidence_threshold, config.max_topic_size
     )
     if config.max_topics is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, discovery, evaluation, vectors
+from ..operators import clustering, discovery, evaluation, hierarchy, vectors
 from ..operators import topics as M
 from ..operators.text import TextConfig
 from ..session import cut_lineage
@@ -76,6 +76,62 @@ def density_clusters(spark, folder):
     return found.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Two coordinates, three documents a dense cell, four levels a doubling, clusters of ten.
+_LEVELS = """RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE embedding IS NOT NULL),
+    u AS (SELECT sqrt(2 * 3 * (2 * pi()) / count(*)) AS unit, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM (SELECT DISTINCT x, y FROM p)),
+    pl AS (SELECT id, [CAST(floor(x / greatest(sx * unit, 1e-12)) AS BIGINT), CAST(floor(y / greatest(sy * unit, 1e-12)) AS BIGINT)] AS cell FROM p, u),
+    al AS (SELECT cell, count(*) AS n FROM pl GROUP BY 1),
+    c AS (SELECT cell, n, CAST(floor(log2(n / 3.0) * 4 + 1e-9) AS INTEGER) AS top FROM al WHERE n >= 3),
+    nd AS (SELECT cell, unnest(range(0, top + 1)) AS level FROM c),
+    re AS (SELECT level, cell, cell AS label FROM nd
+           UNION SELECT re.level, nd.cell, re.label FROM re JOIN nd ON nd.level = re.level AND abs(nd.cell[1] - re.cell[1]) + abs(nd.cell[2] - re.cell[2]) = 1),
+    lb AS (SELECT level, cell, min(label) AS label FROM re GROUP BY ALL),
+    cm AS (SELECT level, label, CAST(sum(n) AS BIGINT) AS mass, count(*) AS cells FROM lb JOIN c USING (cell) GROUP BY ALL),
+    tr AS (SELECT cm.*, up.label AS parent FROM cm LEFT JOIN lb up ON up.level = cm.level - 1 AND up.cell = cm.label)"""
+
+
+def _flat(spark, folder):
+    embeddings = T.load(spark, folder, "embeddings").filter("embedding IS NOT NULL")
+    return embeddings.select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("vec"))
+
+
+@query("WITH " + _LEVELS + """
+    SELECT level, label[1] AS x, label[2] AS y, parent[1] AS parent_x, parent[2] AS parent_y, mass, cells FROM tr""")
+def density_levels(spark, folder):
+    _, _, components = hierarchy.density_levels(_flat(spark, folder), 3)
+    return components.select(
+        "level", F.col("label")[0].alias("x"), F.col("label")[1].alias("y"), F.col("parent")[0].alias("parent_x"),
+        F.col("parent")[1].alias("parent_y"), "mass", "cells",
+    )
+
+
+@query("WITH " + _LEVELS + """,
+    t AS (SELECT level, label, parent, mass * (sqrt(3 * 2 ** (level / 4.0)) - sqrt(3 * 2 ** ((level - 1) / 4.0))) AS gain FROM tr WHERE mass >= 10),
+    parts AS (SELECT level - 1 AS level, parent AS label, count(*) AS parts FROM t WHERE level > 0 GROUP BY ALL),
+    b AS (SELECT level, label, parent, gain AS own, CAST(0 AS DOUBLE) AS below FROM t WHERE level = (SELECT max(level) FROM t)
+          UNION ALL
+          SELECT t.level, t.label, t.parent, t.gain + CASE WHEN count(b.level) = 1 THEN max(b.own) ELSE 0 END,
+                 CASE WHEN count(b.level) = 1 THEN max(b.below) ELSE coalesce(sum(greatest(b.own, b.below)), 0) END
+          FROM t JOIN (SELECT min(level) - 1 AS l FROM b) q ON t.level = q.l LEFT JOIN b ON b.parent = t.label
+          GROUP BY t.level, t.label, t.parent, t.gain),
+    w AS (SELECT level, label, own >= below AS kept FROM b WHERE level = 0
+          UNION ALL
+          SELECT b.level, b.label, parts.parts > 1 AND b.own >= b.below FROM w JOIN b ON b.level = w.level + 1 AND b.parent = w.label
+          JOIN parts ON parts.level = w.level AND parts.label = w.label WHERE NOT w.kept),
+    core AS (SELECT lb.cell, n, level, label FROM lb JOIN (SELECT level, label FROM w WHERE kept) k USING (level, label) JOIN c ON c.cell = lb.cell),
+    rim AS (SELECT a.cell, k.level, k.label FROM al a JOIN core k ON abs(a.cell[1] - k.cell[1]) + abs(a.cell[2] - k.cell[2]) = 1 WHERE a.n < 3
+            QUALIFY row_number() OVER (PARTITION BY a.cell ORDER BY k.n DESC, k.level DESC, k.label DESC) = 1),
+    mp AS (SELECT cell, level, label FROM core UNION ALL FROM rim)
+    SELECT id, CASE WHEN level IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY level, label) END AS size,
+           CASE WHEN level IS NULL THEN -1 ELSE min(id) OVER (PARTITION BY level, label) END AS first_id FROM pl LEFT JOIN mp ON mp.cell = pl.cell""")
+def density_hierarchy(spark, folder):
+    """Every document with the size and the smallest id of its cluster; 0 and -1 for outliers."""
+    found = hierarchy.density_hierarchy(_flat(spark, folder), 10, 3)
+    sizes = found.filter("topic >= 0").groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id"))
+    joined = found.join(sizes, "topic", "left")
+    return joined.select("id", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("first_id", F.lit(-1)).alias("first_id"))
+
+
 @query("WITH v AS (" + _VECTORS + """),
     p AS (SELECT * FROM v WHERE topic >= 0),
     n AS (SELECT topic, count(*)::DOUBLE AS n FROM p GROUP BY 1),
