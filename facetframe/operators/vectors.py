@@ -7,18 +7,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, CountVectorizer, IDF, Normalizer, Word2Vec
+from pyspark.ml.feature import PCA, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import tokens as K
 from ..schema import INDEX, quoted
-from ..session import cut_lineage, keep_in_order
+from ..session import cut_lineage, keep_in_order, stage_scope
 from ..sources import with_row_index
+from . import spectral
+from .text import lookup
 
 # Topic means are sent to tasks in blocks of at most this many numbers.
 MAX_SHARED_NUMBERS = 4_000_000
@@ -31,32 +31,53 @@ def embed_column(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def embed_lsa(documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df: float = 1.0, max_terms: int | None = None) -> DataFrame:
+def weighted_terms(documents: DataFrame, min_df: float = 1.0, max_df: float = 1.0, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF with rows of unit length as entries (``row``, ``col``, ``salt``, ``w``), and their columns (``col``, ``copies``).
+
+    The weights are tf * ln((1 + n) / (1 + df)), where n counts documents with a word.
+    ``min_df`` below 1 and ``max_df`` are shares of them. ``max_terms`` keeps the terms
+    that occur most often, of equal ones the first by name. A term in every document
+    weighs nothing and is no column.
+    """
+    bag = documents.select(F.col("id").alias("row"), K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0)
+    counted = cut_lineage(bag.select("row", F.explode("terms").alias("col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("tf")))
+    n = bag.count()
+    least, most = (min_df if min_df >= 1 else min_df * n), max_df * n
+    counts = counted.groupBy("col").agg(F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("uses"))
+    counts = counts.filter((F.col("rows") >= least) & (F.col("rows") <= most))
+    if max_terms is not None:
+        counts = counts.orderBy(F.col("uses").desc(), "col").limit(max_terms)
+    counts = cut_lineage(counts.filter(F.col("rows") < n))
+    columns = cut_lineage(spectral.spread_columns(counts))
+    # The join that fetches a term's weight is salted like the tokens of the text operators.
+    known = counts.join(columns, "col").select("col", "copies", F.log(F.lit(1.0 + n) / (F.col("rows") + 1.0)).alias("idf"))
+    raw = lookup(counted.select(F.col("row").alias("id"), F.lit(0).alias("pos"), "col", "tf"), known, ["col"], "inner")
+    raw = cut_lineage(raw.select(F.col("id").alias("row"), "col", "copies", (F.col("tf") * F.col("idf")).alias("w")))
+    lengths = raw.groupBy("row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    unit = raw.join(lengths, "row").withColumn("w", F.col("w") / F.col("length"))
+    return cut_lineage(spectral.salted(unit)), columns
+
+
+def embed_lsa(
+    documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df: float = 1.0, max_terms: int | None = None, tolerance: float = 1e-4
+) -> DataFrame:
     """TF-IDF and a truncated singular value decomposition: the rows of U times the singular values.
 
-    ``documents`` has ``id`` and ``document``. ``max_df`` is a share of documents.
-    The weights are ln((1 + n) / (1 + df)), rows are scaled to unit length. All
-    terms within ``min_df`` and ``max_df`` count; ``max_terms`` keeps the most
-    frequent ones instead. The driver holds ``size`` numbers per term.
+    ``documents`` has ``id`` and ``document``; ids are unique. See ``weighted_terms`` for
+    the weights and limits. Vectors of terms stay in tables. A document whose terms
+    all fell away has a zero vector, one without words has none. If the terms span fewer
+    than ``size`` dimensions, the vectors are that much shorter.
     """
-    bag = documents.select("id", K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0)
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_terms or 2**31 - 1)
-    if max_df < 1.0:  # the setter reads 1.0 as "one document"
-        counter = counter.setMaxDF(max_df)
-    counter = counter.fit(bag)
-    size = min(size, len(counter.vocabulary) - 1)
-    if size < 1:
-        raise ValidationError("too few terms for a decomposition")
-    counted = counter.transform(bag)
-    weighted = IDF(inputCol="tf", outputCol="w").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="w", outputCol="unit").transform(weighted).select(F.col("id").alias("index"), "unit")
-    # The decomposition multiplies by the matrix many times: store it first.
-    stored = cut_lineage(unit.withColumnRenamed("unit", "vector"))
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(stored, "vector"))
-    svd = matrix.computeSVD(size, computeU=True)
-    scale = svd.s.toArray()
-    rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray() * scale]))
-    return rows.toDF("id long, vec array<double>")
+    spark = documents.sparkSession
+    with stage_scope(spark):
+        entries, columns = weighted_terms(documents, min_df, max_df, max_terms)
+        if columns.isEmpty():
+            raise ValidationError("too few terms for a decomposition")
+        values, right = spectral.leading_vectors(entries, columns, size, tolerance)
+        made = spectral.times(entries, right, len(values)).withColumnRenamed("row", "id")
+        bag = documents.select("id", K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0).select("id")
+        zero = F.array(*[F.lit(0.0)] * len(values))
+        return cut_lineage(bag.join(made, "id", "left").select("id", F.coalesce("vec", zero).alias("vec")), outlive=True)
 
 
 def embed_word2vec(
@@ -232,10 +253,67 @@ def document_positions(documents: DataFrame, n: int = 5000, seed: int = 5000) ->
     return documents.orderBy(ticket, "id").limit(n)
 
 
-def silhouette(assigned: DataFrame) -> DataFrame:
-    """Mean silhouette over documents with a topic, computed from cluster moments (no document pairs)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+def silhouette_per_document(assigned: DataFrame) -> DataFrame:
+    """``id``, ``topic``, ``silhouette`` of every document with a topic and a vector, by squared distances.
+
+    a is the mean squared distance to the other documents of its topic, b the least of
+    the mean squared distances to another topic; the value is (b - a) / max(a, b), and 0
+    for the only document of a topic, for a single topic and where all coincide. The means
+    follow from each topic's size, mean vector and mean squared length, so documents
+    meet topics, in blocks of bounded size, and never each other.
+    """
+    used = assigned.filter("topic >= 0 AND vec IS NOT NULL").select("id", "topic", F.col("vec").cast("array<double>").alias("vec"))
+    names, means = _centroid_matrix(used)
+    kind = used.schema["topic"].dataType.simpleString()
+    if len(names) < 2:
+        return used.select("id", "topic", F.lit(0.0).alias("silhouette"))
+    centre = means.mean(axis=0)  # distances do not change when all move; rounding does
+
+    def lengths(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.array(pdf["vec"].tolist(), dtype=float) - centre
+                yield pd.DataFrame({"topic": pdf["topic"], "squared": (x * x).sum(axis=1)})
+
+    moments = (
+        used.select("topic", "vec").mapInPandas(lengths, f"topic {kind}, squared double").groupBy("topic")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("squared").alias("squared")).toPandas().set_index("topic").loc[names]
+    )
+    counts, squared, means = moments["n"].to_numpy(float), moments["squared"].to_numpy(float), means - centre
+    step = max(1, MAX_SHARED_NUMBERS // means.shape[1])
+    out = used.withColumns({"a": F.lit(0.0), "b": F.lit(float("inf")), "n": F.lit(1.0)})
+    for first in range(0, len(names), step):
+        part = slice(first, first + step)
+        block = (names[part], means[part], counts[part], squared[part])
+
+        def measure(batches, block=block):
+            ids, mean, count, square = block
+            for pdf in batches:
+                if len(pdf):
+                    x = np.array(pdf["vec"].tolist(), dtype=float) - centre
+                    far = np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ mean.T) + square, 0.0)
+                    place = np.minimum(np.searchsorted(ids, pdf["topic"].to_numpy()), len(ids) - 1)
+                    own = ids[place] == pdf["topic"].to_numpy()
+                    rows = np.flatnonzero(own)
+                    a, n = pdf["a"].to_numpy().copy(), pdf["n"].to_numpy().copy()
+                    a[rows], n[rows] = far[rows, place[rows]], count[place[rows]]
+                    far[rows, place[rows]] = np.inf
+                    pdf = pdf.assign(a=a, n=n, b=np.minimum(pdf["b"].to_numpy(), far.min(axis=1)))
+                yield pdf
+
+        out = out.mapInPandas(measure, out.schema)
+    a, b = F.col("a") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1.0)), F.col("b")
+    value = F.when((F.col("n") > 1) & (F.greatest(a, b) > 0), (b - a) / F.greatest(a, b)).otherwise(0.0)
+    return out.select("id", "topic", value.alias("silhouette"))
+
 
-    frame = assigned.filter("topic >= 0").select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"), F.col("topic").cast("int").alias("prediction"))
-    value = ClusteringEvaluator().evaluate(frame)
-    return assigned.sparkSession.createDataFrame([(float(value),)], "silhouette double")
+def silhouette_per_topic(assigned: DataFrame) -> DataFrame:
+    """``topic``, ``silhouette`` (mean over its documents), ``support`` (their number)."""
+    return silhouette_per_document(assigned).groupBy("topic").agg(
+        F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("support")
+    )
+
+
+def silhouette(assigned: DataFrame) -> DataFrame:
+    """One row: the mean silhouette over documents with a topic, NULL without any."""
+    return silhouette_per_document(assigned).agg(F.avg("silhouette").alias("silhouette"))

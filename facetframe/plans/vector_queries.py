@@ -132,17 +132,26 @@ def density_hierarchy(spark, folder):
     return joined.select("id", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("first_id", F.lit(-1)).alias("first_id"))
 
 
-@query("WITH v AS (" + _VECTORS + """),
+_SILHOUETTE = "WITH v AS (" + _VECTORS + """),
     p AS (SELECT * FROM v WHERE topic >= 0),
     n AS (SELECT topic, count(*)::DOUBLE AS n FROM p GROUP BY 1),
     d AS (SELECT a.id, a.topic AS own, b.topic, sum(list_distance(a.vec, b.vec) ** 2) AS s FROM p a, p b GROUP BY ALL),
     m AS (SELECT id, own, n.n, d.topic, CASE WHEN own = d.topic THEN s / greatest(n.n - 1, 1) ELSE s / n.n END AS s FROM d JOIN n ON n.topic = d.topic),
-    q AS (SELECT id, max(s) FILTER (WHERE topic = own) AS a, min(s) FILTER (WHERE topic <> own) AS b, max(n) FILTER (WHERE topic = own) AS n FROM m GROUP BY 1)
-    SELECT """ + r("avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)") + " AS silhouette FROM q")
+    q AS (SELECT id, own, max(s) FILTER (WHERE topic = own) AS a, min(s) FILTER (WHERE topic <> own) AS b, max(n) FILTER (WHERE topic = own) AS n FROM m GROUP BY ALL),
+    s AS (SELECT own AS topic, CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM q)
+    """
+
+
+@query(_SILHOUETTE + "SELECT " + r("avg(s)") + " AS silhouette FROM s")
 def silhouette_of_topics(spark, folder):
     return rounded(vectors.silhouette(T.topic_vectors(spark, folder)))
 
 
+@query(_SILHOUETTE + "SELECT topic, " + r("avg(s)") + " AS silhouette, count(*) AS support FROM s GROUP BY 1")
+def silhouette_by_topic(spark, folder):
+    return rounded(vectors.silhouette_per_topic(T.topic_vectors(spark, folder)))
+
+
 # The ten leading words per given topic, with weights rounded so that ties fall alike.
 _LEADING = "td AS (" + TOPIC_DOCUMENTS_SQL + "), " + weights_sql(_TOPIC_TERMS) + _TOP + \
     ", lead AS (SELECT class AS topic, rank, term AS word FROM rk WHERE rank <= 10 AND class >= 0)"
@@ -211,6 +220,25 @@ def lsa_vectors(spark, folder):
     return rounded(lsa.select("id", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")), 4)
 
 
+@query("""
+    WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS term FROM documents),
+    n AS (SELECT count(DISTINCT id) AS n FROM t),
+    tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
+    idf AS (SELECT term, ln((1.0 + any_value(n)) / (1.0 + count(*))) AS idf FROM tf, n GROUP BY 1 HAVING count(*) >= 0.2 * any_value(n) AND count(*) < any_value(n)),
+    w AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+    u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+    dot AS (SELECT a.id, sum(a.w * b.w) AS x FROM u a JOIN u b ON b.id = a.id + 1 AND b.term = a.term GROUP BY 1),
+    ids AS (SELECT DISTINCT id FROM t)
+    SELECT a.id, """ + r("coalesce(x, 0)", 5) + " AS cosine FROM ids a JOIN ids b ON b.id = a.id + 1 LEFT JOIN dot ON dot.id = a.id")
+def lsa_cosines(spark, folder):
+    """With as many dimensions as terms, products of vectors are the cosines of the weighted documents."""
+    docs = T.load(spark, folder, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    made = vectors.embed_lsa(docs, 200, min_df=0.2)
+    after = made.select((F.col("id") - 1).alias("id"), F.col("vec").alias("next"))
+    dot = F.aggregate(F.zip_with("vec", "next", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return rounded(made.join(after, "id").select("id", dot.alias("cosine")), 5)
+
+
 @query()
 def word2vec_vectors(spark, folder):
     docs = T.load(spark, folder, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
