@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, discovery, evaluation, hierarchy, vectors
+from ..operators import clustering, discovery, evaluation, hierarchy, neighbours, vectors
 from ..operators import topics as M
 from ..operators.text import TextConfig
 from ..session import cut_lineage
@@ -69,6 +69,20 @@ def reduced_vectors(spark, folder):
     return rounded(reduced.select("id", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("energy")), 4)
 
 
+@query()
+def near_neighbours(spark, folder):
+    """The nearest others of every vector; tested against all pairs, of which nine in ten must be found."""
+    given = vectors.embed_column(T.load(spark, folder, "embeddings"), "vec_id", "embedding")
+    return rounded(neighbours.near_neighbours(given, 10))
+
+
+@query()
+def neighbour_layout(spark, folder):
+    """Every vector's place on a map that keeps neighbours together."""
+    _, made = neighbours.layout(vectors.embed_column(T.load(spark, folder, "embeddings"), "vec_id", "embedding"), 2, 10)
+    return rounded(made.select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")), 4)
+
+
 @query()
 def density_clusters(spark, folder):
     reduced = cut_lineage(vectors.reduce_dimensions(T.topic_vectors(spark, folder), 3))
