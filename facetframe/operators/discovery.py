@@ -13,11 +13,13 @@ from ..schema import INDEX, TableSchema, quoted
 from ..session import cut_lineage
 from .clustering import density_clusters
 from .hierarchy import density_hierarchy
+from .neighbours import layout
 from .text import TextConfig, preprocess, preprocess_light
 from .topics import extract_topics
 from .vectors import embed_lsa, embed_word2vec, merge_topics, reduce_dimensions, reduce_outliers
 
 CLUSTERS = {"grid": density_clusters, "hierarchy": density_hierarchy}
+MAPS = {"components": reduce_dimensions, "neighbours": lambda vectors, size: layout(vectors, size)[1]}
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,7 @@ class TopicConfig:
     """``embedding``: ``lsa``, ``word2vec`` or ``column`` (vectors given by the caller).
 
     ``clusters``: ``grid`` (one density for all topics) or ``hierarchy`` (topics of varying density).
+    ``positions``: ``components`` (principal components) or ``neighbours`` (neighbours stay together).
     """
 
     embedding: str = "lsa"
@@ -38,6 +41,7 @@ class TopicConfig:
     clustering_dimensions: int = 5
     text: TextConfig = field(default_factory=TextConfig)
     clusters: str = "grid"
+    positions: str = "components"
 
 
 @dataclass
@@ -53,6 +57,10 @@ def discover_topics(
     lemmas: DataFrame | None = None,
 ) -> Discovery:
     """Preprocess, embed, reduce, cluster, describe."""
+    if config.clusters not in CLUSTERS:
+        raise ValidationError(f'"{config.clusters}" is not a way of clustering')
+    if config.positions not in MAPS:
+        raise ValidationError(f'"{config.positions}" is not a way of placing documents')
     column = schema.get(name, (S.TEXTUAL,))
     preprocessed, topic = (d.name for d in column.derived())
     # Each stage is used more than once below, so it is stored rather than planned again.
@@ -73,8 +81,6 @@ def discover_topics(
         raise ValidationError(f'"{config.embedding}" is not an embedding method')
     vectors = cut_lineage(vectors)
     reduced = cut_lineage(reduce_dimensions(vectors, config.clustering_dimensions))
-    if config.clusters not in CLUSTERS:
-        raise ValidationError(f'"{config.clusters}" is not a way of clustering')
     assigned = CLUSTERS[config.clusters](
         reduced, config.min_topic_size, config.topic_confidence_threshold, config.max_topic_size
     )
@@ -87,4 +93,4 @@ def discover_topics(
         assigned.select(F.col("id").alias(INDEX), F.col("topic").cast("int").alias(topic)), INDEX, "left"
     )
     topics = extract_topics(out, topic, preprocessed, config.top_n_words)
-    return Discovery(out, topics, vectors, reduce_dimensions(vectors, 2))
+    return Discovery(out, topics, vectors, MAPS[config.positions](vectors, 2))

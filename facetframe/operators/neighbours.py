@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..session import cut_lineage, stage_scope
 from . import spectral
+from .spectral import gram, turned
 from .vectors import numbered
 
 #: Documents in a run whose pairs are compared.
@@ -117,7 +118,7 @@ def _search(unit: DataFrame, k: int, orders: int, exchanges: int, seed: int) ->
     """The neighbours (``squared`` distances), and the first order."""
     kind = unit.schema["id"].dataType.simpleString()
     rng = np.random.default_rng(seed)
-    sums = spectral.gram(unit.select(F.concat(F.array(F.lit(1.0)), "vec").alias("a")), "a", "a")
+    sums = gram(unit.select(F.concat(F.array(F.lit(1.0)), "vec").alias("a")), "a", "a")
     if not sums.size:
         return unit.sparkSession.createDataFrame([], f"id {kind}, other {kind}, squared double"), unit.withColumn("number", F.lit(0).cast("long"))
     mean = sums[0, 1:] / sums[0, 0]
@@ -177,7 +178,7 @@ def _links(near: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def layout(
-    vectors: DataFrame, size: int = 2, k: int = 15, orders: int = 4, exchanges: int = 12, tolerance: float = 1e-4, seed: int = 7
+    vectors: DataFrame, size: int = 2, k: int = 15, orders: int = 4, exchanges: int = 12, tolerance: float = 1e-2, seed: int = 7
 ) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues, and ``id``, ``vec``: the ``size`` smoothest coordinates over the graph of neighbours.
 
@@ -186,7 +187,7 @@ def layout(
     half the walk plus half standing still is a matrix times its transpose, and the
     coordinates are its singular vectors. Each coordinate has a mean square of one, and the
     sign that makes its sum of cubes positive. Documents without a usable vector are
-    absent. Where the graph has fewer coordinates (two documents have none), the rest is 0.
+    absent. ``tolerance`` is that of ``spectral.leading_vectors``. Where the graph has fewer coordinates (two documents have none), the rest is 0.
     """
     spark = vectors.sparkSession
     with stage_scope(spark):
@@ -202,15 +203,19 @@ def layout(
         halves = links.select(F.struct("a", "b").alias("row"), "w", ends).join(degrees, "col").join(columns, "col")
         entries = cut_lineage(spectral.salted(halves.withColumn("w", F.sqrt(F.col("w") / 2 / F.col("degree")))))
         values, right = spectral.leading_vectors(entries, columns, size + 1, tolerance)
-        # From the symmetric form to the walk's own coordinates; the first one is the constant.
+        # The constant is known: the root of the degrees. Groups that hang together weakly have nearly
+        # equal values, in which it may be mixed with others, so it is turned out of the vectors found.
         n = math.sqrt(columns.count())
-        scaled = right.join(degrees, "col").select(
-            F.col("col").alias("id"), F.slice("vec", 2, max(len(values) - 1, 0)).alias("vec"), F.sqrt("degree").alias("root")
-        ).select("id", F.transform("vec", lambda x: x / F.col("root")).alias("vec"))
-        width = len(values) - 1
+        rooted = right.join(degrees, "col").select(F.col("col").alias("id"), "vec", F.array(F.sqrt("degree")).alias("root"))
+        constant = gram(rooted, "vec", "root")
+        others = np.linalg.svd(constant.T)[2][1:].T
+        levels, mix = np.linalg.eigh(others.T @ np.diag(values**2) @ others)
+        levels, mix = levels[::-1], others @ mix[:, ::-1]
+        width = len(levels)
+        scaled = turned(rooted, "vec", mix).select("id", F.transform("vec", lambda x: x / F.col("root")[0]).alias("vec"))
         at = [F.col("vec")[i] for i in range(width)]
         sums = scaled.agg(*[F.sum(x * x) for x in at], *[F.sum(x * x * x) for x in at]).first() if width else ()
         by = np.diag([(1.0 if sums[width + i] >= 0 else -1.0) * n / max(math.sqrt(sums[i]), 1e-300) for i in range(width)])
         by = np.hstack([by, np.zeros((width, size - width))])
-        made = spectral.turned(scaled, "vec", by)
-        return 2 * values[1:] ** 2 - 1, cut_lineage(made, outlive=True)
+        made = turned(scaled, "vec", by)
+        return 2 * levels - 1, cut_lineage(made, outlive=True)

@@ -86,3 +86,24 @@ def test_few_vectors(spark):
     assert [r["vec"] for r in neighbours.layout(one)[1].collect()] == [[0.0, 0.0]]
     two = neighbours.layout(frame(spark, [[1.0, 0.0], [0.0, 1.0]]))[1].collect()
     assert [r["vec"] for r in two] == [[0.0, 0.0]] * 2
+
+
+def test_discovery_places_documents_by_neighbours(spark):
+    from facetframe.errors import ValidationError
+    from facetframe.operators import discovery
+    from facetframe.operators.text import TextConfig
+    from facetframe.schema import INDEX, Column, TableSchema
+
+    rng = np.random.default_rng(3)
+    kinds = ["apple pear plum", "nail screw bolt"]
+    docs = spark.createDataFrame([(i, " ".join(rng.permutation(kinds[i % 2].split() * 3))) for i in range(60)], f"`{INDEX}` long, t string")
+    given = frame(spark, np.eye(3)[np.arange(60) % 2] + rng.normal(0, 0.05, (60, 3)))
+    schema = TableSchema.of(Column("t", "textual"))
+    plain = TextConfig(min_df=1, max_df=1.0, min_document_length=1, phrase_threshold=1e9)
+    config = discovery.TopicConfig(embedding="column", min_topic_size=5, clustering_dimensions=2, text=plain, positions="neighbours")
+    placed = {r["id"]: r["vec"][0] for r in discovery.discover_topics(docs, schema, "t", config, given).positions.collect()}
+    assert len(placed) == 60
+    assert len({placed[i] > 0 for i in range(0, 60, 2)}) == 1 and len({placed[i] > 0 for i in range(60)}) == 2
+    with pytest.raises(ValidationError):
+        wrong = discovery.TopicConfig(embedding="column", text=plain, positions="other")
+        discovery.discover_topics(docs, schema, "t", wrong, given)
