@@ -47,13 +47,17 @@ def csv_in_ranges(spark, folder):
     docs = T.load(spark, folder, "documents").select("doc_id", "text", "lang")
     rows = docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
     rows.write.option("header", True).option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    # A task reads many ranges: the tasks follow the session's slots, not the size of the file.
+    wanted = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.maxPartitionNum": str(4 * spark.sparkContext.defaultParallelism)}
+    settings = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         made = read_csv(spark, path, delimiter=";", split_quoted=True, number="place")
         return cut_lineage(made)
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        for name, value in settings.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 @query("SELECT idx, status, price, priority_known, CAST(year(date) AS INTEGER) AS y FROM (" + ORDERS_SQL + ")")

@@ -5,8 +5,8 @@ of a file cannot see. But every quote character switches between inside and outs
 the number of quotes of all earlier ranges, modulo two, is all that a range needs. One
 pass counts quotes and lines per range under both assumptions; running sums over the
 ranges (a row each) say which one holds and how many records came before. A second pass
-numbers the lines' records. Records of one line, nearly all, stay where they are; only
-the lines of longer records are shuffled, by the number of their record.
+joins the lines of the records that begin and end in one range; only the pieces of
+records that cross a border are shuffled, by the number of their record.
 """
 
 from __future__ import annotations
@@ -19,46 +19,85 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LINES = "file string, range long, place long, inside int, ends int, blank boolean, even long, odd long, line string"
+from ..session import cut_lineage
 
+_RANGES = "file long, range long, parity int, even long, odd long"
+_PIECES = "number long, range long, place long, whole boolean, piece string"
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with its range and place there, and what depends on the range alone.
 
-    ``inside``: quotes before it in its range, modulo two; ``ends``: after it. ``even`` and
-    ``odd``: lines of the range so far that start a record, this one included, if the
-    range starts outside or inside quotes.
-    """
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` of every line, its ``range`` and ``file``, which goes by the hash of its path."""
     read = spark.read.option("lineSep", "\n").text(path)
-    lines = read.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), "value")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, carried = None, (0, 0, 0, 0)  # of the range: lines, quotes, and starts under both assumptions
-        for batch in batches:
-            files, ranges, text = batch.columns
-            quotes = pc.count_substring(text, '"').to_numpy(zero_copy_only=False).astype(np.int64)
-            blank = pc.equal(pc.utf8_rtrim(text, characters="\r"), "").to_numpy(zero_copy_only=False)
-            at = ranges.to_numpy(zero_copy_only=False)
-            codes = files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(codes) != 0)) + 1).tolist(), len(at)]
-            for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
-                here = (files[low].as_py(), int(at[low]))
-                if here != last:
-                    last, carried = here, (0, 0, 0, 0)
-                after = carried[1] + np.cumsum(quotes[low:high])
-                inside = (after - quotes[low:high]) % 2
-                starts = [carried[2 + k] + np.cumsum((inside == k) & ~blank[low:high]) for k in (0, 1)]
-                place = carried[0] + np.arange(high - low)
-                carried = (carried[0] + high - low, int(after[-1]), int(starts[0][-1]), int(starts[1][-1]))
-                yield pa.RecordBatch.from_arrays([
-                    files.slice(low, high - low), ranges.slice(low, high - low), pa.array(place), pa.array(inside.astype(np.int32)),
-                    pa.array((after % 2).astype(np.int32)), pa.array(blank[low:high]), pa.array(starts[0]), pa.array(starts[1]),
-                    text.slice(low, high - low),
-                ], names=["file", "range", "place", "inside", "ends", "blank", "even", "odd", "line"])
-
-    return lines.mapInArrow(number, _LINES)
+    return read.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), "value")
+
+
+def _quotes_and_blanks(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    quotes = pc.count_substring(text, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+    return quotes, pc.equal(pc.utf8_rtrim(text, characters="\r"), "").to_numpy(zero_copy_only=False)
+
+
+def _runs(files: np.ndarray, ranges: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where the lines of a batch are of one range."""
+    cuts = [0, *(np.flatnonzero((np.diff(ranges) != 0) | (np.diff(files) != 0)) + 1).tolist(), len(files)]
+    return [(low, high) for low, high in zip(cuts, cuts[1:]) if low < high]
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range: its quotes modulo two, and the lines that start a record if it starts outside (even) or inside quotes."""
+    last, carried = None, (0, 0, 0)
+
+    def row() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        values = (*last, carried[0] % 2, *carried[1:])
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["file", "range", "parity", "even", "odd"])
+
+    for batch in batches:
+        files, ranges = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        quotes, blank = _quotes_and_blanks(batch.column(2))
+        for low, high in _runs(files, ranges):
+            here = (int(files[low]), int(ranges[low]))
+            if here != last:
+                if last:
+                    yield row()
+                last, carried = here, (0, 0, 0)
+            after = carried[0] + np.cumsum(quotes[low:high])
+            inside = (after - quotes[low:high]) % 2
+            starts = [int(((inside == k) & ~blank[low:high]).sum()) for k in (0, 1)]
+            carried = (int(after[-1]), carried[1] + starts[0], carried[2] + starts[1])
+    if last:
+        yield row()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each range, the first and last ones perhaps in part, by what ``entered``, ``before`` and ``first`` say of it."""
+    last, carried = None, (0, 0, 0)  # of the range: lines, quotes, records
+    for batch in batches:
+        files, ranges, entered, before, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5))
+        text = batch.column(2)
+        quotes, blank = _quotes_and_blanks(text)
+        place, opened, ends, number = (np.zeros(len(files), np.int64) for _ in range(4))
+        for low, high in _runs(files, ranges):
+            here = (int(files[low]), int(ranges[low]))
+            if here != last:
+                last, carried = here, (0, int(entered[low]), int(before[low]))
+            after = carried[1] + np.cumsum(quotes[low:high])
+            opened[low:high], ends[low:high] = (after - quotes[low:high]) % 2, after % 2
+            number[low:high] = carried[2] + np.cumsum((opened[low:high] == 0) & ~blank[low:high])
+            place[low:high] = carried[0] + np.arange(high - low)
+            carried = (carried[0] + high - low, int(after[-1]), int(number[high - 1]))
+        # The first record of a file is its header.
+        rows = np.flatnonzero((number > 1) & ~(blank & (opened == 0)))
+        if not len(rows):
+            continue
+        number = (first + number - 2)[rows]
+        new = (np.diff(number) != 0) | (np.diff(ranges[rows]) != 0) | (np.diff(files[rows]) != 0)
+        start = np.concatenate([[0], np.flatnonzero(new) + 1])
+        stop = np.append(start[1:], len(rows))
+        lines = pa.ListArray.from_arrays(pa.array(np.append(start, len(rows)), pa.int32()), text.take(pa.array(rows)))
+        whole = (opened[rows[start]] == 0) & (ends[rows[stop - 1]] == 0)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(number[start]), pa.array(ranges[rows[start]]), pa.array(place[rows[start]]), pa.array(whole), pc.binary_join(lines, "\n"),
+        ], names=["number", "range", "place", "whole", "piece"])
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -68,28 +107,23 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     cells are kept as they are; empty lines outside are no records.
     """
     lines = _lines(spark, path)
-    ranges = lines.groupBy("file", "range").agg(
-        F.max_by("ends", "place").alias("parity"), F.max("even").alias("even"), F.max("odd").alias("odd")
-    )
+    ranges = cut_lineage(lines.mapInArrow(_sums, _RANGES))
     before = "PARTITION BY file ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     entered = ranges.selectExpr("file", "range", "even", "odd", f"coalesce(sum(parity) OVER ({before}), 0) % 2 AS entered").selectExpr(
         "file", "range", "entered", "IF(entered = 0, even, odd) AS starts"
     )
     within = entered.selectExpr("file", "range", "entered", "starts", f"coalesce(sum(starts) OVER ({before}), 0) AS before")
-    # Files follow each other, each without its header: a row per file.
-    files = within.groupBy("file").agg(F.sum("starts").alias("records")).selectExpr(
-        "file AS _file", "coalesce(sum(greatest(records - 1, 0)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first"
-    )
-    known = within.join(files, F.col("file") == F.col("_file")).selectExpr("file AS _file", "range AS _range", "entered", "before", "first")
-    placed = lines.join(known, (F.col("file") == F.col("_file")) & (F.col("range") == F.col("_range"))).selectExpr(
-        "file", "range", "place", "line", "blank", "first", "(inside + entered) % 2 AS open", "(ends + entered) % 2 AS open_after",
-        "before + IF(entered = 0, even, odd) AS record_no",
-    ).where("record_no > 1 AND NOT (blank AND open = 0)")  # the first record of a file is its header
-    number = (F.col("first") + F.col("record_no") - 2).cast("long").alias("number")
-    ended = F.regexp_replace("line", "\r$", "")
-    short = placed.where("open = 0 AND open_after = 0").select(number, ended.alias("record"))
-    parts = placed.where("open = 1 OR open_after = 1").select(number, "range", "place", "line").groupBy("number")
-    long = parts.agg(F.array_sort(F.collect_list(F.struct("range", "place", "line"))).alias("parts")).select(
-        "number", F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["line"]), "\n"), "\r$", "").alias("record")
+    # Files follow each other, each without its header: a row per file. Only their paths are read here.
+    paths = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    files = within.groupBy("file").agg(F.sum("starts").alias("records")).join(paths, F.col("file") == F.xxhash64("path")).selectExpr(
+        "file AS _file", "coalesce(sum(greatest(records - 1, 0)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first"
     )
+    known = within.join(files, F.col("file") == F.col("_file")).selectExpr("file", "range", "entered", "before", "first")
+    # A row per range: it goes to the lines, which stay where they are and in order.
+    placed = lines.join(F.broadcast(cut_lineage(known)), ["file", "range"]).select("file", "range", "value", "entered", "before", "first")
+    pieces = cut_lineage(placed.mapInArrow(_pieces, _PIECES))
+    ended = F.regexp_replace("piece", "\r$", "").alias("record")
+    short = pieces.where("whole").select("number", ended)
+    parts = pieces.where("NOT whole").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("range", "place", "piece"))).alias("parts"))
+    long = parts.select("number", F.array_join(F.transform("parts", lambda p: p["piece"]), "\n").alias("piece")).select("number", ended)
     return short.unionByName(long)

@@ -4,6 +4,7 @@ import glob
 import types
 
 import pytest
+from pyspark.sql import functions as F
 
 from facetframe import session
 from facetframe.errors import ValidationError
@@ -68,3 +69,14 @@ def test_quoted_cells_in_many_ranges(spark, tmp_path, size):
 def test_row_ids_of_a_shuffled_frame(spark):
     df = with_row_index(spark.range(1000).repartition(7))
     assert sorted(r["__index"] for r in df.collect()) == list(range(1000))
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges of 64 kB do not become a task each, however many a file has."""
+    from facetframe.plans.catalogue import QUERIES
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "concat('a \"b\"\n', repeat(concat(id, ';'), 300)) AS text", "'en' AS lang")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["csv_in_ranges"](spark, str(tmp_path))
+    assert len(found.inputFiles()) <= 5 * spark.sparkContext.defaultParallelism
+    assert found.agg(F.count_if("doc_id = place"), F.sum(F.length("text"))).first() == rows.agg(F.count("*"), F.sum(F.length("text"))).first()
