@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +29,8 @@ from ..session import cut_lineage
 
 SALTS = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Documents whose tokens are Python objects at a time.
+SLICE = 256
 
 
 # English articles, prepositions and conjunctions that join words to a phrase.
@@ -108,13 +112,15 @@ def clean_arrays(df: DataFrame, name: str, config: TextConfig = TextConfig()) ->
 
     def keep(token):
         marker = token.isin("EMAIL", "URL", "NUMBER")
-        plain = ~K.is_punctuation(token) & (F.length(token) >= config.min_word_length)
+        plain = (F.length(token) >= config.min_word_length) & ~K.is_punctuation(token)
         if stop:
             plain = plain & ~token.isin(*stop)
         return (marker | plain | token.isin(*ignore)) if ignore else (marker | plain)
 
     ref = F.col(quoted(name))
-    kept = F.filter(F.transform(K.tokenize(ref), replace), keep)
+    # Symbols that stand alone are too short, unless they are asked for.
+    symbols = config.min_word_length < 2 or any(len(t) == 1 for t in ignore)
+    kept = F.filter(F.transform(K.tokenize(ref, symbols), replace), keep)
     return df.filter(ref.isNotNull()).select(F.col(INDEX).alias("id"), kept.alias("t"))
 
 
@@ -140,13 +146,17 @@ def pairs_of(arrays: DataFrame, connectors: tuple[str, ...]) -> DataFrame:
 
 
 def clean_tokens(df: DataFrame, name: str, config: TextConfig = TextConfig(), lemmas: DataFrame | None = None) -> DataFrame:
-    """The token table of ``clean_arrays``. ``lemmas`` is an optional table (``token``, ``lemma``)."""
-    tokens = tokens_of(clean_arrays(df, name, config))
+    """The token table of ``clean_arrays``. ``lemmas`` is an optional table (``token``, ``lemma``).
+
+    Texts are cleaned once: the arrays are stored, and each use of the table reads them.
+    """
+    tokens = tokens_of(cut_lineage(clean_arrays(df, name, config)))
     if lemmas is None:
         return tokens
     stop = config.stop_list()
-    table = lemmas.groupBy("token").agg(F.min(F.lower("lemma")).alias("lemma"))
-    joined = lookup(tokens.drop("next"), table, ["token"]).withColumn("token", F.coalesce("lemma", "token"))
+    table = cut_lineage(lemmas.groupBy("token").agg(F.min(F.lower("lemma")).alias("lemma")))
+    size = measured_bytes(table, "token", "lemma")
+    joined = lookup(tokens.drop("next"), table, ["token"], size=size).withColumn("token", F.coalesce("lemma", "token"))
     joined = joined.filter(~F.col("token").isin(*stop)) if stop else joined
     order = W.partitionBy("id").orderBy("pos")
     return joined.select("id", "pos", "token", F.lead("token").over(order).alias("next"))
@@ -161,8 +171,9 @@ def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0, words: D
     those of the pairs.
     """
     key = ["token", "between", "next"] if "between" in tokens.columns else ["token", "next"]
-    single = (tokens if words is None else words).groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pair = tokens.filter("next IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("n_pair"))
+    # Both counts are read more than once, so they are stored.
+    single = cut_lineage((tokens if words is None else words).groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    pair = cut_lineage(tokens.filter("next IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("n_pair")))
     vocabulary = single.agg(F.count(F.lit(1)).alias("v")).scalar()
     pairs = pair.agg(F.count(F.lit(1)).alias("v")).scalar()
     scored = (
@@ -175,12 +186,31 @@ def phrases(tokens: DataFrame, min_count: int, threshold: float = 10.0, words: D
     return scored.select(*key, score.alias("score")).filter(F.col("score") > threshold)
 
 
-def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None) -> DataFrame:
+def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None, arrays: DataFrame | None = None) -> DataFrame:
     """Join phrase words with ``_``, left to right, each word used once.
 
     Where phrases overlap (a-b, b-c, c-d) the leftmost wins; along an unbroken run
-    of pairs that is every second one, counted from where the run starts.
+    of pairs that is every second one, counted from where the run starts. ``arrays``
+    are the documents that ``tokens`` come from: those with an id of their own are merged
+    where they lie, and only tokens of rows that share an id are shuffled.
     """
+    if size is None:
+        found = cut_lineage(found)
+        size = measured_bytes(found, "token", "next")
+    if arrays is None:
+        return _merged_by_windows(tokens, found, size)
+    several = cut_lineage(arrays.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")))
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    alone = arrays.join(several, same, "left_anti")
+    if size <= BROADCAST_BYTES:
+        merged = merge_in_place(alone, found, positions=True)
+    else:
+        merged = merge_in_place(merge_by_join(alone, tokens, found), None, positions=True)
+    placed = merged.select("id", F.explode(F.arrays_zip("pos", F.col("t").alias("token"))).alias("z")).select("id", "z.pos", "z.token")
+    return placed.unionByName(_merged_by_windows(tokens.join(several, same, "left_semi"), found, size))
+
+
+def _merged_by_windows(tokens: DataFrame, found: DataFrame, size: int) -> DataFrame:
     order = W.partitionBy("id").orderBy("pos")
     table = found.select("token", "next", F.lit(True).alias("is_phrase"))
     flagged = lookup(tokens, table, ["token", "next"], "left", size).withColumn(
@@ -199,41 +229,52 @@ def merge_phrases(tokens: DataFrame, found: DataFrame, size: int | None = None)
     )
 
 
-def merge_in_place(arrays: DataFrame, found: DataFrame | None, connectors: tuple[str, ...] = ()) -> DataFrame:
+def merge_in_place(arrays: DataFrame, found: DataFrame | None, connectors: tuple[str, ...] = (), positions: bool = False) -> DataFrame:
     """``merge_phrases`` on arrays, with connectors inside phrases.
 
     ``found`` must have been measured: it goes to every task. Without it, ``arrays``
-    has the places ``hits`` where phrases begin.
+    has the places ``hits`` where phrases begin. ``positions`` adds ``pos``, where each
+    token began. A task holds few documents as Python objects at a time.
     """
-    known: dict[str, set[tuple[str, str]]] = {}
-    for row in found.collect() if found is not None else ():
-        known.setdefault(row["token"], set()).add((row["between"] if "between" in row else "", row["next"]))
-    shared, inside = arrays.sparkSession.sparkContext.broadcast(known), frozenset(connectors)
+    firsts: set[str] = set()
+    known: set[str] = set()  # one text per phrase takes less memory than tuples
+    for row in found.toLocalIterator() if found is not None else ():
+        firsts.add(row["token"])
+        known.add("\0".join((row["token"], row["between"] if "between" in row else "", row["next"])))
+    shared, inside = arrays.sparkSession.sparkContext.broadcast((firsts, known)), frozenset(connectors)
     by_place = found is None
+    used = arrays.select("id", "t", "hits") if by_place else arrays.select("id", "t")
+    made = arrays.select("id", "t", F.array().cast("array<int>").alias("pos")) if positions else arrays.select("id", "t")
+    names = made.columns
 
     def merge(batches):
-        phrases_of = shared.value
-        for batch in batches:
-            merged = []
-            hits = batch.column(2).to_pylist() if by_place else [None] * len(batch)
-            for tokens, places in zip(batch.column(1).to_pylist(), hits):
-                out, at, size, places = [], 0, len(tokens), set(places or ())
-                while at < size:
-                    token, end = tokens[at], at + 1
-                    if at in places if by_place else token in phrases_of and token not in inside:
-                        while end < size and tokens[end] in inside:
-                            end += 1
-                    if end < size and (at in places if by_place else ("_".join(tokens[at + 1 : end]), tokens[end]) in phrases_of.get(token, ())):
-                        out.append("_".join(tokens[at : end + 1]))
-                        at = end + 1
-                    else:
-                        out.append(token)
-                        at += 1
-                merged.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.list_(pa.string()))], names=["id", "t"])
-
-    used = arrays.select("id", "t", "hits") if by_place else arrays.select("id", "t")
-    return used.mapInArrow(merge, arrays.select("id", "t").schema)
+        firsts, known = shared.value
+        for whole in batches:
+            for low in range(0, len(whole), SLICE):
+                batch = whole.slice(low, SLICE)
+                merged, began = [], []
+                hits = batch.column(2).to_pylist() if by_place else [None] * len(batch)
+                for tokens, places in zip(batch.column(1).to_pylist(), hits):
+                    out, starts, at, size, places = [], [], 0, len(tokens), set(places or ())
+                    while at < size:
+                        token, end = tokens[at], at + 1
+                        starts.append(at)
+                        may = at in places if by_place else token in firsts and token not in inside
+                        if may:
+                            while end < size and tokens[end] in inside:
+                                end += 1
+                        if may and end < size and (by_place or "\0".join((token, "_".join(tokens[at + 1 : end]), tokens[end])) in known):
+                            out.append("_".join(tokens[at : end + 1]))
+                            at = end + 1
+                        else:
+                            out.append(token)
+                            at += 1
+                    merged.append(out)
+                    began.append(starts)
+                columns = [batch.column(0), pa.array(merged, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(began, pa.list_(pa.int32()))] * positions, names=names)
+
+    return used.mapInArrow(merge, made.schema)
 
 
 def merge_by_join(arrays: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -245,13 +286,18 @@ def merge_by_join(arrays: DataFrame, pairs: DataFrame, found: DataFrame) -> Data
 
 def prune_in_place(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
     """Arrays without the tokens outside a vocabulary that was measured: it goes to every task."""
-    shared = arrays.sparkSession.sparkContext.broadcast({row["token"] for row in vocab.select("token").collect()})
+    words = vocab.select("token").toArrow().column(0).combine_chunks()
+    shared = arrays.sparkSession.sparkContext.broadcast(words)
 
     def prune(batches):
         known = shared.value
         for batch in batches:
-            kept = [[t for t in tokens if t in known] for tokens in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.string()))], names=["id", "t"])
+            lists = batch.column(1)
+            kept = pc.is_in(lists.flatten(), value_set=known)
+            before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+            ends = before[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
+            pruned = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.flatten().filter(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pruned], names=["id", "t"])
 
     return arrays.select("id", "t").mapInArrow(prune, arrays.select("id", "t").schema)
 

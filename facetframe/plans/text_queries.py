@@ -8,6 +8,7 @@ from ..functions import tokens as K
 from ..operators import text as X
 from ..operators import topics as M
 from ..schema import INDEX
+from ..session import cut_lineage
 from ..sources import with_row_index
 from . import tables as T
 from .registry import query, r, rounded
@@ -76,8 +77,9 @@ def phrases(spark, folder):
 @query("WITH " + _tokens_sql("documents", "doc_id", "text") + _MERGED + " SELECT token, count(*) AS n FROM mtok GROUP BY 1")
 def merged_phrases(spark, folder):
     docs = with_row_index(T.load(spark, folder, "documents", spread=True), "doc_id")
-    tokens = X.clean_tokens(docs, "text", _CONFIG)
-    merged = X.merge_phrases(tokens, X.phrases(tokens, 5))
+    arrays = cut_lineage(X.clean_arrays(docs, "text", _CONFIG))
+    tokens = X.tokens_of(arrays)
+    merged = X.merge_phrases(tokens, X.phrases(tokens, 5), arrays=arrays)
     return merged.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,7 +99,7 @@ _CONNECTORS = ("for", "with", "from", "des", "von")
 def phrases_with_connectors(spark, folder):
     """Words that may stand inside a phrase, here of several languages."""
     docs = with_row_index(T.load(spark, folder, "documents", spread=True), "doc_id")
-    arrays = X.clean_arrays(docs, "text", _CONFIG)
+    arrays = cut_lineage(X.clean_arrays(docs, "text", _CONFIG))
     found = X.phrases(X.pairs_of(arrays, _CONNECTORS), 5, words=arrays.select(F.explode("t").alias("token")))
     return rounded(found, 4)
 
