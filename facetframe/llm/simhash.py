@@ -13,7 +13,8 @@ of radius one, which loses no pair.
 
 The pipeline's stage (``keep_one``) has a rule of its own, the Jaccard similarity of sets
 of five-word shingles. Fingerprints of texts that are 0.8 similar differ in up to a dozen
-bits, too many for such an index: its candidates share a band of MinHash values, and
+bits, too many for such an index alone: its first candidates are the links of the
+fingerprints of five-word shingles, further ones share a band of MinHash values, and
 every link is verified on the whole sets.
 """
 
@@ -214,6 +215,15 @@ def shingles(text: str, words: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes; no hashes: zero."""
+    set_bits = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), CHUNK):
+        some = hashes[low : low + CHUNK].astype(">u8")
+        set_bits += np.unpackbits(some.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One key a band: the least hashes of ROWS permutations each. No shingles: no keys."""
     if not len(hashes):
@@ -296,10 +306,22 @@ def _rarest_first(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return one.join(other, (one["_shingle"] == other["_shingle"]) & meet).select("a", "b").distinct()
 
 
+def _printed(distinct: DataFrame) -> DataFrame:
+    """Candidates (a, b) among the nodes of ``distinct`` (node, _print): fingerprints that link, and equal ones, by their least nodes."""
+    known = cut_lineage(distinct.groupBy("_print").agg(F.min("node").alias("a")))
+    equal = distinct.join(known, "_print").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    near = links(known.select("_print"))
+    ends = (known.select(F.col("_print").alias(x), F.col("a").alias(f"_{x}")) for x in "ab")
+    for end, x in zip(ends, "ab"):
+        near = near.join(end, x)
+    return cut_lineage(equal.union(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct())
+
+
 def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the nodes of ``distinct`` (node, _keys, _n) that connect what similar candidates connect.
+    """Links (a, b) between the nodes of ``distinct`` (node, _print, _keys, _n) that connect what similar candidates connect.
 
-    Candidates share a band. First all of a band meet the least one, if their numbers of
+    Candidates have fingerprints that link, or share a band. First the fingerprints' links are
+    verified; then all of a band meet the least one, if their numbers of
     shingles allow the similarity; where members of a band are still in several parts, these
     members meet by their rarest shingles. Only candidates' texts are moved.
     """
@@ -308,8 +330,10 @@ def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     groups = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1")
     shared = cut_lineage(entries.join(groups.select("_key", F.col("_least.node").alias("a"), F.col("_least._n").alias("a_n")), "_key"))
     alike = SIMILARITY[1] * F.least("a_n", "_n") >= SIMILARITY[0] * F.greatest("a_n", "_n")
-    star = cut_lineage(shared.where((F.col("node") != F.col("a")) & alike).select("a", F.col("node").alias("b")).distinct())
-    may_hold = key_filter(shared.select("node").distinct(), "node")
+    printed = _printed(distinct.select("node", "_print"))
+    star = cut_lineage(shared.where((F.col("node") != F.col("a")) & alike).select("a", F.col("node").alias("b")).union(printed).distinct())
+    ends = star.select(F.explode(F.array("a", "b")).alias("node"))
+    may_hold = key_filter(shared.select("node").union(ends).distinct(), "node")
     texts = cut_lineage(texts.where(may_hold(F.col("node"))))
     found = _similar(star, texts)
     linked = components(found).withColumnRenamed("root", "_root")
@@ -327,8 +351,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     more. Null and empty texts are one component. Null ids come last. All columns are
     kept as they are.
     """
-    set_, keys, row, many = (fresh(docs, c) for c in ("_set", "_keys", "_row", "_n"))
-    names = [*docs.columns, set_, keys, many]
+    set_, keys, row, many, print_ = (fresh(docs, c) for c in ("_set", "_keys", "_row", "_n", "_print"))
+    names = [*docs.columns, set_, keys, many, print_]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -338,21 +362,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
             sets = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
             bands = pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))
             sizes = pa.array([len(h) for h in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets, bands, sizes], names=names)
+            prints = pa.array(np.array([set_fingerprint(h) for h in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets, bands, sizes, prints], names=names)
 
     source = docs.select(*(F.col(f"`{c}`") for c in docs.columns), whole_text().alias("_text"))
-    rows = arrow_map(source, measure, extended(docs, f"`{set_}` binary, `{keys}` array<bigint>, `{many}` bigint"))
+    rows = arrow_map(source, measure, extended(docs, f"`{set_}` binary, `{keys}` array<bigint>, `{many}` bigint, `{print_}` bigint"))
     rows = cut_lineage(rows.withColumn(row, F.monotonically_increasing_id()))
     # A struct orders by its first field first: null ids come last.
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     with stage_scope(docs.sparkSession):
-        mine = rows.select(F.col(set_).alias("_set"), F.col(row).alias("_row"), who.alias("who"), F.col(keys).alias("keys"), F.col(many).alias("n"))
-        distinct = mine.groupBy("_set").agg(F.min(F.struct("who", "keys", "n")).alias("_least"))
+        mine = rows.select(F.col(set_).alias("_set"), F.col(row).alias("_row"), who.alias("who"), F.col(keys).alias("keys"), F.col(many).alias("n"), F.col(print_).alias("print"))
+        distinct = mine.groupBy("_set").agg(F.min(F.struct("who", "keys", "n", "print")).alias("_least"))
         distinct = cut_lineage(distinct.select(
-            "_set", F.col("_least.who.row").alias("node"), F.col("_least.who").alias("_who"), F.col("_least.keys").alias("_keys"), F.col("_least.n").alias("_n")
+            "_set", F.col("_least.who.row").alias("node"), F.col("_least.who").alias("_who"), F.col("_least.keys").alias("_keys"), F.col("_least.n").alias("_n"), F.col("_least.print").alias("_print")
         ))
         texts = rows.select(F.col(row).alias("node"), whole_text().alias("_text"))
-        linked = components(similar_links(distinct.select("node", "_keys", "_n"), texts)).withColumnRenamed("node", "_node")
+        linked = components(similar_links(distinct.select("node", "_print", "_keys", "_n"), texts)).withColumnRenamed("node", "_node")
         named = cut_lineage(distinct.join(linked, distinct["node"] == linked["_node"], "left").select("node", "_who", F.coalesce("root", "node").alias("_name")))
         first = cut_lineage(named.groupBy("_name").agg(F.min("_who").alias("_first")).select(F.col("_first.row").alias("node")))
         # Rows that go: other rows of a set, and sets that are not the first of their component.

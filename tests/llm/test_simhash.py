@@ -148,3 +148,14 @@ def test_stage_keeps_one_of_similar_texts(spark):
     assert sum((fingerprint(x) ^ fingerprint(y)).bit_count() > 3 and jaccard(x, y) >= 0.8 for i, x in enumerate(some) for y in some[:i]) > 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x["doc_id"] for x in s.keep_one(docs).collect()} == similar_roots(texts)
+
+
+def test_stage_finds_candidates_by_fingerprints(spark, monkeypatch):
+    """Without any shared band, near copies are still found by their fingerprints, and verified."""
+    monkeypatch.setattr(s, "band_keys", lambda hashes: s.np.zeros(0, s.np.int64))
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join([*base, "more"]), "a b c d e f", "f e d c b a"]
+    sets = [s.shingles(t) for t in texts]
+    assert (s.set_fingerprint(sets[0]) ^ s.set_fingerprint(sets[1])).bit_count() <= s.DISTANCE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in s.keep_one(docs).collect()} == {0, 3, 4}
