@@ -9,11 +9,13 @@ neighbours, and of those that name a document as theirs, are candidates too.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ RUN = 256
 DIRECTIONS, BITS = 4, 12
 #: Nearest neighbours, of either direction, that take part in an exchange.
 REACH = 8
+#: Steps from 0 to 1 of the coarse vectors that exchanges compare first.
+STEPS = 32_767
 #: Exchanges end when at most this share of the links is new.
 SETTLED = 0.01
 #: The least weight of a link along the first order; it keeps the graph in one piece.
@@ -47,7 +51,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _order(frame: DataFrame, mean: np.ndarray, spread: np.ndarray, rng: np.random.Generator) -> DataFrame:
-    """``id``, ``vec``, ``number``: places in the order of the interleaved bits of random projections."""
+    """``id``, ``number``: places in the order of the interleaved bits of random projections. Vectors stay where they are."""
     ways = rng.normal(size=(len(mean), DIRECTIONS))
     scale = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", ways, spread, ways), 1e-300))
     shift = rng.uniform(-0.5, 0.5, DIRECTIONS)
@@ -62,16 +66,16 @@ def _order(frame: DataFrame, mean: np.ndarray, spread: np.ndarray, rng: np.rando
             for bit in range(BITS - 1, -1, -1):
                 for way in range(DIRECTIONS):
                     key = key << 1 | level[:, way] >> bit & 1
-            yield pdf.assign(key=key)
+            yield pd.DataFrame({"id": pdf["id"], "key": key})
 
     kind = frame.schema["id"].dataType.simpleString()
-    keyed = cut_lineage(frame.mapInPandas(keys, f"id {kind}, vec array<double>, key long"))
-    return numbered(keyed, "key", "id").select("id", "vec", "number")
+    keyed = cut_lineage(frame.mapInPandas(keys, f"id {kind}, key long"))
+    return cut_lineage(numbered(keyed, "key", "id").select("id", "number"))
 
 
-def _within_runs(ordered: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each document among those in its run."""
-    kind = ordered.schema["id"].dataType.simpleString()
+def _within_runs(orders: list[DataFrame], unit: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each document among those in its run, for every order. A vector moves once an order."""
+    kind = unit.schema["id"].dataType.simpleString()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist())
@@ -82,8 +86,10 @@ def _within_runs(ordered: DataFrame, k: int) -> DataFrame:
         rows = np.repeat(np.arange(len(ids)), keep)
         return pd.DataFrame({"id": ids[rows], "other": ids[near.ravel()], "squared": far[rows, near.ravel()]})
 
-    runs = ordered.withColumn("run", F.floor(F.col("number") / RUN))
-    return runs.groupBy("run").applyInPandas(compare, f"id {kind}, other {kind}, squared double")
+    run = F.floor(F.col("number") / RUN)
+    placed = [ordered.select("id", F.lit(i).alias("order"), run.alias("run")) for i, ordered in enumerate(orders)]
+    runs = functools.reduce(DataFrame.unionByName, placed).join(unit, "id")
+    return runs.groupBy("order", "run").applyInPandas(compare, f"id {kind}, other {kind}, squared double")
 
 
 def _squared(x: np.ndarray) -> np.ndarray:
@@ -120,42 +126,94 @@ def _search(unit: DataFrame, k: int, orders: int, exchanges: int, seed: int) ->
     rng = np.random.default_rng(seed)
     sums = gram(unit.select(F.concat(F.array(F.lit(1.0)), "vec").alias("a")), "a", "a")
     if not sums.size:
-        return unit.sparkSession.createDataFrame([], f"id {kind}, other {kind}, squared double"), unit.withColumn("number", F.lit(0).cast("long"))
+        return unit.sparkSession.createDataFrame([], f"id {kind}, other {kind}, squared double"), unit.select("id", F.lit(0).cast("long").alias("number"))
     mean = sums[0, 1:] / sums[0, 0]
     spread = sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean)
     sorted_by = [_order(unit, mean, spread, rng) for _ in range(orders)]
-    pairs = _within_runs(sorted_by[0], k)
-    for ordered in sorted_by[1:]:
-        pairs = pairs.unionByName(_within_runs(ordered, k))
-    near = cut_lineage(_best(pairs.dropDuplicates(["id", "other"]), "id", k))
-    for _ in range(exchanges):
-        better = cut_lineage(_exchanged(near, unit, k))
-        new = better.join(near.select("id", "other"), ["id", "other"], "left_anti").count()
-        near = better
-        if new <= SETTLED * near.count():
+    pairs = _within_runs(sorted_by, unit, k).withColumn("round", F.lit(0))
+    near = cut_lineage(_nearest(pairs, k))
+    # What an exchange compares first: vectors in steps of one in STEPS, a quarter of their size.
+    steps = F.transform("vec", lambda x: F.round(x * STEPS).cast("smallint"))
+    coarse, links = cut_lineage(unit.select("id", steps.alias("steps"))), None
+    for turn in range(1, exchanges + 1):
+        near, links = _exchanged(near, links, unit, coarse, k, turn)
+        if near.filter(F.col("round") == turn).count() <= SETTLED * near.count():
             break
-    return near, sorted_by[0]
+    return near.select("id", "other", "squared"), sorted_by[0]
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest pairs of each ``id``, each once, from the first ``round`` that found it."""
+    once = pairs.repartition("id").groupBy("id", "other").agg(F.min("squared").alias("squared"), F.min("round").alias("round"))
+    return _best(once, "id", k)
 
 
-def _exchanged(near: DataFrame, unit: DataFrame, k: int) -> DataFrame:
-    """Neighbours improved by those of their neighbours. Every document brings REACH links of either direction at most."""
+def _exchanged(near: DataFrame, before: DataFrame | None, unit: DataFrame, coarse: DataFrame, k: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Neighbours improved by those of their neighbours, and the links they were exchanged along.
+
+    Every document brings REACH links of either direction at most. Two links that met
+    ``before`` do not meet again. Those that do are compared by ``coarse`` vectors; the bound
+    on their error lets every pair through that may replace a neighbour of either end, and
+    these alone are measured.
+    """
     forth = _best(near, "id", REACH).select("id", "other")
     back = _best(near, "other", REACH).select(F.col("other").alias("id"), F.col("id").alias("other"))
-    links = cut_lineage(forth.union(back).distinct())
-    pairs = (
-        links.select(F.col("id").alias("middle"), F.col("other").alias("a"))
-        .join(links.select(F.col("id").alias("middle"), F.col("other").alias("b")), "middle")
-        .filter("a < b").select("a", "b").distinct()
-    )
+    links = forth.union(back).distinct()
+    if before is None:
+        links = links.withColumn("fresh", F.lit(True))
+    else:
+        known = before.select("id", "other", F.lit(True).alias("known"))
+        links = links.join(known, ["id", "other"], "left").select("id", "other", F.col("known").isNull().alias("fresh"))
+    links = cut_lineage(links)
+    last = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("squared", "other")).alias("last"))
+    widest = F.when(F.col("n") < k, float("inf")).otherwise(F.col("last.squared"))
+    ends = coarse.join(last, "id").select(F.col("id").alias("other"), widest.alias("widest"), F.col("last.other").alias("last"), "steps")
+    met = links.join(links.filter("fresh").select("id").distinct(), "id", "left_semi").join(ends, "other")
+    held = F.collect_list(F.struct("other", "fresh", "widest", "last", "steps")).alias("e")
+    met = met.repartition("id").groupBy("id").agg(held).select(*[F.col("e")[c].alias(c) for c in ("other", "fresh", "widest", "last")], F.flatten(F.col("e")["steps"]).alias("steps"))
+    kind = unit.schema["id"].dataType.simpleString()
+    found = met.mapInArrow(_may_replace, f"id {kind}, other {kind}").distinct()
+    found = found.join(near.select("id", "other"), ["id", "other"], "left_anti")
+    pairs = found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     x, y = (unit.select(F.col("id").alias(n), F.col("vec").alias("v" + n)) for n in "ab")
     squares = F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q))
     measured = pairs.join(x, "a").join(y, "b").select("a", "b", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v).alias("squared"))
-    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
-    more = measured.select(F.explode(ends).alias("e"), "squared").select("e.id", "e.other", "squared")
-    return _best(near.unionByName(more).dropDuplicates(["id", "other"]), "id", k)
-
-
-def _links(near: DataFrame, first: DataFrame) -> DataFrame:
+    both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    more = measured.select(F.explode(both).alias("e"), "squared").select("e.id", "e.other", "squared", F.lit(turn).alias("round"))
+    return cut_lineage(_nearest(near.unionByName(more), k)), links
+
+
+def _may_replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id``, ``other`` among the ends of a document's links: ``other`` may be nearer than the last neighbour of ``id``."""
+    for whole in batches:
+        for low in range(0, len(whole), 256):
+            batch = whole.slice(low, 256)
+            kind = batch.schema.field(0).type.value_type
+            other, fresh, widest, last, steps = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(other):
+                continue
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            wide = int(sizes.max())
+            at = np.cumsum(sizes)[:, None] - sizes[:, None] + np.arange(wide)
+            real = np.arange(wide) < sizes[:, None]
+            at = np.where(real, at, 0)
+            x = steps.reshape(len(other), -1).astype(float)[at]
+            length = (x * x).sum(axis=2)
+            # Whole numbers below 2 ** 53: nothing is rounded.
+            far = np.sqrt(np.maximum(length[:, :, None] + length[:, None, :] - 2 * x @ x.transpose(0, 2, 1), 0.0)) / STEPS
+            least = far - math.sqrt(x.shape[2]) / STEPS - 1e-6
+            mine, theirs = other[at][:, :, None], other[at][:, None, :]
+            limit, after = widest[at][:, :, None], last[at][:, :, None]
+            may = real[:, :, None] & real[:, None, :] & (fresh[at][:, :, None] | fresh[at][:, None, :]) & (mine != theirs)
+            # Where all neighbours are at the same place, only lower ids at that place count.
+            may &= (least <= np.sqrt(limit)) & ((limit > 0) | (theirs < after))
+            row, i, j = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(other[at[row, i]], kind), pa.array(other[at[row, j]], kind)], names=["id", "other"]
+            )
+
+
+def _links(near: DataFrame, first: DataFrame, unit: DataFrame) -> DataFrame:
     """``a`` < ``b``, ``w``: the graph without directions.
 
     The weight is exp(-d² / (s t)), where s and t are the distances of both ends' farthest
@@ -163,7 +221,7 @@ def _links(near: DataFrame, first: DataFrame) -> DataFrame:
     leaves no document apart.
     """
     scale = near.groupBy("id").agg(F.max("squared").alias("widest"))
-    along = first.select("id", "vec", "number")
+    along = cut_lineage(first.join(unit, "id").select("id", "vec", "number"))
     after = along.select(F.col("id").alias("other"), F.col("vec").alias("next"), (F.col("number") - 1).alias("number"))
     squares = F.zip_with("vec", "next", lambda p, q: (p - q) * (p - q))
     thread = along.join(after, "number").select("id", "other", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v).alias("squared"))
@@ -193,7 +251,7 @@ def layout(
     with stage_scope(spark):
         unit = cut_lineage(unit_vectors(vectors))
         near, first = _search(unit, k, orders, exchanges, seed)
-        links = cut_lineage(_links(near, first))
+        links = cut_lineage(_links(near, first, unit))
         if links.isEmpty():
             zero = F.array(*[F.lit(0.0)] * size)
             return np.zeros(0), cut_lineage(unit.select("id", zero.alias("vec")), outlive=True)

@@ -1,6 +1,7 @@
 """Near neighbours against all pairs, and the map against dense eigenvectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,53 @@ def test_the_map_solves_the_eigenproblem(spark, monkeypatch):
     assert (nearest == np.repeat([0, 1, 2], 30)).mean() > 0.95
 
 
+def test_an_exchange_measures_only_what_may_replace_a_neighbour(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = unit(np.vstack([rng.normal(c, 0.5, (60, 8)) for c in rng.normal(0, 1, (3, 8))]))
+    x[100:110] = x[100]  # a crowd: of equally near ones the lowest ids count
+    table = cut_lineage(frame(spark, x))
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    near = {i: [int(j) for j in rng.permutation(np.delete(np.arange(180), i))[:6]] for i in range(180)}
+    rows = [(i, j, float(far[i, j]), 0) for i, js in near.items() for j in js]
+    given = cut_lineage(spark.createDataFrame(rows, "id long, other long, squared double, round int"))
+    coarse = cut_lineage(table.select("id", F.transform("vec", lambda v: F.round(v * neighbours.STEPS).cast("smallint")).alias("steps")))
+    seen, offered = [], neighbours._may_replace
+    monkeypatch.setattr(neighbours, "REACH", 6)
+
+    def brute(near):
+        """All pairs of links of one document, as before."""
+        links = {i: set(js) for i, js in near.items()}
+        for j in range(180):
+            heard = sorted((far[i, j], i) for i, js in near.items() if j in js)[:6]
+            links[j] |= {i for _, i in heard}
+        more = {i: set(js) for i, js in near.items()}
+        for met in links.values():
+            for a in met:
+                more[a] |= met - {a}
+        return {i: sorted(js, key=lambda j: (far[i, j], j))[:6] for i, js in more.items()}, links
+
+    links = None
+    for turn in (1, 2, 3):
+        given, links = neighbours._exchanged(given, links, table, coarse, 6, turn)
+        near, all_links = brute(near)
+        mine = {}
+        for r in given.orderBy("id", "squared", "other").collect():
+            mine.setdefault(r["id"], []).append(r["other"])
+        crowd = set(range(100, 110))
+        assert all(mine[i] == near[i] for i in range(180) if not crowd & {i, *near[i]})
+        assert all(np.allclose(far[i, mine[i]], far[i, near[i]]) for i in range(180))
+        fresh = links.filter("fresh").count()
+        seen.append(fresh / links.count())
+        assert links.count() == sum(map(len, all_links.values()))
+    assert seen[0] == 1 and seen[2] < 0.7
+    # Links that met before do not meet again; far ones are not offered.
+    places = [pa.array([[1, 2, 3, 4]], pa.list_(pa.int64())), pa.array([[False, False, True, True]])]
+    steps = pa.array([[32767, 0, 32766, 100, 32760, 600, -32767, 0]], pa.list_(pa.int16()))
+    batch = pa.RecordBatch.from_arrays([*places, pa.array([[0.1] * 4]), pa.array([[9] * 4], pa.list_(pa.int64())), steps], names=list("abcde"))
+    out = next(offered(iter([batch])))
+    assert set(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == {(1, 3), (3, 1), (2, 3), (3, 2)}
+
+
 def test_few_vectors(spark):
     empty = spark.createDataFrame([], "id long, vec array<double>")
     assert neighbours.near_neighbours(empty).count() == 0 and neighbours.layout(empty)[1].count() == 0
