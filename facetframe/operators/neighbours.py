@@ -235,6 +235,18 @@ def _links(near: DataFrame, first: DataFrame, unit: DataFrame) -> DataFrame:
     return edges.select("a", "b", weight.alias("w"))
 
 
+def _walk(links: DataFrame, degrees: DataFrame, columns: DataFrame) -> DataFrame:
+    """Half the walk plus half standing still, made symmetric, as salted entries."""
+    ends = (degrees.select(F.col("col").alias(end), F.col("degree").alias("d" + end)) for end in "ab")
+    for end, known in zip("ab", ends):
+        links = links.join(known, end)
+    step = F.col("w") / 2 / F.sqrt(F.col("da") * F.col("db"))
+    both = F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("col")), F.struct(F.col("b").alias("row"), F.col("a").alias("col")))
+    moved = links.select(F.explode(both).alias("e"), step.alias("w")).select("e.row", "e.col", "w")
+    still = degrees.select(F.col("col").alias("row"), "col", F.lit(0.5).alias("w"))
+    return cut_lineage(spectral.salted(moved.unionByName(still).join(columns, "col")))
+
+
 def layout(
     vectors: DataFrame, size: int = 2, k: int = 15, orders: int = 4, exchanges: int = 12, tolerance: float = 1e-2, seed: int = 7
 ) -> tuple[np.ndarray, DataFrame]:
@@ -260,7 +272,7 @@ def layout(
         columns = cut_lineage(spectral.spread_columns(degrees))
         halves = links.select(F.struct("a", "b").alias("row"), "w", ends).join(degrees, "col").join(columns, "col")
         entries = cut_lineage(spectral.salted(halves.withColumn("w", F.sqrt(F.col("w") / 2 / F.col("degree")))))
-        values, right = spectral.leading_vectors(entries, columns, size + 1, tolerance)
+        values, right = spectral.leading_vectors(entries, columns, size + 1, tolerance, multiplied=lambda: _walk(links, degrees, columns))
         # The constant is known: the root of the degrees. Groups that hang together weakly have nearly
         # equal values, in which it may be mixed with others, so it is turned out of the vectors found.
         n = math.sqrt(columns.count())

@@ -126,6 +126,20 @@ def test_an_exchange_measures_only_what_may_replace_a_neighbour(spark, monkeypat
     assert set(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == {(1, 3), (3, 1), (2, 3), (3, 2)}
 
 
+def test_large_blocks_are_multiplied_by_one_join(spark, monkeypatch):
+    from facetframe.operators import spectral
+
+    rng = np.random.default_rng(8)
+    points = np.vstack([rng.normal(c, 0.3, (30, 4)) for c in 2 * np.eye(4)[:3]])
+    shared, packed = neighbours.layout(frame(spark, points), 2, 6, 2, 1)
+    packed = {r["id"]: r["vec"] for r in packed.collect()}
+    monkeypatch.setattr(spectral, "SHARED", 0)
+    monkeypatch.setattr(spectral, "times_transposed", None)  # the second join of a round
+    values, joined = neighbours.layout(frame(spark, points), 2, 6, 2, 1)
+    assert np.allclose(values, shared)
+    assert all(np.allclose(r["vec"], packed[r["id"]], atol=1e-6) for r in joined.collect())
+
+
 def test_few_vectors(spark):
     empty = spark.createDataFrame([], "id long, vec array<double>")
     assert neighbours.near_neighbours(empty).count() == 0 and neighbours.layout(empty)[1].count() == 0
