@@ -24,9 +24,10 @@ SALTS = 16
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest node reachable from each node.
 
-    Labels flow along edges and then jump to the label of their label, so the
-    number of rounds grows with the logarithm of a component's length. Each round
-    is written to the shared folder.
+    Labels flow along edges, to the nodes and to the labels these had, and then jump to
+    the label of their label: whole parts move at once, not their rims, so the number
+    of rounds grows with the logarithm of a component's length. Each round is written
+    to the shared folder.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.distinct())
@@ -39,6 +40,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         spread = labels.join(heard, "node", "left").select(
             "node", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("old")
         )
+        spread = cut_lineage(spread)
+        told = spread.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("told"))
+        spread = spread.join(told, "node", "left").select("node", F.least("label", F.coalesce("told", "label")).alias("label"), "old")
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = spread.join(jump, "label", "left").select(
             "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"

@@ -125,3 +125,26 @@ def test_odd_input(spark):
     assert found == {0: set(range(40)), -1: {51}}
     with pytest.raises(ValidationError):
         hierarchy.density_hierarchy(empty, 1)
+
+
+def test_components_of_winding_parts_take_few_rounds(spark, monkeypatch):
+    from facetframe.operators import clustering
+
+    rng = np.random.default_rng(2)
+    path = rng.permutation(400).tolist()
+    edges = [(a, b) for i, (a, b) in enumerate(zip(path, path[1:])) if i != 249]
+    rounds = []
+
+    class Counted(clustering.Observation):
+        def __init__(self):
+            super().__init__()
+            rounds.append(1)
+
+    monkeypatch.setattr(clustering, "Observation", Counted)
+    nodes = spark.createDataFrame([(i,) for i in range(402)], "node long")
+    found = clustering.connected_components(nodes, spark.createDataFrame(edges, "a long, b long"))
+    labels = {r["node"]: r["label"] for r in found.collect()}
+    first, second = path[:250], path[250:]
+    assert all(labels[i] == min(first) for i in first) and all(labels[i] == min(second) for i in second)
+    assert labels[400] == 400 and labels[401] == 401 and len(labels) == 402
+    assert len(rounds) <= 20
