@@ -50,8 +50,13 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return known.select("id", F.transform("vec", lambda x: x / F.col("__length")).alias("vec"))
 
 
+def _rows(vectors: DataFrame) -> DataFrame:
+    """The unit vectors, stored, with a unique ``row``: ids may repeat."""
+    return cut_lineage(unit_vectors(vectors).withColumn("row", F.monotonically_increasing_id()))
+
+
 def _order(frame: DataFrame, mean: np.ndarray, spread: np.ndarray, rng: np.random.Generator) -> DataFrame:
-    """``id``, ``number``: places in the order of the interleaved bits of random projections. Vectors stay where they are."""
+    """``row``, ``id``, ``number``: places in the order of the interleaved bits of random projections. Vectors stay where they are."""
     ways = rng.normal(size=(len(mean), DIRECTIONS))
     scale = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", ways, spread, ways), 1e-300))
     shift = rng.uniform(-0.5, 0.5, DIRECTIONS)
@@ -66,11 +71,11 @@ def _order(frame: DataFrame, mean: np.ndarray, spread: np.ndarray, rng: np.rando
             for bit in range(BITS - 1, -1, -1):
                 for way in range(DIRECTIONS):
                     key = key << 1 | level[:, way] >> bit & 1
-            yield pd.DataFrame({"id": pdf["id"], "key": key})
+            yield pdf[["row", "id"]].assign(key=key)
 
     kind = frame.schema["id"].dataType.simpleString()
-    keyed = cut_lineage(frame.mapInPandas(keys, f"id {kind}, key long"))
-    return cut_lineage(numbered(keyed, "key", "id").select("id", "number"))
+    keyed = cut_lineage(frame.mapInPandas(keys, f"row long, id {kind}, key long"))
+    return cut_lineage(numbered(keyed, "key", "id").select("row", "id", "number"))
 
 
 def _within_runs(orders: list[DataFrame], unit: DataFrame, k: int) -> DataFrame:
@@ -87,8 +92,8 @@ def _within_runs(orders: list[DataFrame], unit: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"id": ids[rows], "other": ids[near.ravel()], "squared": far[rows, near.ravel()]})
 
     run = F.floor(F.col("number") / RUN)
-    placed = [ordered.select("id", F.lit(i).alias("order"), run.alias("run")) for i, ordered in enumerate(orders)]
-    runs = functools.reduce(DataFrame.unionByName, placed).join(unit, "id")
+    placed = [ordered.select("row", F.lit(i).alias("order"), run.alias("run")) for i, ordered in enumerate(orders)]
+    runs = functools.reduce(DataFrame.unionByName, placed).join(unit, "row").select("order", "run", "id", "vec")
     return runs.groupBy("order", "run").applyInPandas(compare, f"id {kind}, other {kind}, squared double")
 
 
@@ -116,7 +121,7 @@ def near_neighbours(vectors: DataFrame, k: int = 15, orders: int = 4, exchanges:
     if k < 1:
         raise ValidationError("k must be positive")
     with stage_scope(vectors.sparkSession):
-        found, _ = _search(cut_lineage(unit_vectors(vectors)), k, orders, exchanges, seed)
+        found, _ = _search(_rows(vectors), k, orders, exchanges, seed)
         return cut_lineage(found.select("id", "other", F.sqrt("squared").alias("distance")), outlive=True)
 
 
@@ -126,7 +131,7 @@ def _search(unit: DataFrame, k: int, orders: int, exchanges: int, seed: int) ->
     rng = np.random.default_rng(seed)
     sums = gram(unit.select(F.concat(F.array(F.lit(1.0)), "vec").alias("a")), "a", "a")
     if not sums.size:
-        return unit.sparkSession.createDataFrame([], f"id {kind}, other {kind}, squared double"), unit.select("id", F.lit(0).cast("long").alias("number"))
+        return unit.sparkSession.createDataFrame([], f"id {kind}, other {kind}, squared double"), unit.select("row", "id", F.lit(0).cast("long").alias("number"))
     mean = sums[0, 1:] / sums[0, 0]
     spread = sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean)
     sorted_by = [_order(unit, mean, spread, rng) for _ in range(orders)]
@@ -221,7 +226,7 @@ def _links(near: DataFrame, first: DataFrame, unit: DataFrame) -> DataFrame:
     leaves no document apart.
     """
     scale = near.groupBy("id").agg(F.max("squared").alias("widest"))
-    along = cut_lineage(first.join(unit, "id").select("id", "vec", "number"))
+    along = cut_lineage(first.select("row", "number").join(unit, "row").select("id", "vec", "number"))
     after = along.select(F.col("id").alias("other"), F.col("vec").alias("next"), (F.col("number") - 1).alias("number"))
     squares = F.zip_with("vec", "next", lambda p, q: (p - q) * (p - q))
     thread = along.join(after, "number").select("id", "other", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v).alias("squared"))
@@ -261,7 +266,7 @@ def layout(
     """
     spark = vectors.sparkSession
     with stage_scope(spark):
-        unit = cut_lineage(unit_vectors(vectors))
+        unit = _rows(vectors)
         near, first = _search(unit, k, orders, exchanges, seed)
         links = cut_lineage(_links(near, first, unit))
         if links.isEmpty():

@@ -140,6 +140,14 @@ def test_large_blocks_are_multiplied_by_one_join(spark, monkeypatch):
     assert all(np.allclose(r["vec"], packed[r["id"]], atol=1e-6) for r in joined.collect())
 
 
+def test_rows_of_repeated_ids_stand_once_in_an_order(spark):
+    twice = neighbours._rows(frame(spark, np.eye(4)).union(frame(spark, np.eye(4))))
+    order = neighbours._order(twice, np.zeros(4), np.eye(4), np.random.default_rng(1))
+    assert sorted(r["number"] for r in order.collect()) == list(range(8))
+    found = neighbours._within_runs([order], twice, 7).groupBy("id", "other").count().collect()
+    assert all(r["count"] == (2 if r["id"] == r["other"] else 4) for r in found) and len(found) == 16
+
+
 def test_few_vectors(spark):
     empty = spark.createDataFrame([], "id long, vec array<double>")
     assert neighbours.near_neighbours(empty).count() == 0 and neighbours.layout(empty)[1].count() == 0
