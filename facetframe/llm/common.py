@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..session import configure, cut_lineage
 
-#: Rows of an Arrow batch. Documents may be long, so a batch holds few of them.
-BATCH_ROWS = 1024
+#: Rows of an Arrow batch. Documents may be long, so a batch holds few of them: what a worker works out for a batch grows with it.
+BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -57,3 +57,16 @@ def test_edges(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["predicted"]}
     assert {r["score"] > 0.2 for r in q.score_quality(docs, labels.limit(0)).collect()} == {True}
     assert q.score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_batches_of_texts_are_small(spark):
+    import pyarrow as pa
+
+    from facetframe.llm.common import prepare
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    found = [r["n"] for r in prepare(spark).range(2000).coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 2000 and max(found) <= 256
