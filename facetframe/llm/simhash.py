@@ -40,6 +40,10 @@ STAGE_WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 16, 4
 #: How many of a text's earlier shingles tell whether a pair has met already.
 BEFORE = 16
+#: Longs of a sketch of a text's shingles (a power of two).
+SKETCH = 16
+#: One in so many pairs is looked at, in turn; the last turn looks at all, the others need as many pairs an entry.
+SHARES = (1024, 32, 1)
 #: A half with more distinct fingerprints than this is refined.
 MOST = 20_000
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one.
@@ -261,51 +265,102 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(joined.select("a", "b", "_text", "_other").mapInArrow(verify, "a long, b long"))
 
 
-def _rarest_first(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different parts (node, _part, _n) that may be similar: every similar pair, and few others.
-
-    All shingles have one order: those that occur in one part only come first, then the
-    others by how many texts hold them. Of n shingles the first n // 5 + 1 are looked at:
-    two texts that are 0.8 similar have their first common shingle among these on both
-    sides. Shingles of one part join nothing, so a crowd around one text costs its own
-    differences only.
-    """
+def _shingled(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The shingles of ``nodes`` (node) as rows: node, _n (how many), _shingle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
                 mine = shingles(text).view(np.int64)
                 for low in range(0, len(mine), CHUNK):
                     some = mine[low : low + CHUNK]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), v)) for v in (node, part, len(mine))] + [pa.array(some)], names=["node", "_part", "_n", "_shingle"]
+                        [pa.array(np.full(len(some), v)) for v in (node, len(mine))] + [pa.array(some)], names=["node", "_n", "_shingle"]
                     )
 
-    held = texts.join(parts, "node").select("node", "_part", "_text")
-    each = cut_lineage(held.mapInArrow(cut, "node long, _part long, _n long, _shingle long"))
+    held = texts.join(nodes, "node", "left_semi").select("node", "_text")
+    return cut_lineage(held.mapInArrow(cut, "node long, _n long, _shingle long"))
+
+
+def _sketches(each: DataFrame) -> DataFrame:
+    """Per node of ``each`` an array of SKETCH longs: every shingle flips one of their bits.
+
+    Two sketches differ in no more bits than their sets differ in shingles.
+    """
+    word, bit = F.col("_shingle").bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(_shingle, 32) & 63 as int))")
+    return cut_lineage(each.groupBy("node").agg(F.array(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(SKETCH))).alias("_bits")))
+
+
+def _rarest(each: DataFrame, parts: DataFrame) -> DataFrame:
+    """Entries (node, _part, _n, _shingle, _left, _before, _bits) of the nodes (node, _part): each under its rarest shingles.
+
+    All shingles have one order: those that occur in one part only come first, then the
+    others by how many texts hold them. Of n shingles the first n // 5 + 1 are looked at:
+    two texts that are 0.8 similar have their first common shingle among these on both
+    sides. Shingles of one part join nothing, so a crowd around one text costs its own
+    differences only.
+    """
+    sketches = _sketches(each)
+    each = each.join(parts, "node")
     known = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_texts"), F.min("_part").alias("_low"), F.max("_part").alias("_high"))
     across = each.join(cut_lineage(known.where("_low < _high").select("_shingle", "_texts")), "_shingle")
     listed = across.groupBy("node", "_part", "_n").agg(F.array_sort(F.collect_list(F.struct("_texts", "_shingle"))).alias("_s"))
     room = F.floor(F.col("_n") / 5).cast("int") + 1 - (F.col("_n").cast("int") - F.size("_s"))
-    cut_off = listed.where(room > 0).select(
-        "node", "_part", "_n", (F.col("_n") - F.size("_s")).alias("_own"), F.slice("_s", F.lit(1), room)["_shingle"].alias("_s")
+    cut_off = listed.where(room > 0).join(sketches, "node").select(
+        "node", "_part", "_n", (F.col("_n") - F.size("_s")).alias("_own"), F.slice("_s", F.lit(1), room)["_shingle"].alias("_s"), "_bits"
     )
-    filed = cut_lineage(cut_off.select("node", "_part", "_n", "_own", "_s", F.posexplode("_s").alias("_at", "_shingle")).select(
+    return cut_lineage(cut_off.select("node", "_part", "_n", "_own", "_s", "_bits", F.posexplode("_s").alias("_at", "_shingle")).select(
         "node", "_part", "_n", "_shingle", (F.col("_n") - F.col("_own") - F.col("_at")).alias("_left"),
-        F.slice("_s", F.greatest(F.col("_at") - (BEFORE - 1), F.lit(1)), F.least("_at", F.lit(BEFORE))).alias("_before"),
+        F.slice("_s", F.greatest(F.col("_at") - (BEFORE - 1), F.lit(1)), F.least("_at", F.lit(BEFORE))).alias("_before"), "_bits",
     ))
-    one, other = (
-        filed.select(F.col("node").alias(x), F.col("_part").alias(f"{x}_part"), F.col("_n").alias(f"{x}_n"), F.col("_left").alias(f"{x}_left"), F.col("_before").alias(f"{x}_before"), "_shingle")
-        for x in "ab"
-    )
+
+
+def _all_that_meet(filed: DataFrame, share: int = 1) -> DataFrame:
+    """Pairs (a, b) of different parts that may be similar: every similar pair, and few others; or one in ``share`` of these."""
+    names = {"node": "", "_part": "_part", "_n": "_n", "_left": "_left", "_before": "_before", "_bits": "_bits"}
+    one, other = (filed.select("_shingle", *(F.col(c).alias(f"{x}{name}") for c, name in names.items())) for x in "ab")
     meet = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & (SIMILARITY[1] * F.least("a_n", "b_n") >= SIMILARITY[0] * F.greatest("a_n", "b_n"))
+    if share > 1:
+        meet = meet & (F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0)
+    both = F.col("a_n") + F.col("b_n")
     # Where a pair meets first, nothing before is common: what is left must be enough for the similarity.
-    meet = meet & (sum(SIMILARITY) * F.least("a_left", "b_left") >= SIMILARITY[0] * (F.col("a_n") + F.col("b_n")))
+    meet = meet & (sum(SIMILARITY) * F.least("a_left", "b_left") >= SIMILARITY[0] * both)
+    # Similar sets differ in a ninth of their shingles at most, and sketches in no more bits.
+    differ = sum(F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(SKETCH))
+    meet = meet & (sum(SIMILARITY) * differ <= (SIMILARITY[1] - SIMILARITY[0]) * both)
     # Pairs that met just before, in the order of the shingles, need not meet again.
     meet = meet & ~F.arrays_overlap("a_before", "b_before")
     return one.join(other, (one["_shingle"] == other["_shingle"]) & meet).select("a", "b").distinct()
 
 
+def _between_parts(texts: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what similar pairs of different parts (node, _part) connect, without the pairs ``tried``.
+
+    Where shingles are crowded, a share of the pairs comes first: one link joins two
+    parts as well as a thousand, so most pairs of a crowd lie in one part by the turn
+    that looks at all.
+    """
+    filed = _rarest(_shingled(texts, parts), parts)
+    pairs, entries = filed.groupBy("_shingle").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum("n")).first()
+    found = None
+    for share in SHARES:
+        if share > 1 and (pairs or 0) < share * (entries or 1):
+            continue
+        candidates = cut_lineage(_all_that_meet(filed, share).join(tried, ["a", "b"], "left_anti"))
+        more = _similar(candidates, texts)
+        found = more if found is None else found.union(more)
+        if share > 1:
+            tried = cut_lineage(tried.union(candidates))
+            ends = more
+            for x in "ab":
+                ends = ends.join(parts.select(F.col("node").alias(x), F.col("_part").alias(f"_{x}")), x)
+            merged = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnRenamed("node", "_part")
+            parts = cut_lineage(parts.join(merged, "_part", "left").select("node", F.coalesce("root", "_part").alias("_part")))
+            # The order of the shingles stays: any one order for all will do.
+            filed = cut_lineage(filed.drop("_part").join(parts, "node"))
+    return found
+
+
 def _printed(distinct: DataFrame) -> DataFrame:
     """Candidates (a, b) among the nodes of ``distinct`` (node, _print): fingerprints that link, and equal ones, by their least nodes."""
     known = cut_lineage(distinct.groupBy("_print").agg(F.min("node").alias("a")))
@@ -340,8 +395,7 @@ def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     placed = cut_lineage(shared.join(linked, "node", "left").select("_key", "node", F.coalesce("_root", "node").alias("_part")))
     apart = placed.groupBy("_key").agg(F.min("_part").alias("low"), F.max("_part").alias("high")).where("low < high").select("_key")
     rest = cut_lineage(placed.join(apart, "_key", "left_semi").select("node", "_part").distinct())
-    pairs = _rarest_first(texts, rest).join(star, ["a", "b"], "left_anti")
-    return found.union(_similar(cut_lineage(pairs), texts))
+    return found.union(_between_parts(texts, rest, star))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

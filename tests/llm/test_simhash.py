@@ -159,3 +159,36 @@ def test_stage_finds_candidates_by_fingerprints(spark, monkeypatch):
     assert (s.set_fingerprint(sets[0]) ^ s.set_fingerprint(sets[1])).bit_count() <= s.DISTANCE
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x["doc_id"] for x in s.keep_one(docs).collect()} == {0, 3, 4}
+
+
+def test_crowd_is_not_compared_in_pairs(spark, monkeypatch):
+    """Where a crowd lies in many parts, few of its pairs are looked at, by shares first, and no link is lost."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(300):
+        words = [f"c{i}" for i in range(200)]
+        for _ in range(r.choice([2, 3])):
+            words[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(s, "band_keys", lambda hashes: s.np.sort(hashes)[: s.BANDS].view(s.np.int64))  # crowded bands
+    looked_at, similar = [], s._similar
+
+    def counting(pairs, texts):
+        looked_at.append(pairs.count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(s, "_similar", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in s.keep_one(docs).collect()} == similar_roots(texts)
+    assert sum(looked_at[1:]) < 8 * len(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    r = random.Random(12)
+    sets = {i: {r.randrange(60) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for _ in range(30)} for i in range(20)}
+    each = spark.createDataFrame([(i, len(x), y) for i, x in sets.items() for y in x], "node long, _n long, _shingle long")
+    bits = {x["node"]: x["_bits"] for x in s._sketches(each).collect()}
+    differ = lambda i, j: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(bits[i], bits[j]))
+    assert {len(b) for b in bits.values()} == {s.SKETCH}
+    assert all(differ(i, j) <= len(sets[i] ^ sets[j]) for i in sets for j in sets)
+    assert any(differ(i, j) > 5 for i in sets for j in sets)
