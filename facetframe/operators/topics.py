@@ -69,8 +69,13 @@ def extract_topics(documents: DataFrame, class_column: str, text: str, top_n: in
     are no topic.
     """
     valid = documents.filter(F.col(quoted(text)).isNotNull())
-    words = topic_words(ctfidf(class_terms(valid, class_column, text)), top_n)
     sizes = valid.groupBy(F.col(quoted(class_column)).alias("id")).agg(F.count(F.lit(1)).alias("frequency"))
+    return topics_of_counts(class_terms(valid, class_column, text), sizes, top_n)
+
+
+def topics_of_counts(counts: DataFrame, sizes: DataFrame, top_n: int = 50) -> DataFrame:
+    """The topics table of word counts (``class``, ``term``, ``n``) and class sizes (``id``, ``frequency``)."""
+    words = topic_words(ctfidf(counts), top_n)
     topics = sizes.filter("id >= 0").join(words, "id", "left")
     label = F.coalesce("label", F.concat(F.lit("Topic "), (F.col("id") + 1).cast("string")))
     return topics.select("id", label.alias("label"), "frequency", "words").orderBy("id")

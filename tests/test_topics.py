@@ -202,3 +202,38 @@ def test_connectors_stand_inside_phrases(spark, monkeypatch):
     assert small[39] == "the point of of sale"  # other words between make another pair
     monkeypatch.setattr(text, "BROADCAST_BYTES", -1)
     assert small == {r["id"]: r["document"] for r in text.preprocess_heavy(df, "t", config).collect()}
+
+
+def test_sweep_reads_the_texts_once_for_all_settings(spark, monkeypatch):
+    """Each setting scores as its own topics would, also where ids repeat; windows and words are counted by one pass each."""
+    rng = np.random.default_rng(8)
+    words = [f"w{a}{b}" for a in "abcdef" for b in "abcdef"]
+    texts = [(i % 90, None if i == 7 else " ".join(rng.choice(words[i % 4 * 8 : i % 4 * 8 + 14], 6 + i % 9))) for i in range(100)]
+    points = [(i, (rng.normal(0, 0.3, 2) + [i % 4 * 4, i % 3]).tolist()) for i in range(120)] + [(5, [4.0, 2.0])]
+    docs = spark.createDataFrame(texts, "id long, document string")
+    given = spark.createDataFrame(points, "id long, vec array<double>")
+    calls, counting, terms = [], evaluation._window_counts, topics.class_terms
+    monkeypatch.setattr(evaluation, "_window_counts", lambda *a: calls.append("windows") or counting(*a))
+    for module in (topics, evaluation):
+        monkeypatch.setattr(module, "class_terms", lambda *a: calls.append("words") or terms(*a), raising=False)
+    got = evaluation.sweep(docs, given, given, (1, 5), (2, 3), (2, 5), trials=3, seed=1).collect()
+    assert sorted(calls) == ["windows", "words"] and len(got) == 3
+    for row in got:
+        if row["error"]:
+            continue
+        found = clustering.density_clusters(given, row["min_topic_size"], row["topic_confidence_threshold"])
+        labelled = docs.join(vectors.merge_topics(found.join(given, "id"), 5), "id")
+        own = evaluation.evaluate_topics(labelled, topics.extract_topics(labelled, "topic", "document"), labelled).first()
+        assert row["topics"] == own["topics"] and row["topics"] > 0
+        assert row["coherence"] == pytest.approx(own["coherence_v"], abs=1e-9)
+        assert row["diversity"] == pytest.approx(own["topic_diversity"])
+
+
+def test_window_counts_of_a_long_text_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    terms = rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"], 50).tolist()
+    monkeypatch.setattr(evaluation, "_STARTS", 7)
+    words = spark.createDataFrame([(0, 0, "aa"), (0, 1, "bb")], "topic int, place int, word string")
+    out = {(r["w1"], r["w2"]): r["n"] for r in evaluation.window_counts(spark.createDataFrame([(" ".join(terms),)], "document string"), words, 4).collect()}
+    windows = [set(terms[k : k + 4]) for k in range(47)]
+    assert out == {(None, None): 47, **{(a, b): sum(a in w and b in w for w in windows) for a, b in (("aa", "aa"), ("aa", "bb"), ("bb", "bb"))}}
