@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from ..schema import INDEX, quoted
 from ..session import cut_lineage, keep_in_order, stage_scope
 from ..sources import with_row_index
 from . import spectral
+from .spectral import pieces
 from .text import lookup
 
 # Topic means are sent to tasks in blocks of at most this many numbers.
@@ -42,12 +44,8 @@ def weighted_terms(documents: DataFrame, min_df: float = 1.0, max_df: float = 1.
     bag = documents.select(F.col("id").alias("row"), K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0)
     counted = cut_lineage(bag.select("row", F.explode("terms").alias("col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("tf")))
     n = bag.count()
-    least, most = (min_df if min_df >= 1 else min_df * n), max_df * n
     counts = counted.groupBy("col").agg(F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("uses"))
-    counts = counts.filter((F.col("rows") >= least) & (F.col("rows") <= most))
-    if max_terms is not None:
-        counts = counts.orderBy(F.col("uses").desc(), "col").limit(max_terms)
-    counts = cut_lineage(counts.filter(F.col("rows") < n))
+    counts = cut_lineage(_limited(counts, n, min_df, max_df, max_terms))
     columns = cut_lineage(spectral.spread_columns(counts))
     # The join that fetches a term's weight is salted like the tokens of the text operators.
     known = counts.join(columns, "col").select("col", "copies", F.log(F.lit(1.0 + n) / (F.col("rows") + 1.0)).alias("idf"))
@@ -58,6 +56,103 @@ def weighted_terms(documents: DataFrame, min_df: float = 1.0, max_df: float = 1.
     return cut_lineage(spectral.salted(unit)), columns
 
 
+def _limited(counts: DataFrame, n: int, min_df: float, max_df: float, max_terms: int | None) -> DataFrame:
+    """The terms (``col``, ``rows``, ``uses``) within the limits of ``weighted_terms``."""
+    least, most = (min_df if min_df >= 1 else min_df * n), max_df * n
+    counts = counts.filter((F.col("rows") >= least) & (F.col("rows") <= most))
+    if max_terms is not None:
+        counts = counts.orderBy(F.col("uses").desc(), "col").limit(max_terms)
+    return counts.filter(F.col("rows") < n)
+
+
+def packed_terms(
+    documents: DataFrame, size: int, min_df: float = 1.0, max_df: float = 1.0, max_terms: int | None = None
+) -> spectral.Packed | None:
+    """The matrix of ``weighted_terms`` as packed rows, without a shuffle of its entries; None if it has too many columns for that.
+
+    The rows have ``id`` and ``copies``, the number of documents with this id and words; texts
+    that share an id are one row, as there. Texts are read twice: once to count in how
+    many a term occurs, once to look terms up by their hashes. Only ids, terms and texts that share an id are
+    shuffled. A missing id has no entries, and a row may be without any.
+    """
+    spark = documents.sparkSession
+    repeated = cut_lineage(documents.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")))
+    bag = documents.select("id", K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0)
+    alone, several = bag, None
+    if not repeated.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("__id"))
+        alone = bag.join(repeated, same, "left_anti")
+        several = cut_lineage(
+            bag.join(repeated, same, "left_semi").withColumn("doc", F.monotonically_increasing_id())
+        )
+
+    # The entry without a term counts the documents.
+    seen = alone.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("col"))
+    n = 0
+    if several is not None:
+        n = several.count()
+        seen = seen.unionByName(several.select("id", F.explode("terms").alias("col")).distinct().select("col"))
+    counts = seen.groupBy("col").agg(F.count(F.lit(1)).alias("rows"))
+    if max_terms is not None:
+        uses = bag.select(F.explode("terms").alias("col")).groupBy("col").agg(F.count(F.lit(1)).alias("uses"))
+        counts = counts.join(uses, "col", "left")
+    counts = cut_lineage(counts)
+    n += next((r["rows"] for r in counts.filter("col IS NULL").collect()), 0)
+    terms = counts.filter("col IS NOT NULL")
+    known = cut_lineage(_limited(terms, n, min_df, max_df, max_terms).select("col", "rows"))
+    many = known.count()
+    if many > spectral.SHARED:
+        return None
+    seed = 0
+    while not terms.groupBy(F.xxhash64("col", F.lit(seed)).alias("hash")).count().filter("count > 1").isEmpty():
+        seed += 1  # no two terms may share a hash
+    found = known.select(F.xxhash64("col", F.lit(seed)).alias("hash"), "rows").toArrow()
+    hashes = found.column(0).to_numpy()
+    order = np.argsort(hashes)
+    weights = np.log((1.0 + n) / (found.column(1).to_numpy()[order] + 1.0))
+    shared = spark.sparkContext.broadcast((hashes[order], weights))
+    width = min(size + spectral.EXTRA, many)
+
+    def place(batches):
+        hashes = shared.value[0]
+        for batch in batches:
+            at = np.searchsorted(hashes, batch.column("hash").to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("vec")], names=["col", "vec"])
+
+    def pack(batches):
+        hashes, weights = shared.value
+        for piece, given, times, sizes in pieces(batches, "hashes", "times"):
+            row = np.repeat(np.arange(len(piece)), sizes)
+            at = np.minimum(np.searchsorted(hashes, given), max(len(hashes) - 1, 0))
+            hit = np.flatnonzero(hashes[at] == given) if len(hashes) else np.zeros(0, int)
+            entry, where, tf = np.unique(row[hit] * len(hashes) + at[hit], return_inverse=True, return_counts=True)
+            if len(times):
+                tf = np.bincount(where, times[hit], len(entry)).astype(np.int64)
+            row, at = np.divmod(entry, max(len(hashes), 1))
+            length = np.sqrt(np.bincount(row, (tf * weights[at]) ** 2, len(piece)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(piece)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("copies"), *lists, pa.array(length)], names=names)
+
+    usable = lambda x: F.when(F.col("id").isNotNull(), x).otherwise(F.array().cast("array<long>"))
+    hashed = F.transform("terms", lambda t: F.xxhash64(t, F.lit(seed)))
+    rows = alone.select("id", F.lit(1).cast("long").alias("copies"), usable(hashed).alias("hashes"), F.array().cast("array<long>").alias("times"))
+    names = ["id", "copies", "at", "w", "length"]
+    schema = rows.select("id", "copies", F.col("hashes").cast("array<int>").alias("at"), F.col("times").cast("array<int>").alias("w"), F.lit(1.0).alias("length")).schema
+    rows = rows.mapInArrow(pack, schema)
+    if several is not None:
+        words = several.select("id", "doc", F.explode(hashed).alias("hash")).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("times"))
+        lists = words.groupBy("id").agg(F.collect_list(F.struct("hash", "times")).alias("e"))
+        number = several.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("copies"))
+        both = lists.join(number, F.col("id").eqNullSafe(F.col("__id")))
+        grouped = both.select("id", "copies", usable(F.col("e")["hash"]).alias("hashes"), usable(F.col("e")["times"]).alias("times"))
+        rows = rows.unionByName(grouped.mapInArrow(pack, schema))
+    start = known.select(F.xxhash64("col", F.lit(seed)).alias("hash"), spectral.first_block(width).alias("vec"))
+    packed = spectral.Packed(cut_lineage(rows), weights, cut_lineage(start.mapInArrow(place, "col int, vec array<double>")))
+    shared.destroy()
+    return packed
+
+
 def embed_lsa(
     documents: DataFrame, size: int = 100, min_df: float = 1.0, max_df: float = 1.0, max_terms: int | None = None, tolerance: float = 1e-4
 ) -> DataFrame:
@@ -70,9 +165,14 @@ def embed_lsa(
     """
     spark = documents.sparkSession
     with stage_scope(spark):
+        packed = packed_terms(documents, size, min_df, max_df, max_terms)
+        if packed is not None:
+            if not len(packed.weights):
+                raise ValidationError("too few terms for a decomposition")
+            values, right = spectral.packed_vectors(packed, size, tolerance)
+            made = spectral.times_packed(packed, right, len(values))
+            return cut_lineage(made.select("id", F.explode(F.array_repeat("vec", F.col("copies").cast("int"))).alias("vec")), outlive=True)
         entries, columns = weighted_terms(documents, min_df, max_df, max_terms)
-        if columns.isEmpty():
-            raise ValidationError("too few terms for a decomposition")
         values, right = spectral.leading_vectors(entries, columns, size, tolerance)
         made = spectral.times(entries, right, len(values)).withColumnRenamed("row", "id")
         bag = documents.select("id", K.words(F.col("document")).alias("terms")).filter(F.size("terms") > 0).select("id")

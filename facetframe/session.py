@@ -6,6 +6,7 @@ import re
 import sys
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -47,6 +48,9 @@ def stage_folder(spark: SparkSession) -> str:
 
 
 _scopes: list[list[str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: What a written table was shuffled through is not read again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
@@ -55,13 +59,33 @@ def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     The result has a flat plan, survives lost executors, and carries its true
     size, by which Spark chooses join strategies. Tables written inside
     ``stage_scope`` go when it ends; with ``outlive``, when the scope around it ends.
+    The shuffle files of the write go at once.
     """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     if len(_scopes) > outlive:
         _scopes[-1 - outlive].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` gave, before its scope ends. Nothing may read it any more."""
+    path = _paths.pop(table)
+    for scope in _scopes:
+        if path in scope:
+            scope.remove(path)
+    delete_table(table.sparkSession, path)
 
 
 def delete_table(spark: SparkSession, path: str) -> None:

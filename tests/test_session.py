@@ -1,6 +1,7 @@
 """The folder of stage tables, and CSV files with line breaks in their cells."""
 
 import glob
+import time
 import types
 
 import pytest
@@ -35,6 +36,27 @@ def test_a_scope_leaves_no_stage_tables(spark):
     assert set(glob.glob(f"{folder}/stage-*")) == before
 
 
+def test_shuffle_files_go_with_the_write_of_a_stage_table(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f for f in files.getAllFiles().mkString(",").split(",") if "/shuffle_" in f}
+    before, setting = names(), spark.conf.get(session.CLEANUP, None)
+    stored = session.cut_lineage(spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if not names() - before:
+            break
+        time.sleep(0.1)
+    assert not names() - before and stored.count() == 7
+    assert spark.conf.get(session.CLEANUP, None) == setting
+
+
+def test_a_discarded_table_is_gone(spark):
+    folder = session.stage_folder(spark).removeprefix("file:")
+    with session.stage_scope(spark):
+        before = set(glob.glob(f"{folder}/stage-*"))
+        session.discard(session.cut_lineage(spark.range(5)))
+        assert set(glob.glob(f"{folder}/stage-*")) == before
+
+
 def test_line_breaks_quotes_and_delimiters_in_cells(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('id;text\n1;"line one\nline two"\n2;"say ""yes""; or no"\n3;plain\n', encoding="utf-8")

@@ -135,3 +135,34 @@ def test_packed_rows_and_tables_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(spectral, "SHARED", 0)
     others, _ = spectral.leading_vectors(entries, columns, 3)
     assert joins and np.allclose(values, others) and np.allclose(values, np.linalg.svd(dense)[1][:3], rtol=1e-6)
+
+
+def test_large_blocks_of_vectors_go_to_the_tasks_in_slices(spark, monkeypatch):
+    """A block that is too large for a task is multiplied some vectors at a time; entries are never joined, and no stage table stays."""
+    monkeypatch.setattr(spectral, "SHARED", 200)
+    monkeypatch.setattr(spectral, "ENTRIES", 50)
+    monkeypatch.setattr(spectral, "times", lambda *a: pytest.fail("entries were joined"))
+    slices, plain = [], spectral._slices
+    monkeypatch.setattr(spectral, "_slices", lambda *a: (slices.append(x.shape) or x for x in plain(*a)))
+    given = texts()
+    frame = spark.createDataFrame([*enumerate(given)], "id long, document string")
+    made = {r["id"]: r["vec"] for r in vectors.embed_lsa(frame, 6).collect()}
+    u, s, _ = np.linalg.svd(dense_tfidf(given), full_matrices=False)
+    mine = np.array([made[i] for i in range(60)])
+    assert np.allclose(np.linalg.norm(mine, axis=0), s[:6], rtol=1e-6)
+    assert np.allclose(np.abs(mine), np.abs(u[:, :6] * s[:6]), atol=1e-3)
+    assert max(a * b for a, b in slices) <= 200 and slices[:3] == [(5, 40), (5, 40), (4, 40)]
+
+
+def test_packed_rows_count_as_the_tables_do(spark, monkeypatch):
+    """Texts that share an id are one row, a missing id has no entries, and limits hold."""
+    given = [*enumerate(texts(40)), (3, "word39 word38 word1"), (3, "word39"), (None, "word39 word5"), (7, ""), (8, None), (90, "unknown xx")]
+    frame = spark.createDataFrame(given, "id long, document string").repartition(3)
+    row = lambda made: sorted((r["id"] is None, r["id"] or 0, [round(abs(x), 6) for x in r["vec"]]) for r in made.collect())
+    packed = [row(vectors.embed_lsa(frame, 4, 2, 0.9, most)) for most in (None, 12)]
+    monkeypatch.setattr(vectors, "packed_terms", lambda *a: None)
+    tables = [row(vectors.embed_lsa(frame, 4, 2, 0.9, most)) for most in (None, 12)]
+    for mine, theirs in zip(packed, tables):
+        assert [r[:2] for r in mine] == [r[:2] for r in theirs] and len(mine) == 44
+        assert np.allclose([r[2] for r in mine], [r[2] for r in theirs], atol=1e-3)
+        assert mine[-1] == (True, 0, [0.0] * 4) and mine[-2] == (False, 90, [0.0] * 4)
