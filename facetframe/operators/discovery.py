@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..errors import ValidationError
 from ..schema import INDEX, TableSchema, quoted
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_scope
 from .clustering import density_clusters
 from .hierarchy import density_hierarchy
 from .neighbours import layout
-from .text import TextConfig, preprocess, preprocess_light
+from .text import TextConfig, preprocess_heavy, preprocess_light
 from .topics import extract_topics
 from .vectors import embed_lsa, embed_word2vec, merge_topics, reduce_dimensions, reduce_outliers
 
@@ -63,12 +63,23 @@ def discover_topics(
         raise ValidationError(f'"{config.positions}" is not a way of placing documents')
     column = schema.get(name, (S.TEXTUAL,))
     preprocessed, topic = (d.name for d in column.derived())
-    # Each stage is used more than once below, so it is stored rather than planned again.
-    table = cut_lineage(preprocess(df, schema, name, config.text, lemmas))
+    # Each stage is used more than once below, so it is stored rather than planned again: the cleaned texts
+    # without the rest of their rows, and nothing that only led to them.
+    if preprocessed in df.columns:
+        table = cut_lineage(df)
+        cleaned = None
+    else:
+        with stage_scope(df.sparkSession):
+            cleaned = cut_lineage(preprocess_heavy(df, name, config.text, lemmas), outlive=True)
+        table = df.join(cleaned.select(F.col("id").alias(INDEX), F.col("document").alias(preprocessed)), INDEX, "left")
     usable = table.filter(F.col(quoted(preprocessed)).isNotNull())
-    if usable.isEmpty():
-        raise ValidationError(f'no document of "{name}" survives preprocessing')
     words = usable.select(F.col(INDEX).alias("id"), F.col(quoted(preprocessed)).alias("document"))
+    if cleaned is not None:
+        # Rows that share an id meet each other's texts in the join.
+        several = df.groupBy(INDEX).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        words = cleaned.filter(F.col("id").isNotNull()) if several.isEmpty() else cut_lineage(words)
+    if words.isEmpty():
+        raise ValidationError(f'no document of "{name}" survives preprocessing')
     if config.embedding == "column":
         if vectors is None:
             raise ValidationError("the embedding method 'column' needs a vector table")
@@ -76,7 +87,7 @@ def discover_topics(
     elif config.embedding == "lsa":
         vectors = embed_lsa(words, config.vector_size)
     elif config.embedding == "word2vec":
-        vectors = embed_word2vec(preprocess_light(usable, name, config.text), config.vector_size)
+        vectors = embed_word2vec(cut_lineage(preprocess_light(usable, name, config.text)), config.vector_size)
     else:
         raise ValidationError(f'"{config.embedding}" is not an embedding method')
     vectors = cut_lineage(vectors)

@@ -25,7 +25,7 @@ from ..errors import EmptyDataError, ValidationError
 from ..filters import Filter, filter_table
 from ..functions import tokens as K
 from ..schema import INDEX, TableSchema, quoted
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, stage_scope
 
 SALTS = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -354,11 +354,13 @@ def preprocess_heavy(df: DataFrame, name: str, config: TextConfig = TextConfig()
     arrays = cut_lineage(arrays)
     pairs = pairs_of(arrays, config.connectors) if config.connectors else tokens_of(arrays)
     words = arrays.select(F.explode("t").alias("token"))
-    found = cut_lineage(phrases(pairs, config.min_df, config.phrase_threshold, words))
+    with stage_scope(df.sparkSession):
+        found = cut_lineage(phrases(pairs, config.min_df, config.phrase_threshold, words), outlive=True)
     if measured_bytes(found, "token", "next") <= BROADCAST_BYTES:
         merged = cut_lineage(merge_in_place(arrays, found, config.connectors))
     else:
         merged = cut_lineage(merge_in_place(merge_by_join(arrays, pairs, found), None, config.connectors))
+    discard(arrays)
     vocab = cut_lineage(known_tokens(merged.select(F.explode(F.array_distinct("t")).alias("token")), documents, config))
     if measured_bytes(vocab, "token") <= BROADCAST_BYTES:
         pruned = prune_in_place(merged, vocab)

@@ -237,3 +237,31 @@ def test_window_counts_of_a_long_text_in_steps(spark, monkeypatch):
     out = {(r["w1"], r["w2"]): r["n"] for r in evaluation.window_counts(spark.createDataFrame([(" ".join(terms),)], "document string"), words, 4).collect()}
     windows = [set(terms[k : k + 4]) for k in range(47)]
     assert out == {(None, None): 47, **{(a, b): sum(a in w and b in w for w in windows) for a, b in (("aa", "aa"), ("aa", "bb"), ("bb", "bb"))}}
+
+
+def test_discovery_keeps_the_cleaned_texts_only(spark, monkeypatch):
+    """What led to the cleaned texts is gone before they are embedded; rows that share an id meet each other's texts."""
+    import glob
+
+    from facetframe import session
+    from facetframe.operators import discovery
+
+    folder = session.stage_folder(spark).removeprefix("file:")
+    stored = lambda: set(glob.glob(f"{folder}/stage-*"))
+    seen = []
+
+    def embed(words, size):
+        seen.append((len(stored() - before), sorted((r["id"], r["document"]) for r in words.collect())))
+        raise InterruptedError
+
+    monkeypatch.setattr(discovery, "embed_lsa", embed)
+    plain = text.TextConfig(min_df=1, max_df=1.0, min_document_length=1, phrase_threshold=1e9)
+    config, schema = discovery.TopicConfig(text=plain), TableSchema.of(Column("t", "textual"))
+    once = [(0, "apple pear"), (1, None), (2, "nail screw"), (None, "bolt")]
+    for rows in (once, [*once, (2, "plum")]):
+        df = spark.createDataFrame(rows, f"`{INDEX}` long, t string")
+        with session.stage_scope(spark), pytest.raises(InterruptedError):
+            before = stored()
+            discovery.discover_topics(df, schema, "t", config)
+    assert seen[0] == (1, [(0, "apple pear"), (2, "nail screw")])
+    assert seen[1] == (2, [(0, "apple pear"), *[(2, "nail screw")] * 2, *[(2, "plum")] * 2])
